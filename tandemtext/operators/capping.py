@@ -1,0 +1,75 @@
+"""Limit what one contributor may hold of a group, keeping its best records.
+
+The cutoff of every contributor over its limit is found by histograms, which merge before the shuffle: each round counts
+the undecided records of a contributor in BINS equal bins between their extremes, finds the bin in which the limit is
+reached, decides all other bins and goes on with that bin alone.  Only when the bin is small are its records ranked.  Ties in
+the score are narrowed in the same way by key.  No contributor's records meet in one task before that.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tandemtext.session import checkpointed
+from tandemtext.sources.tables import number
+
+#: Bins of a round's histogram; records of a contributor that may be ranked in one task; rounds at most, for doubles and
+#: keys of 64 bits that are narrowed 256-fold each time.
+BINS, RANKED, ROUNDS = 256, 20_000, 24
+
+
+def over_limit(df: DataFrame, key: str, group: Column, contributor: Column, score: Column | str, share: Column, least: int = 1) -> DataFrame:
+    """The records that must go, as (key, group, contributor).
+
+    ``share`` is the largest share of its group's records one contributor may hold: floor(share x n), at least ``least``,
+    with n the distinct records of the group.  The best scores stay; null and NaN scores come last; ties stay by smaller key.
+    Records without group or key, or in a group without a share, are left out; records without contributor stay, but count
+    in n.  A key met twice counts once.  An empty table gives an empty result.
+    """
+    rows = df.select(F.col(key).alias("k"), group.alias("g"), contributor.alias("c"), number(score).alias("s"), share.cast("double").alias("share"))
+    rows = rows.where("k IS NOT NULL AND g IS NOT NULL AND share IS NOT NULL")
+    rows = checkpointed(rows.groupBy("k").agg(F.max_by(F.struct("g", "c", "s", "share"), F.struct("g", "c", "s")).alias("r")).select("k", "r.*"))
+    per = rows.groupBy("g", "c").agg(F.count("*").alias("n"), F.max("share").alias("share"))
+    per = checkpointed(per)
+    sizes = per.groupBy("g").agg(F.sum("n").alias("of"))
+    limits = per.join(sizes, "g").where("c IS NOT NULL")
+    # The product of a decimal share and a count may fall short of a whole number by the last bit of a double.
+    limits = limits.withColumn("left", F.greatest(F.floor(F.col("share") * F.col("of") + 1e-9), F.lit(least)).cast("long"))
+    limits = limits.where("n > left").select("g", "c", "n", "left")
+    # Scores descend, keys ascend; records without score come after all others, by key alone.
+    open_rows = rows.join(limits.select("g", "c"), ["g", "c"]).select("k", "g", "c", (-F.col("s")).alias("x"))
+    state = checkpointed(limits)
+    gone: list[DataFrame] = []
+    for with_key in (False, True):
+        value = F.col("k").cast("double") if with_key else F.col("x")
+        for turn in range(ROUNDS):
+            open_rows = checkpointed(open_rows)
+            # The first histogram is for everyone; it is refined only where the bin at the cutoff is still large.
+            big = state if not (turn or with_key) else state.where(F.col("n") > RANKED)
+            if not with_key:
+                # A contributor whose open scores are all equal is narrowed by key.
+                spread = open_rows.groupBy("g", "c").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("x").alias("with"), F.count("*").alias("all"))
+                spread = spread.where("with > 0 AND (lo < hi OR with < all)")
+            else:
+                spread = open_rows.groupBy("g", "c").agg(F.min(value).alias("lo"), F.max(value).alias("hi")).where("lo < hi")
+            spread = checkpointed(big.join(spread, ["g", "c"]).select("g", "c", "left", "lo", "hi"))
+            if not spread.take(1):
+                break
+            place = F.when(value.isNull(), BINS).when(F.col("lo") == F.col("hi"), 0).otherwise(F.least(F.floor((value - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1))).cast("int")
+            binned = open_rows.join(spread, ["g", "c"]).withColumn("b", place)
+            histogram = binned.groupBy("g", "c", "b").agg(F.count("*").alias("m"), F.first("left").alias("left"))
+            upto = F.sum("m").over(Window.partitionBy("g", "c").orderBy("b"))
+            cut = histogram.withColumn("upto", upto).where("upto > left AND upto - m <= left").select("g", "c", F.col("b").alias("cut"), F.col("m").alias("n"), (F.col("left") - F.col("upto") + F.col("m")).alias("left"))
+            cut = checkpointed(cut)
+            marked = binned.drop("left").join(cut.select("g", "c", "cut"), ["g", "c"])
+            gone.append(checkpointed(marked.where("b > cut").select("k", "g", "c")))
+            rest = open_rows.join(spread.select("g", "c"), ["g", "c"], "left_anti")
+            open_rows = rest.unionByName(marked.where("b = cut").select("k", "g", "c", "x"))
+            state = checkpointed(state.join(cut.select("g", "c"), ["g", "c"], "left_anti").unionByName(cut.select("g", "c", "n", "left")))
+    nth = F.row_number().over(Window.partitionBy("g", "c").orderBy(F.col("x").asc_nulls_last(), F.col("k").asc()))
+    ranked = open_rows.join(state.select("g", "c", "left"), ["g", "c"]).withColumn("nth", nth).where(F.col("nth") > F.col("left")).select("k", "g", "c")
+    for part in gone:
+        ranked = ranked.unionByName(part)
+    return ranked.select(F.col("k").alias(key), F.col("g").alias("group"), F.col("c").alias("contributor"))
