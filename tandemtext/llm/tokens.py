@@ -40,14 +40,16 @@ def vocabulary(name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> str:
 
 
 def _boundaries(text: str, whole: bool) -> np.ndarray:
-    """Starts of the pre-tokens.  In a cut window the last ones may end elsewhere once the text goes on: a run that touches
-    the end, or an apostrophe whose contraction (three characters at most) is cut."""
+    """Where the text may be cut: starts of pre-tokens after anything but white space (of which the last one before a word
+    is a pre-token of its own, unless nothing follows).
+
+    In a cut window the last pre-tokens may end elsewhere once the text goes on: a run that touches the end, or an
+    apostrophe whose contraction (three characters at most) is cut.
+    """
     import regex
 
-    ends = [m.end() for m in regex.finditer(PATTERN, text)]
-    if not whole:
-        ends = [e for e in ends if e < len(text) - 2]
-    return np.array([0, *ends], dtype=np.int32)
+    last = len(text) - (0 if whole else 3)
+    return np.array([e for m in regex.finditer(PATTERN, text) if (e := m.end()) <= last and not text[e - 1].isspace()], dtype=np.int32)
 
 
 def _encoder(path: str):
