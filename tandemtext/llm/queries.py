@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemtext.llm import repetition, tokens
-from tandemtext.sources.tables import once, table
+from tandemtext.llm import repetition, tokens, truncation
+from tandemtext.sources.tables import label, once, table
 
 
 def _texts(spark: SparkSession, d: str, name: str, key: str, *texts: str) -> DataFrame:
@@ -28,9 +28,31 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return found[0].unionByName(found[1]).distinct()
 
 
+def _fields(df: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """One row per text field: (key struct of key and field, text)."""
+    pairs = F.array(*[F.struct(F.lit(n).alias("field"), F.col(f"`{n}`").alias("text")) for n in names])
+    return df.select(F.col(key), F.inline(pairs)).select(F.struct(key, "field").alias("key"), "text")
+
+
+def _cut(spark: SparkSession, d: str) -> DataFrame:
+    names = ["AI Text", "Human Text"]
+    return truncation.cut_texts(_fields(_texts(spark, d, "final_scored", "pair_id", *names), "pair_id", names))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _cut(spark, d).where("cut").select("key.pair_id", "key.field").distinct()
+
+
+def p3_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Share of cut records per model, source and field."""
+    labels = once(table(spark, d, "final_scored").select("pair_id", label("source_model").alias("source_model"), label("human_source").alias("human_source")), "pair_id")
+    cut = _cut(spark, d).groupBy("key").agg(F.max("cut").alias("cut")).select("key.pair_id", "key.field", "cut")
+    return labels.join(cut, "pair_id").groupBy("source_model", "human_source", "field").agg(F.count("*").alias("texts"), F.count_if("cut").alias("cut"), F.round(F.avg(F.col("cut").cast("double")), 6).alias("cut_share"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(_texts(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES = {"p4_found": p4_found, "p4_measures": p4_measures, "p8_ids": p8_ids}
+QUERIES = {"p3_found": p3_found, "p3_sources": p3_sources, "p4_found": p4_found, "p4_measures": p4_measures, "p8_ids": p8_ids}
 SQL: dict[str, str] = {}
