@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemtext.llm import repetition, tokens, truncation
-from tandemtext.sources.tables import label, once, table
+from tandemtext.llm import pairs, repetition, tokens, truncation
+from tandemtext.sources.tables import label, number, once, table
 
 
 def _texts(spark: SparkSession, d: str, name: str, key: str, *texts: str) -> DataFrame:
@@ -50,9 +50,21 @@ def p3_sources(spark: SparkSession, d: str) -> DataFrame:
     return labels.join(cut, "pair_id").groupBy("source_model", "human_source", "field").agg(F.count("*").alias("texts"), F.count_if("cut").alias("cut"), F.round(F.avg(F.col("cut").cast("double")), 6).alias("cut_share"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defects(_texts(spark, d, "train_normalized", "pair_id", "AI Text", "Human Text"), "pair_id", "AI Text", "Human Text")
+
+
+def p5_by_source(spark: SparkSession, d: str) -> DataFrame:
+    """Defects per source, with how often the (not always right) word ratio would have hinted at them."""
+    rows = once(table(spark, d, "train_normalized").select("pair_id", label("human_source").alias("human_source"), number("ai_human_word_ratio").alias("ratio")), "pair_id")
+    joined = rows.join(p5_found(spark, d), "pair_id", "left")
+    odd = F.coalesce((F.col("ratio") < 0.4) | (F.col("ratio") > 1.6), F.lit(True))
+    return joined.groupBy("human_source", F.coalesce("defect", F.lit("none")).alias("defect")).agg(F.count("*").alias("pairs"), F.count_if(odd).alias("odd_ratio"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(_texts(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p3_sources": p3_sources, "p4_found": p4_found, "p4_measures": p4_measures, "p8_ids": p8_ids}
+QUERIES = {"p3_found": p3_found, "p3_sources": p3_sources, "p4_found": p4_found, "p4_measures": p4_measures, "p5_found": p5_found, "p5_by_source": p5_by_source, "p8_ids": p8_ids}
 SQL: dict[str, str] = {}
