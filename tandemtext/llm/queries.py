@@ -5,14 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemtext.llm import pairs, repetition, tokens, truncation
-from tandemtext.sources.tables import label, number, once, table
+from tandemtext.llm import overlap, pairs, repetition, tokens, truncation
+from tandemtext.sources.tables import label, number, once, split_label, table
 
 
 def _texts(spark: SparkSession, d: str, name: str, key: str, *texts: str) -> DataFrame:
     return table(spark, d, name).select(key, *texts)
 
 
+def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+    fields = ["AI Text", "Human Text"]
+    held = table(spark, d, "audit_scores").where(split_label("split").isin("validation", "test")).select("pair_id", *fields)
+    return overlap.overlaps(held, _texts(spark, d, "train_normalized", "pair_id", *fields), "pair_id", fields)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _overlaps(spark, d).select(F.least("key_a", "key_b").alias("pair_id_a"), F.greatest("key_a", "key_b").alias("pair_id_b")).distinct()
+
+
+def p2_by_source(spark: SparkSession, d: str) -> DataFrame:
+    """Evaluation records met again in training, per split, source and field."""
+    labels = once(table(spark, d, "audit_scores").select("pair_id", split_label("split").alias("split"), label("human_source").alias("human_source")), "pair_id")
+    met = _overlaps(spark, d).groupBy(F.col("key_a").alias("pair_id"), "field").agg(F.count_distinct("key_b").alias("links"), F.max("same").alias("same"))
+    joined = labels.where("split IN ('validation', 'test')").join(met, "pair_id")
+    return joined.groupBy("split", "human_source", "field").agg(F.count("*").alias("records"), F.sum("links").alias("links"), F.count_if(F.col("same") == 1).alias("exact"))
+
+
 def p4_measures(spark: SparkSession, d: str) -> DataFrame:
     a = once(_texts(spark, d, "regenerated_cache", "cache_id", "New Human Text").toDF("row_id", "text"), "row_id").withColumn("table_name", F.lit("regenerated_cache"))
     b = once(_texts(spark, d, "train_normalized", "pair_id", "Human Text").toDF("row_id", "text"), "row_id").withColumn("table_name", F.lit("train_normalized"))
@@ -66,5 +84,5 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(_texts(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES = {"p3_found": p3_found, "p3_sources": p3_sources, "p4_found": p4_found, "p4_measures": p4_measures, "p5_found": p5_found, "p5_by_source": p5_by_source, "p8_ids": p8_ids}
+QUERIES = {"p2_found": p2_found, "p2_by_source": p2_by_source, "p3_found": p3_found, "p3_sources": p3_sources, "p4_found": p4_found, "p4_measures": p4_measures, "p5_found": p5_found, "p5_by_source": p5_by_source, "p8_ids": p8_ids}
 SQL: dict[str, str] = {}
