@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemtext.llm import leaks, overlap, pairs, repetition, tokens, truncation
+from tandemtext.llm import leaks, overlap, pairs, personal, repetition, tokens, truncation
 from tandemtext.sources.tables import label, number, once, split_label, table
 
 
@@ -97,5 +97,13 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return _leaks(spark, d).groupBy(F.col("item").alias("item_id")).agg(F.count("*").alias("documents"), F.max("words").alias("longest"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_by_source": p2_by_source, "p3_found": p3_found, "p3_sources": p3_sources, "p4_found": p4_found, "p4_measures": p4_measures, "p5_found": p5_found, "p5_by_source": p5_by_source, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.personal(_texts(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return personal.redacted(_texts(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+QUERIES = {"p2_found": p2_found, "p2_by_source": p2_by_source, "p3_found": p3_found, "p3_sources": p3_sources, "p4_found": p4_found, "p4_measures": p4_measures, "p5_found": p5_found, "p5_by_source": p5_by_source, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_redacted": p10_redacted}
 SQL: dict[str, str] = {}
