@@ -35,7 +35,7 @@ def lexicon(words: Column, terms: tuple[str, ...]) -> Column:
 def letter_run(c: Column) -> Column:
     """Longest run of one character; 1 where none repeats, 0 for an empty text."""
     longest = F.array_max(F.transform(F.regexp_extract_all(c, F.lit(r"((?s:.))\1+"), F.lit(0)), lambda x: F.char_length(x)))
-    return F.coalesce(longest, F.least(F.char_length(c), F.lit(1)), F.lit(0))
+    return F.coalesce(longest, F.least(F.coalesce(F.char_length(c), F.lit(0)), F.lit(1)))
 
 
 def elongation(run: Column) -> Column:
