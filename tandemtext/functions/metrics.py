@@ -44,11 +44,13 @@ def elongation(run: Column) -> Column:
 
 def burstiness(c: Column) -> Column:
     """Population deviation of words per sentence; 0 below two sentences."""
-    n = F.transform(T.sentences(c), T.space_words)
-    total = F.aggregate(n, F.lit(0), lambda a, x: a + x)
-    squares = F.aggregate(n, F.lit(0), lambda a, x: a + x * x)
-    k = F.size(n)
-    return F.when(k >= 2, F.sqrt(F.greatest((squares - total * total / k) / k, F.lit(0.0)))).otherwise(0.0)
+
+    def deviation(n: Column) -> Column:
+        k, total = F.size(n), F.aggregate(n, F.lit(0), lambda a, x: a + x)
+        squares = F.aggregate(n, F.lit(0), lambda a, x: a + x * x)
+        return F.when(k >= 2, F.sqrt(F.greatest((squares - total * total / k) / k, F.lit(0.0)))).otherwise(0.0)
+
+    return T.bound(F.transform(T.sentences(c), T.space_words), deviation)
 
 
 def per(count: Column, words: Column, scale: int) -> Column:
@@ -74,8 +76,7 @@ def facts(c: Column) -> Column:
 
 def fact_retention(ai: Column, human: Column) -> Column:
     """Share of the numbers and capitalised phrases of one text that the other has; 1 where there are none."""
-    there = facts(ai)
-    return F.when(F.size(there) > 0, F.size(F.array_intersect(there, facts(human))) / F.size(there)).otherwise(1.0)
+    return T.bound(facts(ai), lambda there: F.when(F.size(there) > 0, F.size(F.array_intersect(there, facts(human))) / F.size(there)).otherwise(1.0))
 
 
 def target_words(n: Column) -> Column:

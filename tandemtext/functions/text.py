@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 # White space as Unicode has it, word characters, words with inner hyphens and apostrophes.
 WS = r"[\t\n\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+WS_CHARS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 NOT_WS = WS.replace("[", "[^", 1)
 WORD_CHAR = r"[\p{L}\p{N}_]"
 WORD = rf"{WORD_CHAR}(?:[\p{{L}}\p{{N}}_’'-]*{WORD_CHAR})?"
 # Characters that normalisation removes, and glyphs that it turns into blanks.
+INVISIBLE_CHARS = "".join(map(chr, [0xFFFD, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), 0xFEFF, 0xAD, *range(0x01, 0x09), 0x0B, 0x0C, *range(0x0E, 0x20), 0x7F]))
+BOX_CHARS = "\u25a0\u25a1\u25aa\u25ab\u25cf\u25cb\u2022\u00b7"
 INVISIBLE = r"[\x{FFFD}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}\x{AD}\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
 BOXES = r"[\x{25A0}\x{25A1}\x{25AA}\x{25AB}\x{25CF}\x{25CB}\x{2022}\x{00B7}]"
 # Entities that normalisation decodes, the ampersand last.
@@ -33,7 +36,12 @@ def lit(s: str) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{WS}+|{WS}+\z", "")
+    return F.btrim(c, lit(WS_CHARS))
+
+
+def bound(value: Column, use) -> Column:
+    """Evaluate ``value`` once and use it many times; an expression named twice is otherwise evaluated twice."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def collapse(c: Column) -> Column:
@@ -65,8 +73,7 @@ def normalize(c: Column) -> Column:
         c = F.replace(c, lit(entity), lit(plain))
     c = F.regexp_replace(c, r"<[bB][rR] */?>", " ")
     c = F.regexp_replace(c, r"<[^>]+>", "")
-    c = F.regexp_replace(c, INVISIBLE, "")
-    c = F.regexp_replace(c, BOXES, " ")
+    c = F.translate(c, BOX_CHARS + INVISIBLE_CHARS, " " * len(BOX_CHARS))
     c = F.regexp_replace(c, r"[ \t\x{A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}]+", " ")
     c = F.regexp_replace(c, r" *\n *", "\n")
     c = F.regexp_replace(c, r"\n{3,}", "\n\n")

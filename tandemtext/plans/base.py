@@ -36,9 +36,22 @@ LABELS = ("category", "source_model", "human_source")
 
 def pairs(spark: SparkSession, d: str, name: str = "final_scored", *more: str) -> DataFrame:
     """One row per pair: ``pair_id, ai, hu``, labels in one spelling, scores without NaN."""
+    return once(delivered(spark, d, name, *more), "pair_id")
+
+
+def derived(spark: SparkSession, d: str, *cols) -> DataFrame:
+    """Columns made of a pair's own columns, ``pair_id`` among them.
+
+    They are made before redelivered pairs are dropped, so the shuffle carries results and not texts.
+    """
+    return once(delivered(spark, d).select(*cols), "pair_id")
+
+
+def delivered(spark: SparkSession, d: str, name: str = "final_scored", *more: str) -> DataFrame:
+    """The columns of :func:`pairs` as delivered, some pairs twice."""
     kept = [c for c in NUMBERS if name != "train_filtered" or c not in ("ai_human_word_ratio", "nli_neutral_prob", "nli_contradiction_prob")]
     cols = [F.col("pair_id"), F.col("AI Text").alias("ai"), F.col("Human Text").alias("hu"), *[label(c).alias(c) for c in LABELS], F.col("contributor"), *[number(c).alias(c) for c in kept], *[F.col(c) for c in more]]
-    return once(table(spark, d, name).select(*cols), "pair_id")
+    return table(spark, d, name).select(*cols)
 
 
 def audited(spark: SparkSession, d: str) -> DataFrame:

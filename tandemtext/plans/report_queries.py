@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tandemtext.functions import metrics as M
 from tandemtext.functions import text as T
-from tandemtext.plans.base import SPLIT_SQL, Registry, audited, audited_sql, lab, num, pairs, pairs_sql, s, sents, space_words
+from tandemtext.plans.base import SPLIT_SQL, Registry, audited, audited_sql, lab, num, derived, pairs, pairs_sql, s, sents, space_words
 from tandemtext.sources.tables import label, number, split_label, table
 
 R = Registry()
@@ -52,7 +52,7 @@ def a05_medians(spark, d):
 
 @R.add(f"{P} SELECT category, round(avg({space_words('ai')}), 8) AS ai_mean, min({space_words('ai')}) AS ai_min, max({space_words('ai')}) AS ai_max, round(avg({space_words('hu')}), 8) AS human_mean, min({space_words('hu')}) AS human_min, max({space_words('hu')}) AS human_max FROM p WHERE category IS NOT NULL GROUP BY category")
 def a06_word_stats(spark, d):
-    w = pairs(spark, d).where("category IS NOT NULL").select("category", T.space_words(AI).alias("a"), T.space_words(HU).alias("h")).groupBy("category")
+    w = derived(spark, d, "pair_id", "category", T.space_words(AI).alias("a"), T.space_words(HU).alias("h")).where("category IS NOT NULL").groupBy("category")
     return w.agg(F.round(F.avg("a"), 8).alias("ai_mean"), F.min("a").alias("ai_min"), F.max("a").alias("ai_max"), F.round(F.avg("h"), 8).alias("human_mean"), F.min("h").alias("human_min"), F.max("h").alias("human_max"))
 
 
@@ -82,7 +82,7 @@ def a10_rule_shares(spark, d):
 @R.add(f"{P}, w AS (SELECT category, human_source, {space_words('hu')} / greatest({space_words('ai')}, 1) AS r FROM p WHERE category IS NOT NULL AND human_source IS NOT NULL) SELECT category, human_source, count(*) AS n, round(avg(r), 8) AS mean_ratio, round(quantile_cont(r, 0.5), 8) AS p50, round(quantile_cont(r, 0.1), 8) AS p10, count(*) FILTER (WHERE r < 0.7) AS short FROM w GROUP BY ALL")
 def a11_length_ratio_audit(spark, d):
     """Length ratios per category and source; the flagship query."""
-    r = pairs(spark, d).where("category IS NOT NULL AND human_source IS NOT NULL").select("category", "human_source", (T.space_words(HU) / F.greatest(T.space_words(AI), F.lit(1))).alias("r"))
+    r = derived(spark, d, "pair_id", "category", "human_source", (T.space_words(HU) / F.greatest(T.space_words(AI), F.lit(1))).alias("r")).where("category IS NOT NULL AND human_source IS NOT NULL")
     return r.groupBy("category", "human_source").agg(F.count("*").alias("n"), F.round(F.avg("r"), 8).alias("mean_ratio"), F.round(F.percentile("r", F.lit(0.5)), 8).alias("p50"), F.round(F.percentile("r", F.lit(0.1)), 8).alias("p10"), F.count_if(F.col("r") < 0.7).alias("short"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tandemtext.functions import metrics as M
 from tandemtext.functions import text as T
 from tandemtext.operators import rules as U
-from tandemtext.plans.base import Registry, audited, audited_sql, collapse, count, lab, num, pairs, pairs_sql, s, space_words, strip, tokens
+from tandemtext.plans.base import Registry, audited, audited_sql, collapse, count, lab, num, derived, pairs, pairs_sql, s, space_words, strip, tokens
 from tandemtext.sources.tables import label, once, table
 
 R = Registry()
@@ -47,7 +47,7 @@ _REFUSED = " OR ".join(f"contains(lower(left(coalesce(ai, ''), 80)), {s(m)})" fo
     "SELECT pair_id, coalesce(length(a) > 0 AND length(h) > 0 AND NOT refused AND aw BETWEEN 30 AND 640 AND aw / greatest(hw, 1) BETWEEN 0.55 AND 1.65 AND a <> h, false) AS passes FROM w"
 )
 def f03_quality_gate(spark, d):
-    return pairs(spark, d).select("pair_id", U.passes_quality(AI, HU).alias("passes"))
+    return derived(spark, d, "pair_id", U.passes_quality(AI, HU).alias("passes"))
 
 
 @R.add(f'SELECT DISTINCT pair_id FROM train_normalized t WHERE pair_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM regenerated_cache c WHERE c.pair_id = t.pair_id)')
@@ -64,7 +64,7 @@ _OPEN_AI = U.OPENERS[:-1] + "*#]"
     f"AND regexp_matches(ai, {s(_OPEN_AI)}) AND regexp_matches(ai, {s(U.CLOSERS)}) AND regexp_matches(hu, {s(U.OPENERS)}) AND regexp_matches(hu, {s(U.CLOSERS)}) AND NOT regexp_matches(hu, {s(chr(91) + '(' + chr(92) + '[][^)' + chr(92) + ']]*' + chr(92) + 'z')}), false) AS valid FROM w"
 )
 def f05_valid_pair(spark, d):
-    return pairs(spark, d).select("pair_id", U.valid_pair(AI, HU).alias("valid"))
+    return derived(spark, d, "pair_id", U.valid_pair(AI, HU).alias("valid"))
 
 
 @R.add(
@@ -73,14 +73,14 @@ def f05_valid_pair(spark, d):
 )
 def f06_tier_by_style(spark, d):
     """Letter runs are left out here as in SQL, which has no back-references; :func:`f06_tier_with_runs` has them."""
-    w = pairs(spark, d).select("pair_id", "hu", T.words(HU).alias("w"), "ai_human_word_ratio")
+    w = derived(spark, d, "pair_id", "hu", T.words(HU).alias("w"), "ai_human_word_ratio")
     tier = U.tier_by_style(F.lit("none"), F.lit(1), F.coalesce(F.regexp_count("hu", F.lit(M.PUNCTUATION_RUN)), F.lit(0)), M.lexicon(F.col("w"), M.PROFANITY), M.lexicon(F.col("w"), M.SLANG), M.lexicon(F.col("w"), M.INFORMAL), F.col("ai_human_word_ratio"))
     return w.select("pair_id", tier.alias("tier"))
 
 
 @R.add()
 def f06_tier_with_runs(spark, d):
-    w = pairs(spark, d).select("pair_id", "hu", T.words(HU).alias("w"), M.letter_run(HU).alias("run"), "ai_human_word_ratio")
+    w = derived(spark, d, "pair_id", "hu", T.words(HU).alias("w"), M.letter_run(HU).alias("run"), "ai_human_word_ratio")
     tier = U.tier_by_style(M.elongation(F.col("run")), F.col("run"), F.coalesce(F.regexp_count("hu", F.lit(M.PUNCTUATION_RUN)), F.lit(0)), M.lexicon(F.col("w"), M.PROFANITY), M.lexicon(F.col("w"), M.SLANG), M.lexicon(F.col("w"), M.INFORMAL), F.col("ai_human_word_ratio"))
     return w.select("pair_id", "run", tier.alias("tier"))
 
@@ -103,12 +103,12 @@ def _band(c: str, bands) -> str:
 @R.add(f"{P} SELECT pair_id, {_band('sbert_similarity', U.SBERT_FLAGS)} AS sbert_flag, {_band('sbert_similarity', U.REGENERATED_FLAGS)} AS regenerated_flag, {_band('tfidf_similarity', U.TFIDF_FLAGS)} AS tfidf_flag FROM p")
 def f08_f09_f10_similarity_flags(spark, d):
     sb, tf = F.col("sbert_similarity"), F.col("tfidf_similarity")
-    return pairs(spark, d).select("pair_id", U.banded(sb, U.SBERT_FLAGS).alias("sbert_flag"), U.banded(sb, U.REGENERATED_FLAGS).alias("regenerated_flag"), U.banded(tf, U.TFIDF_FLAGS).alias("tfidf_flag"))
+    return derived(spark, d, "pair_id", U.banded(sb, U.SBERT_FLAGS).alias("sbert_flag"), U.banded(sb, U.REGENERATED_FLAGS).alias("regenerated_flag"), U.banded(tf, U.TFIDF_FLAGS).alias("tfidf_flag"))
 
 
 @R.add(f"{P} SELECT pair_id, CASE WHEN nli_contradiction_prob >= 0.5 THEN 'CONTRADICTION' WHEN nli_entailment_prob >= 0.7 THEN 'ENTAILMENT' WHEN nli_entailment_prob < 0.35 THEN 'LOW_ENTAILMENT' ELSE 'REVIEW' END AS nli_flag FROM p")
 def f11_nli_flag(spark, d):
-    return pairs(spark, d).select("pair_id", U.nli_flag(F.col("nli_entailment_prob"), F.col("nli_contradiction_prob")).alias("nli_flag"))
+    return derived(spark, d, "pair_id", U.nli_flag(F.col("nli_entailment_prob"), F.col("nli_contradiction_prob")).alias("nli_flag"))
 
 
 @R.add(
@@ -117,12 +117,12 @@ def f11_nli_flag(spark, d):
 )
 def f12_f13_semantic_status(spark, d):
     sb, co, r = F.col("sbert_similarity"), F.col("nli_contradiction_prob"), F.col("ai_human_word_ratio")
-    return pairs(spark, d).select("pair_id", U.semantic_risk(sb, co, r, T.space_words(AI), T.space_words(HU)).alias("risk"), U.semantic_status(sb, co, r).alias("status"))
+    return derived(spark, d, "pair_id", U.semantic_risk(sb, co, r, T.space_words(AI), T.space_words(HU)).alias("risk"), U.semantic_status(sb, co, r).alias("status"))
 
 
 @R.add(f"{P} SELECT pair_id, coalesce(nullif(concat_ws(',', CASE WHEN {_in('hu', M.PROFANITY)} >= 1 THEN 'profanity' END, CASE WHEN {_in('hu', M.SLANG)} >= 1 THEN 'slang' END, CASE WHEN {count('hu', M.PUNCTUATION_RUN)} >= 2 THEN 'punctuation' END), ''), 'style_noise') AS review_reason FROM p")
 def f14_review_reason(spark, d):
-    w = pairs(spark, d).select("pair_id", "hu", T.words(HU).alias("w"))
+    w = derived(spark, d, "pair_id", "hu", T.words(HU).alias("w"))
     parts = [F.when(M.lexicon(F.col("w"), M.PROFANITY) >= 1, "profanity"), F.when(M.lexicon(F.col("w"), M.SLANG) >= 1, "slang"), F.when(F.coalesce(F.regexp_count("hu", F.lit(M.PUNCTUATION_RUN)), F.lit(0)) >= 2, "punctuation")]
     return w.select("pair_id", F.coalesce(F.nullif(F.concat_ws(",", *parts), F.lit("")), F.lit("style_noise")).alias("review_reason"))
 
@@ -167,7 +167,7 @@ _SENT1 = "string_split(" + f"regexp_replace(coalesce(hu, ''), {s('([.!?])' + T.W
 
 @R.add(f"{P}, o AS (SELECT pair_id, {strip(_SENT1)} AS first FROM p) SELECT pair_id, concat_ws('; ', CASE WHEN first = '' THEN 'empty' END, CASE WHEN regexp_matches(first, {s(chr(94) + chr(92) + 'p{Ll}')}) THEN 'lowercase' END, CASE WHEN {space_words('first')} BETWEEN 1 AND 2 THEN 'fragment' END) AS reason FROM o")
 def f18_opening_rules(spark, d):
-    p = pairs(spark, d).select("pair_id", F.coalesce(F.get(T.sentences(HU), 0), F.lit("")).alias("first"))
+    p = derived(spark, d, "pair_id", F.coalesce(F.get(T.sentences(HU), 0), F.lit("")).alias("first"))
     n = T.space_words(F.col("first"))
     rules = [("empty", F.col("first") == ""), ("lowercase", F.rlike("first", F.lit(r"^\p{Ll}"))), ("fragment", n.between(1, 2))]
     return U.filtered(p, rules).select("pair_id", "reason")
@@ -237,4 +237,4 @@ def f24_a04_bins(spark, d):
 
 @R.add(f"{P} SELECT pair_id, coalesce(contains(human_source, 'llm_regenerated'), false) AS regenerated, coalesce(contains(human_source, 'hf_dataset_import'), false) AS collected FROM p")
 def f25_source_test(spark, d):
-    return pairs(spark, d).select("pair_id", U.regenerated().alias("regenerated"), U.is_true(F.contains("human_source", F.lit("hf_dataset_import"))).alias("collected"))
+    return derived(spark, d, "pair_id", U.regenerated().alias("regenerated"), U.is_true(F.contains("human_source", F.lit("hf_dataset_import"))).alias("collected"))

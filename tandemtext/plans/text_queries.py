@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tandemtext.functions import text as T
-from tandemtext.plans.base import Registry, collapse, count, pairs, pairs_sql, s, sents, space_words, strip, sub, sub1, texts, tokens
+from tandemtext.plans.base import Registry, collapse, count, derived, pairs, pairs_sql, s, sents, space_words, strip, sub, sub1, texts, tokens
 
 R = Registry()
 P = f"WITH {pairs_sql()} "
@@ -67,12 +67,12 @@ def _model_output(c: str) -> str:
 
 @R.add(f"{P}, o AS (SELECT pair_id, {_model_output('hu')} AS x FROM p) SELECT pair_id, {_unquote('x')} AS output FROM o")
 def t09_model_output(spark, d):
-    return pairs(spark, d).select("pair_id", T.model_output(F.col("hu")).alias("output"))
+    return derived(spark, d, "pair_id", T.model_output(F.col("hu")).alias("output"))
 
 
 @R.add(f"{P}, o AS (SELECT pair_id, {strip('string_split(hu, ' + s('</think>') + ')[-1]')} AS x FROM p) SELECT pair_id, {_unquote('x')} AS output FROM o")
 def t10_after_thinking(spark, d):
-    return pairs(spark, d).select("pair_id", T.after_thinking(F.col("hu")).alias("output"))
+    return derived(spark, d, "pair_id", T.after_thinking(F.col("hu")).alias("output"))
 
 
 def _strip_artifacts(c: str) -> str:
@@ -82,7 +82,7 @@ def _strip_artifacts(c: str) -> str:
 
 @R.add(f"{P} SELECT pair_id, {_strip_artifacts('hu')} AS stripped FROM p")
 def t11_strip_artifacts(spark, d):
-    return pairs(spark, d).select("pair_id", T.strip_artifacts(F.col("hu")).alias("stripped"))
+    return derived(spark, d, "pair_id", T.strip_artifacts(F.col("hu")).alias("stripped"))
 
 
 def _repair() -> str:
@@ -101,7 +101,7 @@ SELECT pair_id, {strip(f"regexp_extract(c, {s(T.SENTENCE_TAIL)}, 1)")} AS repair
 
 @R.add(P + _repair())
 def t12_repair(spark, d):
-    return pairs(spark, d).select("pair_id", T.repair(F.col("hu"), F.col("category")).alias("repaired"))
+    return derived(spark, d, "pair_id", T.repair(F.col("hu"), F.col("category")).alias("repaired"))
 
 
 _FIRST = f"regexp_extract(hu, {s('^([^' + chr(92) + 'n]*)')}, 1)"
@@ -112,12 +112,12 @@ _FIRST = f"regexp_extract(hu, {s('^([^' + chr(92) + 'n]*)')}, 1)"
     f"AND NOT contains(lower(ai), lower(first)) AND contains(hu, chr(10)) THEN {strip(sub1('hu', '^[^' + chr(92) + 'n]*' + chr(92) + 'n'))} ELSE {strip('hu')} END AS output FROM f"
 )
 def t13_humanized_output(spark, d):
-    return pairs(spark, d).select("pair_id", T.humanized_output(F.col("hu"), F.col("ai")).alias("output"))
+    return derived(spark, d, "pair_id", T.humanized_output(F.col("hu"), F.col("ai")).alias("output"))
 
 
 @R.add(f"{P} SELECT pair_id, {sents('hu')} AS sentences FROM p")
 def t14_sentences(spark, d):
-    return pairs(spark, d).select("pair_id", T.sentences(F.col("hu")).alias("sentences"))
+    return derived(spark, d, "pair_id", T.sentences(F.col("hu")).alias("sentences"))
 
 
 @R.add(
@@ -138,7 +138,7 @@ def t16_paragraph_chunks(spark, d):
 
 @R.add(f"{P} SELECT pair_id, lower({collapse('ai')}) AS ai_form, lower({collapse('hu')}) AS hu_form FROM p")
 def t17_normal_form(spark, d):
-    return pairs(spark, d).select("pair_id", T.normal_form(F.col("ai")).alias("ai_form"), T.normal_form(F.col("hu")).alias("hu_form"))
+    return derived(spark, d, "pair_id", T.normal_form(F.col("ai")).alias("ai_form"), T.normal_form(F.col("hu")).alias("hu_form"))
 
 
 _KEY = f"replace(replace(lower({strip('category')}), '-', '_'), ' ', '_')"
@@ -177,19 +177,19 @@ _TARGET = f"round_even(0.85 * {space_words('ai')}, -1)::INTEGER"
 @R.add(f"{P} SELECT pair_id, {s(T.SYSTEM_PROMPT)} AS system_content, {_GUIDE} || ' Aim for about ' || {_TARGET} || ' words.' || chr(10) || chr(10) || ai AS user_content FROM p")
 def t21_messages(spark, d):
     target = F.bround(T.space_words(F.col("ai")).cast("decimal(20,4)") * F.lit("0.85").cast("decimal(4,2)"), -1).cast("int")
-    m = pairs(spark, d).select("pair_id", T.messages(F.col("ai"), F.col("category"), target).alias("m"))
+    m = derived(spark, d, "pair_id", T.messages(F.col("ai"), F.col("category"), target).alias("m"))
     return m.select("pair_id", F.col("m")[0]["content"].alias("system_content"), F.col("m")[1]["content"].alias("user_content"))
 
 
 @R.add(f"{P} SELECT pair_id, 'Write between ' || floor({space_words('ai')} * 9 / 10.0)::BIGINT || ' and ' || floor({space_words('ai')} * 11 / 10.0)::BIGINT || ' words. ' || {_GUIDE} || chr(10) || chr(10) || ai AS prompt FROM p")
 def t22_regeneration_prompt(spark, d):
-    return pairs(spark, d).select("pair_id", T.regeneration_prompt(F.col("ai"), F.col("category"), T.space_words(F.col("ai"))).alias("prompt"))
+    return derived(spark, d, "pair_id", T.regeneration_prompt(F.col("ai"), F.col("category"), T.space_words(F.col("ai"))).alias("prompt"))
 
 
 @R.add(f"{P} SELECT pair_id, replace({_GUIDE} || ' {{text}}', '{{text}}', coalesce(hu, '')) AS prompt FROM p".replace("{{", "{").replace("}}", "}"))
 def t23_template_prompt(spark, d):
     template = F.concat(T.guide(F.col("category")), F.lit(" {text}"))
-    return pairs(spark, d).select("pair_id", F.replace(template, F.lit("{text}"), F.coalesce("hu", F.lit(""))).alias("prompt"))
+    return derived(spark, d, "pair_id", F.replace(template, F.lit("{text}"), F.coalesce("hu", F.lit(""))).alias("prompt"))
 
 
 @R.add(f"{P} SELECT pair_id, 'ratio ' || printf('%.2f', round(ai_human_word_ratio, 2)) AS reason FROM p WHERE ai_human_word_ratio IS NOT NULL")
@@ -205,7 +205,7 @@ def t25_snippet(spark, d):
 
 @R.add(f"{P} SELECT pair_id, coalesce(ends_with(rtrim(ai), '...') OR ends_with(rtrim(ai), '…'), false) AS truncated FROM p")
 def t26_truncated_source(spark, d):
-    return pairs(spark, d).select("pair_id", T.truncated_source(F.col("ai")).alias("truncated"))
+    return derived(spark, d, "pair_id", T.truncated_source(F.col("ai")).alias("truncated"))
 
 
 def _plain(c: str) -> str:
@@ -214,7 +214,7 @@ def _plain(c: str) -> str:
 
 @R.add(f"{P} SELECT pair_id, list_sort(list_distinct(list_filter({_plain('hu')}, lambda x: length(x) > 2 AND NOT list_contains({_plain('ai')}, x)))) AS new_words FROM p")
 def t27_new_words(spark, d):
-    return pairs(spark, d).select("pair_id", T.new_words(F.col("ai"), F.col("hu")).alias("new_words"))
+    return derived(spark, d, "pair_id", T.new_words(F.col("ai"), F.col("hu")).alias("new_words"))
 
 
 @R.add(f"SELECT doc_id, greatest(1, round({space_words('text')} / 200.0)::INTEGER) AS minutes FROM documents")
