@@ -6,11 +6,11 @@ words in passages that came earlier in the same text.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tandemtext.functions.text import bound
+
 #: Words in a passage that count as said again.
 PASSAGE = 4
 #: Frequent function words of the four languages of the corpus.
@@ -29,11 +29,6 @@ THRESHOLDS = (
 )
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it many times (inside lambdas the optimiser would evaluate it for each element)."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def plain_words(text: Column) -> Column:
     """Words in lower case; punctuation separates (an apostrophe does not), every digit is a 0."""
     s = F.lower(F.coalesce(text, F.lit("")))
