@@ -91,6 +91,8 @@ def is_copy(prompt: list[str], answer: list[str]) -> bool:
     given, said = " ".join(prompt).encode(), " ".join(answer).encode()
     if len(said) < COPY_LENGTH * len(given):
         return False  # a few sentences of the prompt
+    if given in said and len(given) > 0.5 * len(said):
+        return True  # the prompt in a frame, which may outweigh it in bytes where both are short
     bare = {"level": 3, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
     known = zstandard.ZstdCompressionDict(given, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     added = len(zstandard.ZstdCompressor(dict_data=known, **bare).compress(said))
