@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 ACCEPT = 0.6
 #: Characters before a span in which words count as its context.
-CONTEXT = 48
+CONTEXT = 80
 TYPES = ("email", "id_number", "phone", "address", "name")
 
 # Given names, by which a full name is told from a place or an organisation.
