@@ -106,4 +106,13 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_by_source": p2_by_source, "p3_found": p3_found, "p3_sources": p3_sources, "p4_found": p4_found, "p4_measures": p4_measures, "p5_found": p5_found, "p5_by_source": p5_by_source, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_redacted": p10_redacted}
-SQL: dict[str, str] = {}
+_WORDS = r"list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[''’]', '', 'g'), '\p{Nd}', '0', 'g'), '[^\p{L}\p{M}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '')"
+SQL: dict[str, str] = {
+    "p4_found": f"""
+WITH t AS (SELECT 'regenerated_cache' AS table_name, cache_id AS row_id, any_value("New Human Text") AS text FROM regenerated_cache GROUP BY cache_id
+  UNION ALL SELECT 'train_normalized', pair_id, any_value("Human Text") FROM train_normalized GROUP BY pair_id),
+w AS (SELECT table_name, row_id, {_WORDS} AS w FROM t), g AS (SELECT table_name, row_id, w, unnest(range(1, greatest(len(w) - 3, 0) + 1)) AS p FROM w),
+k AS (SELECT table_name, row_id, len(w) AS n, p, row_number() OVER (PARTITION BY table_name, row_id, w[p:p + 3] ORDER BY p) AS k FROM g),
+a AS (SELECT *, lead(p) OVER (PARTITION BY table_name, row_id ORDER BY p) AS later FROM k WHERE k > 1)
+SELECT table_name, row_id FROM a GROUP BY table_name, row_id HAVING sum(least(4, coalesce(later - p, 4))) > 0.3 * any_value(n)""",
+}
