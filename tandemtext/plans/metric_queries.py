@@ -14,7 +14,6 @@ from tandemtext.sources.tables import table
 R = Registry()
 P = f"WITH {pairs_sql()} "
 A = f"WITH {audited_sql()} "
-HU, AI = F.col("hu"), F.col("ai")
 
 
 def _in(c: str, terms) -> str:
@@ -23,7 +22,7 @@ def _in(c: str, terms) -> str:
 
 @R.add(f"{P} SELECT pair_id, {space_words('ai')} AS ai_words, {space_words('hu')} AS human_words, round({space_words('hu')} / greatest({space_words('ai')}, 1), 4) AS ratio FROM p")
 def m01_length_ratio(spark, d):
-    a, h = T.space_words(AI), T.space_words(HU)
+    a, h = T.space_words(F.col("ai")), T.space_words(F.col("hu"))
     return derived(spark, d, "pair_id", a.alias("ai_words"), h.alias("human_words"), M.ratio(h, a).alias("ratio"))
 
 
@@ -50,7 +49,7 @@ def m05_punctuation_runs(spark, d):
 
 @R.add(f"{P} SELECT pair_id, {_in('hu', M.INFORMAL)} AS informal, {_in('hu', M.SLANG)} AS slang, {_in('hu', M.PROFANITY)} AS profanity FROM p")
 def m06_lexicons(spark, d):
-    w = derived(spark, d, "pair_id", T.words(HU).alias("w"))
+    w = derived(spark, d, "pair_id", T.words(F.col("hu")).alias("w"))
     return w.select("pair_id", M.lexicon(F.col("w"), M.INFORMAL).alias("informal"), M.lexicon(F.col("w"), M.SLANG).alias("slang"), M.lexicon(F.col("w"), M.PROFANITY).alias("profanity"))
 
 
@@ -61,22 +60,22 @@ def _burst(c: str) -> str:
 
 @R.add(f"{P} SELECT pair_id, {_burst('hu')} AS burstiness FROM p")
 def m07_burstiness(spark, d):
-    return derived(spark, d, "pair_id", F.round(M.burstiness(HU), 4).alias("burstiness"))
+    return derived(spark, d, "pair_id", F.round(M.burstiness(F.col("hu")), 4).alias("burstiness"))
 
 
 @R.add(f"{P} SELECT pair_id, {_burst('ai')} AS ai_burstiness FROM p")
 def m20_ai_burstiness(spark, d):
-    return derived(spark, d, "pair_id", F.round(M.burstiness(AI), 4).alias("ai_burstiness"))
+    return derived(spark, d, "pair_id", F.round(M.burstiness(F.col("ai")), 4).alias("ai_burstiness"))
 
 
 @R.add(f"{P} SELECT pair_id, round({count('hu', M.CONTRACTION)} * 100 / greatest({space_words('hu')}, 1), 2) AS contraction_rate FROM p")
 def m08_contraction_rate(spark, d):
-    return derived(spark, d, "pair_id", M.contraction_rate(HU).alias("contraction_rate"))
+    return derived(spark, d, "pair_id", M.contraction_rate(F.col("hu")).alias("contraction_rate"))
 
 
 @R.add(f"{P} SELECT pair_id, round({_in('ai', M.CLICHES)} * 1000 / greatest({space_words('ai')}, 1), 2) AS density FROM p")
 def m09_cliche_density(spark, d):
-    return derived(spark, d, "pair_id", M.cliche_density(AI).alias("density"))
+    return derived(spark, d, "pair_id", M.cliche_density(F.col("ai")).alias("density"))
 
 
 _STEM = s(rf"^(?:{'|'.join(M.CLICHE_STEMS)})")
@@ -84,7 +83,7 @@ _STEM = s(rf"^(?:{'|'.join(M.CLICHE_STEMS)})")
 
 @R.add(f"{P} SELECT pair_id, round(coalesce(len(list_filter({tokens('ai')}, lambda w: regexp_matches(w, {_STEM}))), 0) * 1000 / greatest({space_words('ai')}, 1), 2) AS density FROM p")
 def m10_stem_density(spark, d):
-    return derived(spark, d, "pair_id", M.stem_density(AI).alias("density"))
+    return derived(spark, d, "pair_id", M.stem_density(F.col("ai")).alias("density"))
 
 
 _TITLE, _REFS = r"(?i)^[ \t]*(?:title|subject)[ \t]*:", r"\n[ \t]*(?:Works Cited|References|Bibliography)"
@@ -92,13 +91,13 @@ _TITLE, _REFS = r"(?i)^[ \t]*(?:title|subject)[ \t]*:", r"\n[ \t]*(?:Works Cited
 
 @R.add(f"{P} SELECT pair_id, coalesce(regexp_matches(hu, {s(T.CITATION)}), false) AS has_citation, coalesce(regexp_matches(hu, {s(_TITLE)}), false) AS has_title_leakage, coalesce(regexp_matches(hu, {s(_REFS)}), false) AS has_trailing_references FROM p")
 def m11_artifact_flags(spark, d):
-    has = lambda p: F.coalesce(F.rlike(HU, F.lit(p)), F.lit(False))
+    has = lambda p: F.coalesce(F.rlike(F.col("hu"), F.lit(p)), F.lit(False))
     return derived(spark, d, "pair_id", has(T.CITATION).alias("has_citation"), has(_TITLE).alias("has_title_leakage"), has(_REFS).alias("has_trailing_references"))
 
 
 @R.add(f"{P} SELECT pair_id, len({sents('ai')}) AS ai_sentences, len({sents('hu')}) AS human_sentences, round(len({sents('hu')}) / greatest(len({sents('ai')}), 1), 3) AS sentence_ratio FROM p")
 def m12_sentence_counts(spark, d):
-    c = derived(spark, d, "pair_id", F.size(T.sentences(AI)).alias("ai_sentences"), F.size(T.sentences(HU)).alias("human_sentences"))
+    c = derived(spark, d, "pair_id", F.size(T.sentences(F.col("ai"))).alias("ai_sentences"), F.size(T.sentences(F.col("hu"))).alias("human_sentences"))
     return c.withColumn("sentence_ratio", F.round(F.col("human_sentences") / F.greatest("ai_sentences", F.lit(1)), 3))
 
 
@@ -136,7 +135,7 @@ def m16_opening_cosine(spark, d):
 @R.add(f"{P}, f AS (SELECT pair_id, {sents('hu')}[1] AS f FROM p) SELECT pair_id, coalesce(len(list_filter({tokens('f')}, lambda w: regexp_full_match(w, {s(M.VERB_SHAPE)}))) > 0, false) AS has_verb, coalesce(regexp_matches(f, {s(chr(94) + chr(92) + 'p{Ll}')}), false) AS lower_start FROM f")
 def m17_m18_opening_shape(spark, d):
     """Whether the first sentence has a word of a verb's shape (stand-in for a tagger) and begins in lower case."""
-    f = derived(spark, d, "pair_id", F.get(T.sentences(HU), 0).alias("f"))
+    f = derived(spark, d, "pair_id", F.get(T.sentences(F.col("hu")), 0).alias("f"))
     verbs = F.size(F.filter(T.words(F.col("f")), lambda w: F.rlike(w, F.lit(f"^{M.VERB_SHAPE}$"))))
     return f.select("pair_id", F.coalesce(verbs > 0, F.lit(False)).alias("has_verb"), F.coalesce(F.rlike("f", F.lit(r"^\p{Ll}")), F.lit(False)).alias("lower_start"))
 
@@ -146,7 +145,7 @@ _FACTS = "list_distinct(regexp_extract_all(coalesce({c}, ''), " + s(M.FACT) + ")
 
 @R.add(f"{P} SELECT pair_id, round(CASE WHEN len({_FACTS.format(c='ai')}) > 0 THEN len(list_intersect({_FACTS.format(c='ai')}, {_FACTS.format(c='hu')})) / len({_FACTS.format(c='ai')}) ELSE 1.0 END, 4) AS fact_retention FROM p")
 def m19_fact_retention(spark, d):
-    return derived(spark, d, "pair_id", F.round(M.fact_retention(AI, HU), 4).alias("fact_retention"))
+    return derived(spark, d, "pair_id", F.round(M.fact_retention(F.col("ai"), F.col("hu")), 4).alias("fact_retention"))
 
 
 @R.add(A + "SELECT pair_id, round(100 * (0.4 * coalesce(sbert_similarity, 0) + 0.3 * coalesce(fact_retention, 1) + 0.2 * greatest(0.0, 1 - abs(coalesce(ratio, 0) - 0.85)) + 0.1 * (1 - coalesce(copy_rate, 0))), 4) AS quality FROM a")
@@ -176,7 +175,7 @@ def m23_regenerated_score(spark, d):
 
 @R.add(f"{P} SELECT pair_id, round_even({space_words('hu')}::DOUBLE, -1)::INTEGER AS target FROM p")
 def m24_target_words(spark, d):
-    return derived(spark, d, "pair_id", M.target_words(T.space_words(HU)).alias("target"))
+    return derived(spark, d, "pair_id", M.target_words(T.space_words(F.col("hu"))).alias("target"))
 
 
 _BIN = "CASE WHEN {r} < 0.7 THEN '<0.70' WHEN {r} < 0.8 THEN '0.70-0.80' WHEN {r} < 0.9 THEN '0.80-0.90' WHEN {r} <= 0.95 THEN '0.90-0.95' ELSE '>0.95' END"
@@ -200,7 +199,7 @@ SELECT category, max(CASE WHEN i = least(n - 1, floor(n * 0.5)) THEN w END) AS p
 )
 def m27_a16_token_stats(spark, d):
     """Nearest-rank quantiles from counts per length: equal lengths are added up before they are put in order."""
-    n = derived(spark, d, "pair_id", "category", T.space_words(AI).alias("w")).where("category IS NOT NULL")
+    n = derived(spark, d, "pair_id", "category", T.space_words(F.col("ai")).alias("w")).where("category IS NOT NULL")
     c = n.groupBy("category", "w").agg(F.count("*").alias("k"))
     w = W.partitionBy("category")
     c = c.withColumn("upto", F.sum("k").over(w.orderBy("w"))).withColumn("n", F.sum("k").over(w))
@@ -251,7 +250,7 @@ def v03_j03_encode_distinct(spark, d):
     """Encode each distinct sentence once (hashed stand-in encoder) and join the vectors back."""
     from tandemtext.operators import models
 
-    sent = pairs(spark, d).select("pair_id", F.posexplode(T.sentences(HU)).alias("idx", "sentence"))
+    sent = pairs(spark, d).select("pair_id", F.posexplode(T.sentences(F.col("hu"))).alias("idx", "sentence"))
     vectors = models.encode(sent.select("sentence").distinct(), "sentence")
     return sent.join(vectors, "sentence").select("pair_id", "idx", F.size("vector").alias("dims"))
 

@@ -12,7 +12,6 @@ from tandemtext.sources.tables import label, number, split_label, table
 
 R = Registry()
 P, A = f"WITH {pairs_sql()} ", f"WITH {audited_sql()} "
-AI, HU = F.col("ai"), F.col("hu")
 METRICS = ("ratio", "burstiness", "contraction_rate", "human_cliche_density", "ai_cliche_density", "min_cov", "mean_cov", "copy_rate", "sent_count_ratio", "struct_change")
 POINTS = (0.10, 0.25, 0.50, 0.75, 0.90)
 
@@ -52,7 +51,7 @@ def a05_medians(spark, d):
 
 @R.add(f"{P} SELECT category, round(avg({space_words('ai')}), 8) AS ai_mean, min({space_words('ai')}) AS ai_min, max({space_words('ai')}) AS ai_max, round(avg({space_words('hu')}), 8) AS human_mean, min({space_words('hu')}) AS human_min, max({space_words('hu')}) AS human_max FROM p WHERE category IS NOT NULL GROUP BY category")
 def a06_word_stats(spark, d):
-    w = derived(spark, d, "pair_id", "category", T.space_words(AI).alias("a"), T.space_words(HU).alias("h")).where("category IS NOT NULL").groupBy("category")
+    w = derived(spark, d, "pair_id", "category", T.space_words(F.col("ai")).alias("a"), T.space_words(F.col("hu")).alias("h")).where("category IS NOT NULL").groupBy("category")
     return w.agg(F.round(F.avg("a"), 8).alias("ai_mean"), F.min("a").alias("ai_min"), F.max("a").alias("ai_max"), F.round(F.avg("h"), 8).alias("human_mean"), F.min("h").alias("human_min"), F.max("h").alias("human_max"))
 
 
@@ -82,7 +81,7 @@ def a10_rule_shares(spark, d):
 @R.add(f"{P}, w AS (SELECT category, human_source, {space_words('hu')} / greatest({space_words('ai')}, 1) AS r FROM p WHERE category IS NOT NULL AND human_source IS NOT NULL) SELECT category, human_source, count(*) AS n, round(avg(r), 8) AS mean_ratio, round(quantile_cont(r, 0.5), 8) AS p50, round(quantile_cont(r, 0.1), 8) AS p10, count(*) FILTER (WHERE r < 0.7) AS short FROM w GROUP BY ALL")
 def a11_length_ratio_audit(spark, d):
     """Length ratios per category and source; the flagship query."""
-    r = derived(spark, d, "pair_id", "category", "human_source", (T.space_words(HU) / F.greatest(T.space_words(AI), F.lit(1))).alias("r")).where("category IS NOT NULL AND human_source IS NOT NULL")
+    r = derived(spark, d, "pair_id", "category", "human_source", (T.space_words(F.col("hu")) / F.greatest(T.space_words(F.col("ai")), F.lit(1))).alias("r")).where("category IS NOT NULL AND human_source IS NOT NULL")
     return r.groupBy("category", "human_source").agg(F.count("*").alias("n"), F.round(F.avg("r"), 8).alias("mean_ratio"), F.round(F.percentile("r", F.lit(0.5)), 8).alias("p50"), F.round(F.percentile("r", F.lit(0.1)), 8).alias("p10"), F.count_if(F.col("r") < 0.7).alias("short"))
 
 
@@ -101,7 +100,7 @@ def a13_source_share(spark, d):
 
 @R.add(f"{P}, t AS (SELECT 'ai' AS side, unnest(regexp_extract_all(lower(ai), {s(T.WORD)})) AS term FROM p UNION ALL SELECT 'human', unnest(regexp_extract_all(lower(hu), {s(T.WORD)})) FROM p) SELECT term, count(*) AS n FROM t GROUP BY term HAVING count(*) >= 20")
 def a17_term_counts(spark, d):
-    both = F.concat(F.coalesce(T.words(AI), F.array().cast("array<string>")), F.coalesce(T.words(HU), F.array().cast("array<string>")))
+    both = F.concat(F.coalesce(T.words(F.col("ai")), F.array().cast("array<string>")), F.coalesce(T.words(F.col("hu")), F.array().cast("array<string>")))
     return pairs(spark, d).select(F.explode(both).alias("term")).groupBy("term").agg(F.count("*").alias("n")).where("n >= 20")
 
 
@@ -145,13 +144,13 @@ def a21_ratio_mix(spark, d):
 @R.add(f"{P}, s AS (SELECT unnest({sents('hu')}) AS sentence FROM p) SELECT count(*) AS sentences, count(DISTINCT sentence) AS distinct_sentences FROM s")
 def a22_u06_sentence_counts(spark, d):
     """Distinct sentences are counted by 128 bits of hash, in two steps, so sentences are not shuffled."""
-    sent = pairs(spark, d).select(F.explode(T.sentences(HU)).alias("x")).select(F.xxhash64("x").alias("a"), F.xxhash64(F.reverse("x")).alias("b"))
+    sent = pairs(spark, d).select(F.explode(T.sentences(F.col("hu"))).alias("x")).select(F.xxhash64("x").alias("a"), F.xxhash64(F.reverse("x")).alias("b"))
     return sent.groupBy("a", "b").agg(F.count("*").alias("n")).agg(F.sum("n").alias("sentences"), F.count("*").alias("distinct_sentences"))
 
 
 @R.add(f"{P}, t AS (SELECT category, unnest(regexp_extract_all(lower(hu), {s(T.WORD)})) AS w FROM p WHERE category IS NOT NULL) SELECT category, count(*) AS tokens, count(DISTINCT w) AS types, round(count(DISTINCT w) / count(*), 6) AS type_token FROM t GROUP BY category")
 def x_lexical_diversity(spark, d):
-    t = pairs(spark, d).where("category IS NOT NULL").select("category", F.explode(T.words(HU)).alias("w")).groupBy("category", "w").agg(F.count("*").alias("n"))
+    t = pairs(spark, d).where("category IS NOT NULL").select("category", F.explode(T.words(F.col("hu"))).alias("w")).groupBy("category", "w").agg(F.count("*").alias("n"))
     return t.groupBy("category").agg(F.sum("n").alias("tokens"), F.count("*").alias("types"), F.round(F.count("*") / F.sum("n"), 6).alias("type_token"))
 
 

@@ -14,7 +14,6 @@ from tandemtext.sources.tables import label, once, table
 
 R = Registry()
 P, A = f"WITH {pairs_sql()} ", f"WITH {audited_sql()} "
-AI, HU = F.col("ai"), F.col("hu")
 
 
 def _in(c: str, terms) -> str:
@@ -23,7 +22,7 @@ def _in(c: str, terms) -> str:
 
 @R.add(f"{P} SELECT pair_id FROM p WHERE {collapse('ai')} <> '' AND {collapse('hu')} <> ''")
 def f01_non_empty(spark, d):
-    return pairs(spark, d).where((T.collapse(AI) != "") & (T.collapse(HU) != "")).select("pair_id")
+    return pairs(spark, d).where((T.collapse(F.col("ai")) != "") & (T.collapse(F.col("hu")) != "")).select("pair_id")
 
 
 EXCLUDED = {"email": ("abstract", "bibliography"), "essay": ("dear ", "regards"), "academic": ("lol", "dear "), "general": ("bibliography",), "document": ("lol",)}
@@ -35,8 +34,8 @@ def f02_snk03_category_rejects(spark, d):
     bad = F.lit(False)
     for category, phrases in EXCLUDED.items():
         for x in phrases:
-            bad = bad | ((F.col("category") == category) & F.contains(F.lower(HU), F.lit(x)))
-    return pairs(spark, d).where(bad).select("pair_id", F.left(HU, F.lit(500)).alias("excerpt"), F.col("category").alias("assigned"), F.lit("excluded phrase").alias("reason"))
+            bad = bad | ((F.col("category") == category) & F.contains(F.lower(F.col("hu")), F.lit(x)))
+    return pairs(spark, d).where(bad).select("pair_id", F.left(F.col("hu"), F.lit(500)).alias("excerpt"), F.col("category").alias("assigned"), F.lit("excluded phrase").alias("reason"))
 
 
 _REFUSED = " OR ".join(f"contains(lower(left(coalesce(ai, ''), 80)), {s(m)})" for m in M.REFUSAL_MARKERS)
@@ -47,7 +46,7 @@ _REFUSED = " OR ".join(f"contains(lower(left(coalesce(ai, ''), 80)), {s(m)})" fo
     "SELECT pair_id, coalesce(length(a) > 0 AND length(h) > 0 AND NOT refused AND aw BETWEEN 30 AND 640 AND aw / greatest(hw, 1) BETWEEN 0.55 AND 1.65 AND a <> h, false) AS passes FROM w"
 )
 def f03_quality_gate(spark, d):
-    return derived(spark, d, "pair_id", U.passes_quality(AI, HU).alias("passes"))
+    return derived(spark, d, "pair_id", U.passes_quality(F.col("ai"), F.col("hu")).alias("passes"))
 
 
 @R.add(f'SELECT DISTINCT pair_id FROM train_normalized t WHERE pair_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM regenerated_cache c WHERE c.pair_id = t.pair_id)')
@@ -64,7 +63,7 @@ _OPEN_AI = U.OPENERS[:-1] + "*#]"
     f"AND regexp_matches(ai, {s(_OPEN_AI)}) AND regexp_matches(ai, {s(U.CLOSERS)}) AND regexp_matches(hu, {s(U.OPENERS)}) AND regexp_matches(hu, {s(U.CLOSERS)}) AND NOT regexp_matches(hu, {s(chr(91) + '(' + chr(92) + '[][^)' + chr(92) + ']]*' + chr(92) + 'z')}), false) AS valid FROM w"
 )
 def f05_valid_pair(spark, d):
-    return derived(spark, d, "pair_id", U.valid_pair(AI, HU).alias("valid"))
+    return derived(spark, d, "pair_id", U.valid_pair(F.col("ai"), F.col("hu")).alias("valid"))
 
 
 @R.add(
@@ -73,14 +72,14 @@ def f05_valid_pair(spark, d):
 )
 def f06_tier_by_style(spark, d):
     """Letter runs are left out here as in SQL, which has no back-references; :func:`f06_tier_with_runs` has them."""
-    w = derived(spark, d, "pair_id", "hu", T.words(HU).alias("w"), "ai_human_word_ratio")
+    w = derived(spark, d, "pair_id", "hu", T.words(F.col("hu")).alias("w"), "ai_human_word_ratio")
     tier = U.tier_by_style(F.lit("none"), F.lit(1), F.coalesce(F.regexp_count("hu", F.lit(M.PUNCTUATION_RUN)), F.lit(0)), M.lexicon(F.col("w"), M.PROFANITY), M.lexicon(F.col("w"), M.SLANG), M.lexicon(F.col("w"), M.INFORMAL), F.col("ai_human_word_ratio"))
     return w.select("pair_id", tier.alias("tier"))
 
 
 @R.add()
 def f06_tier_with_runs(spark, d):
-    w = derived(spark, d, "pair_id", "hu", T.words(HU).alias("w"), M.letter_run(HU).alias("run"), "ai_human_word_ratio")
+    w = derived(spark, d, "pair_id", "hu", T.words(F.col("hu")).alias("w"), M.letter_run(F.col("hu")).alias("run"), "ai_human_word_ratio")
     tier = U.tier_by_style(M.elongation(F.col("run")), F.col("run"), F.coalesce(F.regexp_count("hu", F.lit(M.PUNCTUATION_RUN)), F.lit(0)), M.lexicon(F.col("w"), M.PROFANITY), M.lexicon(F.col("w"), M.SLANG), M.lexicon(F.col("w"), M.INFORMAL), F.col("ai_human_word_ratio"))
     return w.select("pair_id", "run", tier.alias("tier"))
 
@@ -117,12 +116,12 @@ def f11_nli_flag(spark, d):
 )
 def f12_f13_semantic_status(spark, d):
     sb, co, r = F.col("sbert_similarity"), F.col("nli_contradiction_prob"), F.col("ai_human_word_ratio")
-    return derived(spark, d, "pair_id", U.semantic_risk(sb, co, r, T.space_words(AI), T.space_words(HU)).alias("risk"), U.semantic_status(sb, co, r).alias("status"))
+    return derived(spark, d, "pair_id", U.semantic_risk(sb, co, r, T.space_words(F.col("ai")), T.space_words(F.col("hu"))).alias("risk"), U.semantic_status(sb, co, r).alias("status"))
 
 
 @R.add(f"{P} SELECT pair_id, coalesce(nullif(concat_ws(',', CASE WHEN {_in('hu', M.PROFANITY)} >= 1 THEN 'profanity' END, CASE WHEN {_in('hu', M.SLANG)} >= 1 THEN 'slang' END, CASE WHEN {count('hu', M.PUNCTUATION_RUN)} >= 2 THEN 'punctuation' END), ''), 'style_noise') AS review_reason FROM p")
 def f14_review_reason(spark, d):
-    w = derived(spark, d, "pair_id", "hu", T.words(HU).alias("w"))
+    w = derived(spark, d, "pair_id", "hu", T.words(F.col("hu")).alias("w"))
     parts = [F.when(M.lexicon(F.col("w"), M.PROFANITY) >= 1, "profanity"), F.when(M.lexicon(F.col("w"), M.SLANG) >= 1, "slang"), F.when(F.coalesce(F.regexp_count("hu", F.lit(M.PUNCTUATION_RUN)), F.lit(0)) >= 2, "punctuation")]
     return w.select("pair_id", F.coalesce(F.nullif(F.concat_ws(",", *parts), F.lit("")), F.lit("style_noise")).alias("review_reason"))
 
@@ -167,7 +166,7 @@ _SENT1 = "string_split(" + f"regexp_replace(coalesce(hu, ''), {s('([.!?])' + T.W
 
 @R.add(f"{P}, o AS (SELECT pair_id, {strip(_SENT1)} AS first FROM p) SELECT pair_id, concat_ws('; ', CASE WHEN first = '' THEN 'empty' END, CASE WHEN regexp_matches(first, {s(chr(94) + chr(92) + 'p{Ll}')}) THEN 'lowercase' END, CASE WHEN {space_words('first')} BETWEEN 1 AND 2 THEN 'fragment' END) AS reason FROM o")
 def f18_opening_rules(spark, d):
-    p = derived(spark, d, "pair_id", F.coalesce(F.get(T.sentences(HU), 0), F.lit("")).alias("first"))
+    p = derived(spark, d, "pair_id", F.coalesce(F.get(T.sentences(F.col("hu")), 0), F.lit("")).alias("first"))
     n = T.space_words(F.col("first"))
     rules = [("empty", F.col("first") == ""), ("lowercase", F.rlike("first", F.lit(r"^\p{Ll}"))), ("fragment", n.between(1, 2))]
     return U.filtered(p, rules).select("pair_id", "reason")
@@ -221,7 +220,7 @@ _T = f"WITH {pairs_sql('train_normalized')} "
 )
 def f22_a15_training_pairs(spark, d):
     """Duplicates are told by hash groups of the text: the lowest id of a text stays."""
-    p = pairs(spark, d, "train_normalized").select("pair_id", F.coalesce(T.strip(AI), F.lit("")).alias("a"), F.coalesce(T.strip(HU), F.lit("")).alias("h"), T.space_words(AI).alias("aw"), T.space_words(HU).alias("hw"))
+    p = pairs(spark, d, "train_normalized").select("pair_id", F.coalesce(T.strip(F.col("ai")), F.lit("")).alias("a"), F.coalesce(T.strip(F.col("hu")), F.lit("")).alias("h"), T.space_words(F.col("ai")).alias("aw"), T.space_words(F.col("hu")).alias("hw"))
     first = F.when((F.col("a") == "") | (F.col("h") == ""), "empty").when((F.col("aw") < 25) | (F.col("hw") < 25), "too_short")
     p = p.select("pair_id", F.xxhash64("a", F.length("a")).alias("key"), first.alias("r"))
     keep = p.where("r IS NULL").groupBy("key").agg(F.min("pair_id").alias("keep"))

@@ -13,7 +13,6 @@ from tandemtext.sources.tables import label, number, once, table
 
 R = Registry()
 P, A = f"WITH {pairs_sql()} ", f"WITH {audited_sql()} "
-AI, HU = F.col("ai"), F.col("hu")
 
 
 @R.add(f"{P} SELECT pair_id, sbert_similarity, tfidf_similarity, nli_entailment_prob FROM p")
@@ -61,19 +60,19 @@ def j11_a09_retention(spark, d):
 @R.add(f"{P}, k AS (SELECT pair_id, row_number() OVER (PARTITION BY lower({collapse('ai')}) || '|||' || lower({collapse('hu')}) ORDER BY pair_id) AS r FROM p) SELECT pair_id FROM k WHERE r = 1")
 def u03_w02_dedup_pairs(spark, d):
     """First of each normalised pair; keys are grouped by hash, so texts are not shuffled."""
-    p = pairs(spark, d).select("pair_id", F.sha2(F.concat_ws("|||", T.normal_form(AI), T.normal_form(HU)), 256).alias("key"))
+    p = pairs(spark, d).select("pair_id", F.sha2(F.concat_ws("|||", T.normal_form(F.col("ai")), T.normal_form(F.col("hu"))), 256).alias("key"))
     return p.groupBy("key").agg(F.min("pair_id").alias("pair_id")).select("pair_id")
 
 
 @R.add(f"{P}, k AS (SELECT pair_id, row_number() OVER (PARTITION BY lower({collapse('hu')}) ORDER BY pair_id) AS r FROM p) SELECT pair_id FROM k WHERE r = 1")
 def u04_dedup_target(spark, d):
-    p = pairs(spark, d).select("pair_id", F.sha2(T.normal_form(HU), 256).alias("key"))
+    p = pairs(spark, d).select("pair_id", F.sha2(T.normal_form(F.col("hu")), 256).alias("key"))
     return p.groupBy("key").agg(F.min("pair_id").alias("pair_id")).select("pair_id")
 
 
 @R.add(f"{P}, k AS (SELECT pair_id, row_number() OVER (PARTITION BY coalesce(ai, '') ORDER BY pair_id) AS r FROM p) SELECT pair_id FROM k WHERE r = 1")
 def u05_dedup_source(spark, d):
-    p = pairs(spark, d).select("pair_id", F.sha2(F.coalesce(AI, F.lit("")), 256).alias("key"))
+    p = pairs(spark, d).select("pair_id", F.sha2(F.coalesce(F.col("ai"), F.lit("")), 256).alias("key"))
     return p.groupBy("key").agg(F.min("pair_id").alias("pair_id")).select("pair_id")
 
 
