@@ -111,7 +111,8 @@ def lab(c: str) -> str:
 
 
 def num(c: str) -> str:
-    return f"CASE WHEN isnan({c}::DOUBLE) OR isinf({c}::DOUBLE) THEN NULL ELSE {c}::DOUBLE END"
+    # As text: isnan() is folded away where a file's statistics, which leave NaN out, have been read.
+    return f"CASE WHEN {c}::DOUBLE::VARCHAR IN ('nan', 'inf', '-inf') THEN NULL ELSE {c}::DOUBLE END"
 
 
 def pairs_sql(name: str = "final_scored", *more: str) -> str:

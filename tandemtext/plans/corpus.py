@@ -71,7 +71,7 @@ _LABEL = "nullif(replace(lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g')), '-'
 
 
 def _fraction(c: str) -> str:
-    return f"CASE WHEN isnan({c}) THEN NULL WHEN {c} BETWEEN 0 AND 1 THEN {c} WHEN {c} > 1 AND {c} <= 100 THEN {c} / 100 END"
+    return f"CASE WHEN {c}::VARCHAR = 'nan' THEN NULL WHEN {c} BETWEEN 0 AND 1 THEN {c} WHEN {c} > 1 AND {c} <= 100 THEN {c} / 100 END"
 
 
 def _midrank(c: str) -> str:
@@ -81,7 +81,7 @@ def _midrank(c: str) -> str:
 _P7 = f"""
 WITH t AS (
   SELECT pair_id, any_value({_LABEL.format(c="category")}) AS category, any_value({_LABEL.format(c="human_source")}) AS source,
-         any_value(CASE WHEN isnan(quality_score) THEN NULL ELSE quality_score END) AS q
+         any_value(CASE WHEN quality_score::VARCHAR IN ('nan', 'inf', '-inf') THEN NULL ELSE quality_score END) AS q
   FROM train_filtered GROUP BY pair_id),
 n AS (SELECT category, count(*) AS n FROM t GROUP BY category),
 r AS (
@@ -95,7 +95,7 @@ SQL = {
     "p1_midranks": f"WITH t AS (SELECT DISTINCT pair_id, {', '.join(f'{_fraction(c)} AS {c}' for c in SCORES)} FROM final_scored) SELECT pair_id, {', '.join(map(_midrank, SCORES))} FROM t",
     "p6_available": f"""
 WITH t AS (SELECT pair_id, any_value({_LABEL.format(c="category")}) AS category FROM train_filtered GROUP BY pair_id),
-a AS (SELECT pair_id, max(CASE WHEN isnan(ratio) OR isinf(ratio) THEN NULL ELSE ratio END) AS ratio FROM audit_scores GROUP BY pair_id),
+a AS (SELECT pair_id, max(CASE WHEN ratio::VARCHAR IN ('nan', 'inf', '-inf') THEN NULL ELSE ratio END) AS ratio FROM audit_scores GROUP BY pair_id),
 c AS (SELECT * FROM sample_targets WHERE dimension = 'category'), r AS (SELECT * FROM sample_targets WHERE dimension = 'ratio'),
 j AS (SELECT t.pair_id, c.bucket AS cb, r.bucket AS rb FROM t JOIN a USING (pair_id) JOIN c ON c.bucket = t.category
       JOIN r ON (r.lower_bound IS NULL OR a.ratio >= r.lower_bound) AND (r.upper_bound IS NULL OR a.ratio < r.upper_bound) AND a.ratio IS NOT NULL)

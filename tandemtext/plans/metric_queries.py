@@ -167,7 +167,7 @@ def m22_semantic_score(spark, d):
     return j.select("pair_id", F.round(M.semantic_score(F.coalesce("sbert_similarity", "a"), F.coalesce("nli_entailment_prob", "b"), F.coalesce("tfidf_similarity", "c")), 6).alias("score"))
 
 
-@R.add("SELECT DISTINCT cache_id, round(sbert_similarity * 0.7 + 0.3, 3) AS score FROM regenerated_cache WHERE sbert_similarity IS NOT NULL AND NOT isnan(sbert_similarity)")
+@R.add("SELECT DISTINCT cache_id, round(sbert_similarity * 0.7 + 0.3, 3) AS score FROM regenerated_cache WHERE sbert_similarity IS NOT NULL AND sbert_similarity::VARCHAR <> 'nan'")
 def m23_regenerated_score(spark, d):
     r = table(spark, d, "regenerated_cache").select("cache_id", "sbert_similarity").where(F.col("sbert_similarity").isNotNull() & ~F.isnan("sbert_similarity"))
     return r.select("cache_id", F.round(F.col("sbert_similarity") * 0.7 + 0.3, 3).alias("score")).distinct()
@@ -208,7 +208,7 @@ def m27_a16_token_stats(spark, d):
 
 
 @R.add(
-    """WITH c AS (SELECT DISTINCT pair_id, cache_id, new_ratio AS r FROM regenerated_cache WHERE new_ratio IS NOT NULL AND NOT isnan(new_ratio) AND pair_id IS NOT NULL)
+    """WITH c AS (SELECT DISTINCT pair_id, cache_id, new_ratio AS r FROM regenerated_cache WHERE new_ratio IS NOT NULL AND new_ratio::VARCHAR <> 'nan' AND pair_id IS NOT NULL)
 SELECT pair_id, cache_id AS chosen FROM (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY r BETWEEN 0.7 AND 0.95 DESC, CASE WHEN r BETWEEN 0.7 AND 0.95 THEN 0 ELSE abs(r - 0.85) END, cache_id) AS k FROM c) WHERE k = 1"""
 )
 def m28_v08_closest_candidate(spark, d):

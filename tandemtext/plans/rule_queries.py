@@ -204,7 +204,7 @@ def f20_short_purge(spark, d):
     return audited(spark, d).where(~U.is_true(M.ratio(F.col("human_words"), F.col("ai_words")) < 0.7)).select("pair_id")
 
 
-@R.add("SELECT DISTINCT cache_id FROM regenerated_cache WHERE lower(trim(split)) LIKE 'tr%' AND new_ratio >= 0.85 AND sbert_similarity >= 0.7 AND NOT isnan(new_ratio) AND NOT isnan(sbert_similarity)")
+@R.add("SELECT DISTINCT cache_id FROM regenerated_cache WHERE lower(trim(split)) LIKE 'tr%' AND new_ratio >= 0.85 AND sbert_similarity >= 0.7 AND new_ratio::VARCHAR <> 'nan' AND sbert_similarity::VARCHAR <> 'nan'")
 def f21_accepted(spark, d):
     from tandemtext.sources.tables import number, split_label
 
