@@ -192,7 +192,7 @@ def t23_template_prompt(spark, d):
     return derived(spark, d, "pair_id", F.replace(template, F.lit("{text}"), F.coalesce("hu", F.lit(""))).alias("prompt"))
 
 
-@R.add(f"{P} SELECT pair_id, 'ratio ' || printf('%.2f', round(ai_human_word_ratio, 2)) AS reason FROM p WHERE ai_human_word_ratio IS NOT NULL")
+@R.add(f"{P} SELECT pair_id, 'ratio ' || printf('%.2f', round(ai_human_word_ratio::DECIMAL(18, 6), 2)::DOUBLE) AS reason FROM p WHERE ai_human_word_ratio IS NOT NULL")
 def t24_reason(spark, d):
     r = pairs(spark, d).where("ai_human_word_ratio IS NOT NULL")
     return r.select("pair_id", F.format_string("ratio %.2f", F.round("ai_human_word_ratio", 2)).alias("reason"))
