@@ -91,3 +91,44 @@ def stream_event_counts(spark, d):
     source = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
     source.write.parquet(path)
     return append.counts_by_window(spark, path, source.schema, "ts", "event_type", out, check)
+
+
+@R.add("SELECT doc_id::VARCHAR AS first, source AS second, category AS third FROM documents WHERE source IS NOT NULL AND category IS NOT NULL AND trim(category) = category")
+def src03_positional_csv(spark, d):
+    """Fields by position from files without a schema; lines with fewer than three fields are left out."""
+    path = _path(spark, "positional")
+    files.write_csv(table(spark, d, "documents").select("doc_id", "source", "category").where("source IS NOT NULL AND category IS NOT NULL AND trim(category) = category"), path)
+    raw = spark.read.schema("_c0 string, _c1 string, _c2 string").options(**files.CSV).csv(path)
+    return raw.where("_c2 IS NOT NULL").toDF("first", "second", "third")
+
+
+@R.add("SELECT doc_id FROM documents WHERE starts_with(lower(trim(category)), 'acad') AND (contains(text, '@') OR NOT contains(text, '#')) AND text <> '' ORDER BY doc_id LIMIT 6000")
+def src09_academic_corpus(spark, d):
+    t = F.col("text")
+    return table(spark, d, "documents").where(F.lower(F.trim("category")).startswith("acad") & (t.contains("@") | ~t.contains("#")) & (t != "")).select("doc_id").orderBy("doc_id").limit(6000)
+
+
+@R.add("SELECT * FROM (VALUES ('essay', 'One should note that it rained.', 'It rained.'), ('email', 'I am writing to inform you of a delay.', 'We are late.')) AS t(category, ai, human)")
+def src14_literal_pairs(spark, d):
+    return spark.createDataFrame([("essay", "One should note that it rained.", "It rained."), ("email", "I am writing to inform you of a delay.", "We are late.")], "category string, ai string, human string")
+
+
+@R.add()
+def snk08_snk09_report(spark, d):
+    """A grouped report as Markdown, one row."""
+    from tandemtext.plans.report_queries import a01_value_counts
+
+    return spark.createDataFrame([(files.markdown(a01_value_counts(spark, d).orderBy("category")),)], "report string")
+
+
+@R.add(
+    "WITH g AS (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL), r AS (SELECT source, row_number() OVER (ORDER BY md5(source || '|42'), source) AS rank, count(*) OVER () AS size FROM g), "
+    "s AS (SELECT source, CASE WHEN size < 10 OR rank <= round(size * 0.9) THEN 'train' WHEN rank <= round(size * 0.95) THEN 'validation' ELSE 'test' END AS split FROM r) SELECT doc_id, split FROM documents JOIN s USING (source)"
+)
+def x_grouped_split(spark, d):
+    """Split by source, so that no source is on two sides."""
+    from tandemtext.operators import sampling
+
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    groups = sampling.split(docs.where("source IS NOT NULL").select("source").distinct(), "source", [], train=0.9, validation=0.05)
+    return docs.join(groups, "source").select("doc_id", "split")
