@@ -1,11 +1,11 @@
 """Records of one side that occur again, exactly or almost, on the other side.
 
 Normalised texts are cut by content: a rolling hash over two words decides where a chunk ends, so an edit changes the chunks
-around it and no others.  Coarser cuts of the same hash give chunks of chunks.  Chunk digests are joined across the sides and
-the lengths of shared chunks summed.  A chunk so frequent that its join would give more than ``HOT`` pairs is not joined as it
-is but as the next larger chunk around it, and so on up to the whole text: what is joined grows with the corpus and not with
-its square, and no text is left out.  Candidates are then compared word by word.  All of it works on one representative per
-distinct normalised text.
+around it and no others.  Chunk digests are joined across the sides, frequent ones too: a chunk whose join would give more
+than ``HOT`` pairs is joined in blocks whose pairs are never written but held against each other as bitmaps of their words.
+The bitmaps tell at least how many words differ, so no pair that counts is left out; what remains is compared word by word.
+The work on a frequent chunk grows with the square of the texts that hold it, the memory does not.  All of it works on one
+representative per distinct normalised text.
 """
 
 from __future__ import annotations
@@ -25,13 +25,10 @@ from tandemtext.session import written
 LEAST_WORDS, DIFFERING = 20, 0.2
 #: Mean words in a chunk, for texts up to LONG words and for longer ones; texts near LONG are cut both ways.
 SHORT_CHUNK, LONG_CHUNK, LONG = 4, 6, 80
-#: How much coarser each next cut is.
-COARSER = 4
-#: Pairs of representatives from which on a chunk is hot.
-HOT = 100
-#: Share of the longer text's words that shared chunks must hold.  (A pair that differs in a tenth of its words shares 0.4, in a
-#: fifth 0.2, of which the part in hot chunks may be lost where the larger chunk around them differs.)
-SHARED = 0.05
+#: Pairs of representatives from which on a chunk is hot, and texts of either side in one block of a hot chunk's join.
+HOT, SIDE = 100, 20_000
+#: Bits in a bitmap of words (a power of 2 that 64 divides), and pairs of bitmaps compared at once.
+BITS, TILE = 512, 1 << 18
 #: Texts that are cut at once.
 ROWS = 1000
 #: Hot chunks (16 bytes each) up to which they are broadcast; beyond it they are joined by a shuffle.
@@ -72,8 +69,8 @@ def _rolled(h: np.ndarray) -> np.ndarray:
     return _mix(h * np.uint64(3) + np.concatenate([h[:1], h[:-1]]))
 
 
-def _chunks(h: np.ndarray, rolled: np.ndarray, starts: np.ndarray, mean: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cut a batch of texts (word hashes, first word of each): (first word of each chunk, digests, lengths)."""
+def _chunks(h: np.ndarray, rolled: np.ndarray, starts: np.ndarray, mean: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cut a batch of texts (word hashes, first word of each): (first word of each chunk, digests)."""
     begins = np.zeros(len(h), dtype=bool)
     begins[1:] = rolled[:-1] % np.uint64(mean) == 0
     begins[starts] = True
@@ -81,7 +78,7 @@ def _chunks(h: np.ndarray, rolled: np.ndarray, starts: np.ndarray, mean: int, se
     size = np.diff(np.append(first, len(h)))
     place = np.arange(len(h)) - np.repeat(first, size)
     digest = _mix(np.add.reduceat(_mix(h + (place.astype(np.uint64) + np.uint64(seed)) * _MIX), first))
-    return first, digest, size
+    return first, digest
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,30 +98,28 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolled = _rolled(h)
         place = np.arange(len(h)) - np.repeat(starts, n)
         doc = _mix(np.add.reduceat(_mix(h + place.astype(np.uint64) * _MIX), starts) + n.astype(np.uint64))
+        owner = np.repeat(np.arange(len(keep)), n)
+        odd = np.bincount(owner * BITS + (h >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64), minlength=len(keep) * BITS) % 2
+        bits = np.packbits(odd.astype(bool)).reshape(len(keep), -1)
         parts = []
         for mean, wanted in ((SHORT_CHUNK, n <= LONG / (1 - DIFFERING)), (LONG_CHUNK, n > LONG)):
-            first, digest, size = _chunks(h, rolled, starts, mean, mean)
-            around = []
-            for level in (1, 2):
-                wider, theirs, _ = _chunks(h, rolled, starts, mean * COARSER**level, mean + 1000 * level)
-                around.append(theirs[np.searchsorted(wider, first, side="right") - 1])
+            first, digest = _chunks(h, rolled, starts, mean, mean)
             owner = np.searchsorted(starts, first, side="right") - 1
             use = wanted[owner]
-            parts.append([a[use] for a in (owner, digest, *around, size)])
-        owner, *columns = (np.concatenate(c) for c in zip(*parts))
-        order = np.argsort(owner, kind="stable")
+            parts.append([a[use] for a in (owner, digest)])
+        owner, digest = (np.concatenate(c) for c in zip(*parts))
         offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(keep)))]), pa.int32())
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(a[order].astype(kind))) for a, kind in zip(columns, (np.int64, np.int64, np.int64, np.int16))]
-        yield pa.RecordBatch.from_arrays([side, key, field, pa.array(doc.astype(np.int64)), pa.array(n.astype(np.int32)), *lists], ["side", "key", "field", "doc", "n", "d0", "d1", "d2", "sizes"])
+        chunks = pa.ListArray.from_arrays(offsets, pa.array(digest[np.argsort(owner, kind="stable")].astype(np.int64)))
+        yield pa.RecordBatch.from_arrays([side, key, field, pa.array(doc.astype(np.int64)), pa.array(n.astype(np.int32)), chunks, pa.array([b.tobytes() for b in bits], pa.binary())], ["side", "key", "field", "doc", "n", "chunks", "bits"])
 
 
 def cut(rows: DataFrame) -> DataFrame:
-    """(side, key, field, text) to (side, key, field, doc, n, d0, d1, d2, sizes) of the texts with enough words.
+    """(side, key, field, text) to (side, key, field, doc, n, chunks, bits) of the texts with enough words.
 
-    ``d0`` has the digests of the chunks, ``sizes`` their words; ``d1`` and ``d2`` those of the larger chunks around them.
+    ``chunks`` has the digests of the chunks, ``bits`` for each hash of a word whether the text holds it an odd number of times.
     """
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(_cut, f"side int, key {kind}, field int, doc long, n int, d0 array<long>, d1 array<long>, d2 array<long>, sizes array<short>")
+    return rows.mapInArrow(_cut, f"side int, key {kind}, field int, doc long, n int, chunks array<long>, bits binary")
 
 
 def same_words(a: list[str], b: list[str]) -> int:
@@ -166,39 +161,101 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keep.append(i)
                 share.append(same / max(len(a), len(b)))
         at = pa.array(keep, pa.int64())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("field", "doc_a", "doc_b", "shared")), pa.array(share, pa.float64())], ["field", "doc_a", "doc_b", "shared", "same"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("field", "doc_a", "doc_b")), pa.array(share, pa.float64())], ["field", "doc_a", "doc_b", "same"])
 
 
-def _hot(units: DataFrame) -> DataFrame:
-    """(field, d) of the chunks whose join would give more than HOT pairs; counted before the shuffle."""
-    often = units.groupBy("field", "d").agg(F.sum(F.col("on_a").cast("long")).alias("as"), F.sum(F.col("on_b").cast("long")).alias("bs"))
-    return written(often.where(F.col("as") * F.col("bs") > HOT).select("field", "d"), "hot")
+def _bitmaps(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, BITS // 64)
+
+
+def _most_odd(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Bits in which texts of so many words can differ that still count: a word without partner turns one bit."""
+    return n_a + n_b - 2 * (1 - DIFFERING) * np.maximum(n_a, n_b) + 1e-6
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
+        odd = np.bitwise_count(_bitmaps(batch.column("bits_a")) ^ _bitmaps(batch.column("bits_b"))).sum(axis=1, dtype=np.int64)
+        at = pa.array(np.flatnonzero(odd < _most_odd(n_a, n_b)))
+        yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("field", "doc_a", "doc_b")], ["field", "doc_a", "doc_b"])
+
+
+def _met(on_b: np.ndarray, doc: np.ndarray, n: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of texts of either side in one block whose lengths and bitmaps let them count."""
+    order = np.argsort(n, kind="stable")
+    a, b = order[~on_b[order]], order[on_b[order]]
+    n_b, columns = n[b], np.ascontiguousarray(bits[b].T)
+    low = 0
+    while low < len(a):
+        # Texts of b as long as the first of a allows, then as many of a as fit.
+        start = np.searchsorted(n_b, n[a[low]] * (1 - DIFFERING) - 1e-6)
+        some = a[low : low + max(1, min(64, TILE // max(1, len(b) - start)))]
+        stop = np.searchsorted(n_b, n[some[-1]] / (1 - DIFFERING) + 1e-6, side="right")
+        low += len(some)
+        if start == stop:
+            continue
+        odd = np.zeros((len(some), stop - start), dtype=np.uint16)
+        for k, column in enumerate(columns):
+            odd += np.bitwise_count(bits[some, k][:, None] ^ column[None, start:stop])
+        x, y = np.nonzero(odd < _most_odd(n[some][:, None], n_b[None, start:stop]))
+        x, y = doc[some[x]], doc[b[start + y]]
+        yield x[x != y], y[x != y]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of every block; rows of a block follow one another."""
+    kept: list[tuple] = []
+    block = None
+
+    def pairs() -> Iterator[pa.RecordBatch]:
+        for x, y in _met(*(np.concatenate(c) for c in zip(*kept))):
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), block[0], dtype=np.int32)), pa.array(x), pa.array(y)], ["field", "doc_a", "doc_b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("field", "d", "i", "j")], axis=1)
+        columns = (batch.column("side").to_numpy() == 1, batch.column("doc").to_numpy(), batch.column("n").to_numpy().astype(np.int64), _bitmaps(batch.column("bits")))
+        edges = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]])
+        for low, high in zip(edges[:-1], edges[1:]):
+            now = tuple(keys[low].tolist())
+            if now != block:
+                if kept:
+                    yield from pairs()
+                kept, block = [], now
+            kept.append(tuple(c[low:high] for c in columns))
+    if kept:
+        yield from pairs()
 
 
 def candidates(reps: DataFrame) -> DataFrame:
-    """(field, doc_a, doc_b, shared): representatives of either side with chunks in common.
+    """(field, doc_a, doc_b): representatives of either side with a chunk in common whose bitmaps let them count.
 
-    ``reps`` has (field, doc, n, d0, d1, d2, sizes, on_a, on_b).  ``shared`` is the share of the longer text's words that lie in the
-    joined chunks.
+    ``reps`` has (field, doc, n, chunks, bits, on_a, on_b).
     """
-    zipped = F.explode(F.arrays_zip("d0", "d1", "d2", "sizes"))
-    rest = reps.select("field", "doc", "n", "on_a", "on_b", zipped.alias("c")).select("field", "doc", "n", "on_a", "on_b", "c.d0", "c.d1", "c.d2", F.col("c.sizes").cast("int").alias("size"))
-    units = []
-    for level in ("d0", "d1", "d2"):
-        rows = rest.withColumn("d", F.col(level))
-        hot = _hot(rows)
-        hot = F.broadcast(hot) if hot.count() <= BROADCAST_HOT else hot
-        units.append(rows.join(hot, ["field", "d"], "left_anti").select("field", "doc", "n", "on_a", "on_b", "d", "size"))
-        rest = rest.join(hot.withColumnRenamed("d", level), ["field", level], "left_semi")
-    units = units[0].unionByName(units[1]).unionByName(units[2])
-    # One shuffle by chunk serves the sum over repeated chunks and both sides of the join.
-    units = units.repartition("field", "d").groupBy("field", "d", "doc", "n", "on_a", "on_b").agg(F.sum("size").alias("size"))
-    a = units.where("on_a").select("field", "d", F.col("doc").alias("doc_a"), F.col("n").alias("n_a"), "size")
-    b = units.where("on_b").select("field", "d", F.col("doc").alias("doc_b"), F.col("n").alias("n_b"), F.col("size").alias("size_b"))
+    units = reps.withColumn("d", F.explode(F.array_distinct("chunks"))).drop("chunks")
+    often = units.groupBy("field", "d").agg(F.sum(F.col("on_a").cast("long")).alias("as"), F.sum(F.col("on_b").cast("long")).alias("bs"))
+    hot = often.where(F.col("as") * F.col("bs") > HOT).select("field", "d", F.ceil(F.col("as") / SIDE).alias("over_a"), F.ceil(F.col("bs") / SIDE).alias("over_b"))
+    hot = written(hot, "hot")
+    hot = F.broadcast(hot) if hot.count() <= BROADCAST_HOT else hot
+    # One shuffle by chunk serves both sides of the join.
+    cold = units.join(hot, ["field", "d"], "left_anti").select("field", "d", "doc", "n", "on_a", "on_b").repartition("field", "d")
+    a = cold.where("on_a").select("field", "d", F.col("doc").alias("doc_a"), F.col("n").alias("n_a"))
+    b = cold.where("on_b").select("field", "d", F.col("doc").alias("doc_b"), F.col("n").alias("n_b"))
     near = (F.col("n_a") > F.col("n_b") * (1 - DIFFERING)) & (F.col("n_b") > F.col("n_a") * (1 - DIFFERING)) & (F.col("doc_a") != F.col("doc_b"))
-    met = a.join(b, ["field", "d"]).where(near)
-    shared = F.sum(F.least("size", "size_b")) / F.max(F.greatest("n_a", "n_b"))
-    return met.groupBy("field", "doc_a", "doc_b").agg(shared.alias("shared")).where(F.col("shared") >= SHARED)
+    met = a.join(b, ["field", "d"]).where(near).select("field", "doc_a", "doc_b", "n_a", "n_b").distinct()
+    bits = reps.select("field", "doc", "bits")
+    met = met.join(bits.toDF("field", "doc_a", "bits_a"), ["field", "doc_a"]).join(bits.toDF("field", "doc_b", "bits_b"), ["field", "doc_b"])
+    met = met.mapInArrow(_alike, "field int, doc_a long, doc_b long")
+    # A block has a part of the texts of either side; each text goes to the blocks with every part of the other side.
+    held = units.join(hot, ["field", "d"])
+    columns = lambda side, i, j: ("field", "d", F.lit(side).alias("side"), "doc", "n", "bits", i.alias("i"), j.alias("j"))
+    own, every = (lambda n: F.pmod("doc", n)), (lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)))
+    blocks = held.where("on_a").select(*columns(0, own("over_a"), every("over_b"))).unionByName(held.where("on_b").select(*columns(1, every("over_a"), own("over_b"))))
+    blocks = blocks.repartition("field", "d", "i", "j").sortWithinPartitions("field", "d", "i", "j")
+    return met.unionByName(blocks.mapInArrow(_blocks, "field int, doc_a long, doc_b long")).distinct()
 
 
 def overlaps(side_a: DataFrame, side_b: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -216,7 +273,7 @@ def overlaps(side_a: DataFrame, side_b: DataFrame, key: str, fields: list[str])
     texts = rows(side_a, 0).unionByName(rows(side_b, 1))
     docs = written(cut(texts), "docs")
     members = docs.select("side", "key", "field", "doc").distinct()
-    reps = docs.groupBy("field", "doc").agg(F.max("n").alias("n"), F.bool_or(F.col("side") == 0).alias("on_a"), F.bool_or(F.col("side") == 1).alias("on_b"), F.max_by(F.struct("d0", "d1", "d2", "sizes"), "n").alias("c"))
+    reps = docs.groupBy("field", "doc").agg(F.max("n").alias("n"), F.bool_or(F.col("side") == 0).alias("on_a"), F.bool_or(F.col("side") == 1).alias("on_b"), F.max_by(F.struct("chunks", "bits"), "n").alias("c"))
     reps = written(reps, "reps")
     met = written(candidates(reps.select("field", "doc", "n", "on_a", "on_b", "c.*")), "candidates")
     # The texts of the candidates, one record for each.
@@ -224,8 +281,8 @@ def overlaps(side_a: DataFrame, side_b: DataFrame, key: str, fields: list[str])
     owners = docs.join(asked, ["field", "doc"], "left_semi").groupBy("field", "doc").agg(F.min(F.struct("side", "key")).alias("o")).select("field", "doc", "o.*")
     found = written(owners.join(texts, ["side", "key", "field"]).groupBy("field", "doc").agg(F.max("text").alias("text")), "texts")
     pairs = met.join(found.toDF("field", "doc_a", "text_a"), ["field", "doc_a"]).join(found.toDF("field", "doc_b", "text_b"), ["field", "doc_b"])
-    near = pairs.mapInArrow(_verify, "field int, doc_a long, doc_b long, shared double, same double")
-    equal = reps.where("on_a AND on_b").select("field", F.col("doc").alias("doc_a"), F.col("doc").alias("doc_b"), F.lit(1.0).alias("shared"), F.lit(1.0).alias("same"))
+    near = pairs.mapInArrow(_verify, "field int, doc_a long, doc_b long, same double")
+    equal = reps.where("on_a AND on_b").select("field", F.col("doc").alias("doc_a"), F.col("doc").alias("doc_b"), F.lit(1.0).alias("same"))
     linked = near.unionByName(equal)
     on_a = members.where("side = 0").select("field", F.col("doc").alias("doc_a"), F.col("key").alias("key_a"))
     on_b = members.where("side = 1").select("field", F.col("doc").alias("doc_b"), F.col("key").alias("key_b"))

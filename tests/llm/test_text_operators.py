@@ -76,6 +76,26 @@ def test_overlaps_equal_brute_force(spark, monkeypatch, hot):
     assert got == want and len(want) > 100
 
 
+@pytest.mark.parametrize("side", [20_000, 37])
+@pytest.mark.parametrize("words, changed, held, copies", [(60, 1, 1, 400), (120, 3, 30, 30)])
+def test_overlaps_of_many_near_copies(spark, monkeypatch, words, changed, held, copies, side):
+    monkeypatch.setattr(overlap, "SIDE", side)
+    rnd = random.Random(6)
+    text = prose(rnd, words).split()
+
+    def version(k):
+        w = list(text)
+        for i in rnd.sample(range(words), changed):
+            w[i] = f"new{k}x{i}"
+        return k, " ".join(w)
+
+    train = [version(k) for k in range(copies)] + [(5000 + k, prose(rnd, words)) for k in range(20)]
+    asked = [(9000, " ".join(text))] if held == 1 else [version(9000 + k) for k in range(held)]
+    df = lambda rows: spark.createDataFrame(rows, "id long, a string")
+    got = {(r.key_a, r.key_b) for r in overlap.overlaps(df(asked), df(train), "id", ["a"]).collect()}
+    assert got == {(a, b) for a, _ in asked for b in range(copies)}
+
+
 def test_overlaps_of_nothing(spark):
     none = spark.createDataFrame([], "id long, a string")
     assert overlap.overlaps(none, none, "id", ["a"]).count() == 0
