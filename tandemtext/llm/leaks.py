@@ -1,9 +1,9 @@
 """Passages of held-out items inside a large corpus.
 
-The items are an inverted index over word trigrams with BM25 weights, laid out in blocks of items with the largest weight of
-each term in each block.  Every passage of every document is a query: a passage whose terms cannot reach the threshold by
-their largest weights is left, then every block that cannot by its own, and only what remains is scored exactly.  All above
-the threshold are retrieved and aligned word by word.  The steps run over whole Arrow batches in numpy.
+The items are an inverted index over word trigrams.  Every trigram that a document shares with an item is a seed, however
+common it is: the run of words around it is followed in both directions over single edits, all runs of an Arrow batch at once
+in numpy.  There is no score and no threshold besides the length of the run, so a run counts if three of its words in a row
+are unedited.  Equal texts of several items stand in the index once.
 """
 
 from __future__ import annotations
@@ -21,13 +21,8 @@ from pyspark.sql import functions as F
 
 #: A leak has at least so many words of the item in a row, apart from single changed, added or missing ones.
 LEAST_WORDS = 25
-#: Words between the starts of two passages; a passage has twice as many, and four fifths of any run of LEAST_WORDS are in one.
-STRIDE = 16
-#: BM25 parameters, items in a block, and terms' items up to which they choose blocks.
-K1, B, BLOCK, RARE = 1.2, 0.75, 8, 10
-#: A passage is aligned with an item from the score that so many trigrams of that item alone would give: a run of LEAST_WORDS
-#: with an edit in every sixth word keeps more.  (On the test data leaks score as 13 and more.)
-OWN_TERMS = 9
+#: Seeds that are followed at once.
+SEEDS = 1 << 19
 #: Words of items in one index (about 100 bytes each on every worker); more items are searched in several indexes.
 INDEX_WORDS = 2_000_000
 
@@ -52,220 +47,115 @@ def words_of(text: str | None) -> list[str]:
 class Index:
     vocabulary: dict[str, int]
     codes: np.ndarray  # sorted trigram codes
-    often: np.ndarray  # items of each term
-    largest: np.ndarray  # largest weight of a term anywhere
-    block_start: np.ndarray  # by term: its blocks ...
-    block_id: np.ndarray
-    block_max: np.ndarray
-    post_start: np.ndarray  # ... and by (term, block): the units in it
-    post_unit: np.ndarray
-    post_weight: np.ndarray
-    items: list[int]
-    units: list[list[int]]
-    blocks: int
-    threshold: float
+    start: np.ndarray  # by code: the places in ``words`` where it begins
+    place: np.ndarray
+    words: np.ndarray  # words of all units, -2 before and after each
+    unit: np.ndarray  # unit of each of these
+    items: list[list[int]]  # of each unit
 
 
 def _codes(ids: np.ndarray, size: int) -> np.ndarray:
-    """Trigram code at each position, -1 where one of the words is unknown."""
+    """Trigram code at each position, -1 where one of the words is unknown or none."""
     if len(ids) < 3:
         return np.empty(0, dtype=np.int64)
     a, b, c = ids[:-2], ids[1:-1], ids[2:]
     return np.where((a >= 0) & (b >= 0) & (c >= 0), (a * size + b) * size + c, -1)
 
 
-def _idf(units: int, holding: int) -> float:
-    return math.log(1 + (units - holding + 0.5) / (holding + 0.5))
+def _joined(texts: list[list[int]], gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words, text of each) of texts one after another, ``gap`` three times before, between and after them."""
+    flat, owner = [gap] * 3, [0] * 3
+    for k, t in enumerate(texts):
+        flat += t
+        flat += [gap] * 3
+        owner += [k] * (len(t) + 3)
+    return np.array(flat, dtype=np.int64), np.array(owner, dtype=np.int64)
 
 
 def build(units: list[tuple[int, list[str]]]) -> Index:
-    """Index of (item, words) units; an item may have several."""
+    """Index of (item, words) units; an item may have several, and equal units are one."""
     vocabulary: dict[str, int] = {}
-    coded = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], dtype=np.int64) for _, words in units]
-    size = len(vocabulary) + 1
-    term_unit: dict[int, dict[int, int]] = {}
-    for u, ids in enumerate(coded):
-        for code in _codes(ids, size).tolist():
-            at = term_unit.setdefault(code, {})
-            at[u] = at.get(u, 0) + 1
-    codes = np.array(sorted(term_unit), dtype=np.int64)
-    mean = max(1.0, float(np.mean([len(c) for c in coded] or [1])))
-    largest, block_start, block_id, block_max, post_start, post_unit, post_weight = [], [0], [], [], [0], [], []
-    for code in codes.tolist():
-        at = term_unit[code]
-        idf = _idf(len(units), len(at))
-        weights = {u: idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(coded[u]) / mean)) for u, tf in at.items()}
-        largest.append(max(weights.values()))
-        for block in sorted({u // BLOCK for u in at}):
-            inside = sorted(u for u in at if u // BLOCK == block)
-            block_id.append(block)
-            block_max.append(max(weights[u] for u in inside))
-            post_unit += inside
-            post_weight += [weights[u] for u in inside]
-            post_start.append(len(post_unit))
-        block_start.append(len(block_id))
-    ints, floats = (lambda x: np.array(x, dtype=np.int64)), (lambda x: np.array(x, dtype=np.float64))
-    often = np.array([len(term_unit[c]) for c in codes.tolist()], dtype=np.int64)
-    return Index(vocabulary, codes, often, floats(largest), ints(block_start), ints(block_id), floats(block_max), ints(post_start), ints(post_unit), floats(post_weight), [i for i, _ in units], [c.tolist() for c in coded], len(units) // BLOCK + 1, OWN_TERMS * _idf(len(units), 1))
-
-
-def _spread(start: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Expand rows of a CSR layout: (index into which, position) of every entry."""
-    n = start[which + 1] - start[which]
-    owner = np.repeat(np.arange(len(which)), n)
-    return owner, np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(start[which], n)
-
-
-def _sums(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, ascending, with the sums of their weights."""
-    if not len(keys):
-        return keys, weights
-    order = np.argsort(keys, kind="stable")
-    keys, weights = keys[order], weights[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(weights, first)
-
-
-def _value(keys: np.ndarray, sums: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, sums[at], 0.0)
-
-
-def _passages(keys: np.ndarray, weights: np.ndarray, wide: int, more: np.ndarray, threshold: float) -> np.ndarray:
-    """Keys (cell * wide + column) of the cells in a passage (two cells) whose weights, and ``more``, reach the threshold."""
-    keys, sums = _sums(keys, weights)
-    if not len(keys):
-        return keys
-    cell = keys // wide
-    with_next = sums + _value(keys, sums, keys + wide) + more[cell] + more[cell + 1]
-    with_last = sums + _value(keys, sums, keys - wide) + more[cell] + more[cell - 1]
-    return keys[np.maximum(with_next, with_last) >= threshold]
-
-
-def retrieve(index: Index, ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """(document, unit) pairs with a passage above the threshold; ``doc`` has the document of each word, from 0 ascending.
-
-    A passage is two neighbouring cells of STRIDE words of one document.
+    texts: dict[tuple[int, ...], list[int]] = {}
+    for item, words in units:
+        owners = texts.setdefault(tuple(vocabulary.setdefault(w, len(vocabulary)) for w in words), [])
+        if item not in owners:
+            owners.append(item)
+    words, unit = _joined([list(t) for t in texts], -2)
+    code = _codes(words, len(vocabulary) + 1)
+    place = np.argsort(code, kind="stable")
+    place = place[code[place] >= 0]
+    codes, first = np.unique(code[place], return_index=True)
+    return Index(vocabulary, codes, np.append(first, len(place)), place, words, unit, list(texts.values()))
+
+
+def _follow(d: np.ndarray, u: np.ndarray, i: np.ndarray, j: np.ndarray, step: int) -> np.ndarray:
+    """Follow matches at (i, j) in one direction over single edits: the last matched place in u of each.
+
+    Texts are parted by three words that match nothing.
+    """
+    last = j.copy()
+    live = np.arange(len(i))
+    while len(live):
+        same = d[i] == u[j]
+        last[live[same]] = j[same]
+        # Two words in a row must match after a word that is changed, that d adds or that d lacks.
+        off = np.flatnonzero(~same)
+        x, y = i[off], j[off]
+        d1, d2, u1, u2 = d[x + step], d[np.clip(x + 2 * step, 0, len(d) - 1)], u[y + step], u[np.clip(y + 2 * step, 0, len(u) - 1)]
+        changed = (d1 == u1) & (d2 == u2)
+        added = ~changed & (d1 == u[y]) & (d2 == u1)
+        lacking = ~changed & ~added & (d[x] == u1) & (d1 == u2)
+        i, j = i + np.where(same, step, 0), j + np.where(same, step, 0)
+        i[off] += np.where(changed | added, step, 0)
+        j[off] += np.where(changed | lacking, step, 0)
+        go = same.copy()
+        go[off] = changed | added | lacking
+        live, i, j = live[go], i[go], j[go]
+    return last
+
+
+def runs(index: Index, ids: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(document, unit, words) of runs of LEAST_WORDS words or more of a unit that a document holds in order, apart from
+    single changed, added or missing words; ``ids`` and ``doc`` as from _joined.
     """
-    none = np.empty((0, 2), dtype=np.int64)
     code = _codes(ids, len(index.vocabulary) + 1)
     if not len(code) or not len(index.codes):
-        return none
+        return
     term = np.minimum(np.searchsorted(index.codes, code), len(index.codes) - 1)
-    hit = np.flatnonzero((index.codes[term] == code) & (doc[:-2] == doc[2:]))
+    hit = np.flatnonzero(index.codes[term] == code)
     term = term[hit]
-    size = np.bincount(doc)
-    # An empty cell before each document keeps its passages apart from the last one's.
-    first_cell = np.concatenate([[0], np.cumsum(size // STRIDE + 2)[:-1]]) + 1
-    first_word = np.concatenate([[0], np.cumsum(size)[:-1]])
-    cell = first_cell[doc[hit]] + (hit - first_word[doc[hit]]) // STRIDE
-    cells = int(first_cell[-1] + size[-1] // STRIDE + 2)
-    # Passages that no item can score enough by its largest weights.
-    bound = np.bincount(cell, index.largest[term], minlength=cells + 1)
-    alive = (np.maximum(bound[:-1] + bound[1:], bound[:-1] + np.concatenate([[0.0], bound[:-2]])) >= index.threshold)[cell]
-    term, cell = term[alive], cell[alive]
-    # Terms of few items choose the blocks; the rest can add no more than their largest weights.
-    rare = index.often[term] <= RARE
-    rest = np.bincount(cell[~rare], index.largest[term[~rare]], minlength=cells + 1)
-    owner, entry = _spread(index.block_start, term[rare])
-    key = _passages(cell[rare][owner] * index.blocks + index.block_id[entry], index.block_max[entry], index.blocks, rest, index.threshold)
-    if not len(key):
-        return none
-    kept = np.zeros(cells + 1, dtype=bool)
-    kept[key // index.blocks] = True
-    near = kept[cell] | kept[np.maximum(cell - 1, 0)] | kept[cell + 1]
-    term, cell = term[near], cell[near]
-    owner, entry = _spread(index.block_start, term)
-    spot = cell[owner] * index.blocks + index.block_id[entry]
-    wanted = np.unique(np.concatenate([key - index.blocks, key, key + index.blocks]))
-    use = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, spot), len(wanted) - 1)] == spot)
-    owner2, post = _spread(index.post_start, entry[use])
-    units = len(index.units)
-    found = _passages(cell[owner[use]][owner2] * units + index.post_unit[post], index.post_weight[post], units, np.zeros(cells + 1), index.threshold)
-    if not len(found):
-        return none
-    return np.unique(np.stack([np.searchsorted(first_cell, found // units, side="right") - 1, found % units], axis=1), axis=0)
-
-
-def _extend(d: list[int], u: list[int], i: int, j: int, step: int) -> tuple[int, int, int]:
-    """Follow a match in one direction over single edits: (last matched place in u, in d, words matched)."""
-    n, m = len(d), len(u)
-
-    def same(x: int, y: int) -> bool:
-        return 0 <= x < n and 0 <= y < m and d[x] == u[y]
-
-    matched, last_i, last_j = 0, i, j
-    while True:
-        if same(i, j):
-            matched, last_i, last_j = matched + 1, i, j
-            i, j = i + step, j + step
-        elif same(i + step, j + step) and same(i + 2 * step, j + 2 * step):
-            i, j = i + step, j + step
-        elif same(i + step, j) and same(i + 2 * step, j + step):
-            i += step
-        elif same(i, j + step) and same(i + step, j + 2 * step):
-            j += step
-        else:
-            return last_j, last_i, matched
-
-
-def _places(u: list[int], size: int) -> dict[int, list[int]]:
-    """Where each trigram of a unit stands."""
-    where: dict[int, list[int]] = {}
-    for j, code in enumerate(_codes(np.array(u, dtype=np.int64), size).tolist()):
-        where.setdefault(code, []).append(j)
-    return where
-
-
-def longest(d: list[int], codes: list[int], u: list[int], where: dict[int, list[int]]) -> int:
-    """Words of the longest run of ``u`` that ``d`` holds in order, single changed, added or missing words allowed.
-
-    ``codes`` has the trigrams of ``d``, ``where`` those of ``u``.
-    """
-    best, seen = 0, set()
-    for i in [i for i, code in enumerate(codes) if code in where]:
-        for j in where[codes[i]]:
-            if (i, j) in seen:
-                continue
-            forth, _, _ = _extend(d, u, i, j, 1)
-            back, start, _ = _extend(d, u, i, j, -1)
-            # Seeds on the same diagonal lie in the same run.
-            for k in range(forth - j + 1):
-                seen.add((i + k, j + k))
-            best = max(best, forth - back + 1)
-    return best
+    many = index.start[term + 1] - index.start[term]
+    edges = np.searchsorted(np.cumsum(many), np.arange(0, int(many.sum()) + SEEDS, SEEDS))
+    for low, high in zip(edges[:-1], np.append(edges[1:-1], len(hit))):
+        n = many[low:high]
+        i = np.repeat(hit[low:high], n)
+        j = index.place[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(index.start[term[low:high]], n)]
+        # The seeds after the first of an unedited stretch lie in the same run.
+        first = ids[i - 1] != index.words[j - 1]
+        i, j = i[first], j[first]
+        length = _follow(ids, index.words, i, j, 1) - _follow(ids, index.words, i, j, -1) + 1
+        kept = np.flatnonzero(length >= LEAST_WORDS)
+        yield doc[i[kept]], index.unit[j[kept]], length[kept]
 
 
 def _search(index: Index):
     lookup = index.vocabulary
-    places: dict[int, dict[int, list[int]]] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out_key, out_item, out_n = [], [], []
             for low in range(0, batch.num_rows, 2000):
                 part = batch.slice(low, 2000)
-                docs = [words_of(t) for t in part.column("text").to_pylist()]
-                size = np.array([len(w) for w in docs])
-                flat = [lookup.get(w, -1) for words in docs for w in words]
-                if len(flat) < 3:
-                    continue
-                ids = np.array(flat, dtype=np.int64)
-                starts = np.concatenate([[0], np.cumsum(size)])
-                codes = _codes(ids, len(lookup) + 1)
-                pairs = retrieve(index, ids, np.repeat(np.arange(len(docs)), size))
+                ids, doc = _joined([[lookup.get(w, -1) for w in words_of(t)] for t in part.column("text").to_pylist()], -1)
                 best: dict[tuple[int, int], int] = {}
-                for doc, unit in pairs.tolist():
-                    item = index.items[unit]
-                    if unit not in places:
-                        places[unit] = _places(index.units[unit], len(lookup) + 1)
-                    a, z = starts[doc], starts[doc + 1]
-                    n = longest(flat[a:z], codes[a : z - 2].tolist(), index.units[unit], places[unit])
-                    if n >= LEAST_WORDS and n > best.get((doc, item), 0):
-                        best[(doc, item)] = n
+                for found in runs(index, ids, doc):
+                    for d, unit, n in zip(*(c.tolist() for c in found)):
+                        for item in index.items[unit]:
+                            if n > best.get((d, item), 0):
+                                best[(d, item)] = n
                 keys = part.column("key").to_pylist()
-                for (doc, item), n in best.items():
-                    out_key.append(keys[doc])
+                for (d, item), n in best.items():
+                    out_key.append(keys[d])
                     out_item.append(item)
                     out_n.append(n)
             yield pa.RecordBatch.from_arrays([pa.array(out_key, batch.schema.field("key").type), pa.array(out_item, pa.int64()), pa.array(out_n, pa.int32())], ["key", "item", "words"])

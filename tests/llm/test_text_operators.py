@@ -246,6 +246,24 @@ def test_leaks(spark, monkeypatch, index_words):
     assert leaks.leaks(d, "doc_id", "text", h.limit(0), "item_id", ["text", "ref"]).count() == 0
 
 
+@pytest.mark.parametrize("index_words", [2_000_000, 4000])
+def test_leaks_of_edited_runs(spark, monkeypatch, index_words):
+    monkeypatch.setattr(leaks, "INDEX_WORDS", index_words)
+    rnd = random.Random(10)
+    items = [(i, " ".join(f"w{rnd.randrange(4000)}" for _ in range(120 + i))) for i in range(60)]
+    docs, want = [], set()
+    for i, text in items:
+        for every in (4, 6, 8, 12):
+            for lead in (3, 11, 20):
+                z = text.split()[30 + every : 55 + every]
+                for k in range(every - 1, len(z) - 2, every):
+                    z[k] = "changed"
+                docs.append((len(docs), " ".join([f"x{k}" for k in range(lead)] + z + ["end"])))
+                want.add((docs[-1][0], i))
+    d, h = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item) for r in leaks.leaks(d, "doc_id", "text", h, "item_id", ["text"]).collect()} == want
+
+
 # Personal information ------------------------------------------------------------------------------------------------
 
 FOUND = [
