@@ -264,6 +264,18 @@ def test_leaks_of_edited_runs(spark, monkeypatch, index_words):
     assert {(r.doc_id, r.item) for r in leaks.leaks(d, "doc_id", "text", h, "item_id", ["text"]).collect()} == want
 
 
+def test_leaks_of_items_that_share_text(spark):
+    rnd = random.Random(11)
+    shared = " ".join(f"w{rnd.randrange(4000)}" for _ in range(40))
+    own = lambda: " ".join(f"w{rnd.randrange(4000)}" for _ in range(60))
+    items = [(i, f"{own()} {shared} {own()}") for i in range(40)] + [(100 + i, own()) for i in range(60)]
+    items += [(200 + i, items[50][1]) for i in range(12)]
+    docs = [(1, " ".join(shared.split()[5:30])), (2, items[50][1]), (3, " ".join(shared.split()[5:29]))]
+    d, h = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item) for r in leaks.leaks(d, "doc_id", "text", h, "item_id", ["text"]).collect()}
+    assert got == {(1, i) for i in range(40)} | {(2, 110)} | {(2, 200 + i) for i in range(12)}
+
+
 # Personal information ------------------------------------------------------------------------------------------------
 
 FOUND = [
