@@ -1,7 +1,7 @@
 """Texts cut off by a field limit or a broken transfer, found with built-in SQL functions only.
 
 Every word n-gram of the corpus is counted by whether its last word goes on (internal) or closes a sentence, line or text
-(terminal).  The final n-grams of the texts are joined to these counts: one that is frequent inside texts but almost never
+(terminal), over distinct texts: copies of a text are one.  The final n-grams of the texts are joined to these counts: one that is frequent inside texts but almost never
 terminal shows a cut, one that is always terminal (a sign-off) shows an end without punctuation.
 """
 
@@ -74,22 +74,35 @@ def _state(t: Column, size: Column) -> Column:
     )
 
 
+def _same(text: Column) -> Column:
+    """Equal for texts that differ in case and white space only."""
+    return F.xxhash64(F.translate(F.lower(text), " \t\n\r\f\v\u00a0\u2003\u2009" + INVISIBLE, ""))
+
+
+def _times(words: Column, gram: Column) -> Column:
+    """How often some words stand at an end in a text of such words."""
+    said, wanted = F.concat(F.lit(" "), F.concat_ws(" ", words)), F.concat(F.lit(" "), F.concat_ws(" ", gram), F.lit(f" {BREAK}"))
+    return F.round((F.length(said) - F.length(F.replace(said, wanted, F.lit("")))) / F.length(wanted)).cast("long")
+
+
 def ngram_counts(texts: DataFrame, keys: DataFrame | None) -> DataFrame:
-    """(h, inside, last): how often each n-gram (1 to 3 words, by hash) goes on and closes, in all texts.
+    """(h, inside, last): how often each n-gram (1 to 3 words, by hash) goes on and closes, in all (text, copies) rows.
+
+    A text that stands in so many ``copies`` counts once.
 
     ``keys`` (h), if given, is broadcast and holds the n-grams wanted; counts are otherwise of all n-grams.
     """
-    w = texts.select(_tokens(F.col("text")).alias("w")).where(F.size("w") > 3)
+    w = texts.select(_tokens(F.col("text")).alias("w"), "copies").where(F.size("w") > 3)
     at = F.arrays_zip(F.slice("w", 1, F.size("w") - 3).alias("a"), F.slice("w", 2, F.size("w") - 3).alias("b"), F.slice("w", 3, F.size("w") - 3).alias("c"), F.slice("w", 4, F.size("w") - 3).alias("d"))
-    grams = w.select(F.inline(at)).where(F.col("c") != BREAK)
-    grams = grams.select(F.xxhash64("c").alias("u"), F.xxhash64("b", "c").alias("v"), F.xxhash64("a", "b", "c").alias("x"), (F.col("d") == BREAK).cast("int").alias("t"))
+    grams = w.select("copies", F.inline(at)).where(F.col("c") != BREAK)
+    grams = grams.select(F.xxhash64("c").alias("u"), F.xxhash64("b", "c").alias("v"), F.xxhash64("a", "b", "c").alias("x"), (F.col("d") == BREAK).cast("int").alias("t"), "copies")
     if keys is not None:
         # Most words end no text: they go before their longer n-grams are looked at.
         grams = grams.join(F.broadcast(keys.where("level = 1").select(F.col("h").alias("u"))), "u", "left_semi")
-    grams = grams.select(F.explode(F.array("u", "v", "x")).alias("h"), "t")
+    grams = grams.select(F.explode(F.array("u", "v", "x")).alias("h"), "t", "copies")
     if keys is not None:
         grams = grams.join(F.broadcast(keys.select("h").distinct()), "h", "left_semi")
-    return grams.groupBy("h").agg((F.count("*") - F.sum("t")).alias("inside"), F.sum("t").alias("last"))
+    return grams.groupBy("h").agg(*[F.round(F.sum(n / F.col("copies"))).cast("long").alias(name) for n, name in ((1 - F.col("t"), "inside"), (F.col("t"), "last"))])
 
 
 def cut_texts(texts: DataFrame) -> DataFrame:
@@ -100,31 +113,35 @@ def cut_texts(texts: DataFrame) -> DataFrame:
     An empty table gives an empty result.
     """
     # Whole texts are counted below; for the end itself the end is enough.
-    ends = texts.select("key", _bare(F.col("text")).alias("bare"))
-    ends = ends.select("key", F.char_length("bare").alias("size"), _tidy(F.right("bare", F.lit(TAIL))).alias("t"))
-    ends = ends.select("key", _state(F.col("t"), F.col("size")).alias("state"), F.rlike(F.right("t", F.lit(80)), F.lit(CLOSING)).alias("letter"), F.slice(F.concat(F.array(*[F.lit(BREAK)] * 4), _tokens(F.col("t"))), -6, 6).alias("w"))
+    ends = texts.select("key", "text", _same(F.col("text")).alias("same"), _bare(F.col("text")).alias("bare"))
+    ends = ends.select("key", "text", "same", F.char_length("bare").alias("size"), _tidy(F.right("bare", F.lit(TAIL))).alias("t"))
+    ends = ends.select("key", "text", "same", _state(F.col("t"), F.col("size")).alias("state"), F.rlike(F.right("t", F.lit(80)), F.lit(CLOSING)).alias("letter"), F.slice(F.concat(F.array(*[F.lit(BREAK)] * 4), _tokens(F.col("t"))), -6, 6).alias("w"))
     # The last word, with the two before it, whatever breaks follow (one by construction, up to two more from the text).
     broken = lambda n: F.get("w", F.size("w") - n) == BREAK
     head = F.when(broken(2) & broken(3), F.slice("w", 1, 3)).when(broken(2), F.slice("w", 1, 4)).otherwise(F.slice("w", 1, 5))
     ends = ends.withColumn("w", F.slice(F.concat(F.array(F.lit(BREAK), F.lit(BREAK)), head), -3, 3))
-    ends = ends.select("key", "state", "letter", F.rlike(F.get("w", 2), F.lit(r"\d")).alias("digit"), F.xxhash64(F.get("w", 2)).alias("h1"), F.xxhash64(F.get("w", 1), F.get("w", 2)).alias("h2"), F.xxhash64(F.get("w", 0), F.get("w", 1), F.get("w", 2)).alias("h3"))
+    own = [F.when(F.col("state").isin("open", "item", "closed"), _times(_tokens(F.col("text")), F.slice("w", 4 - n, n))).alias(f"own{n}") for n in (1, 2, 3)]
+    ends = ends.select("key", "same", "state", "letter", *own, F.rlike(F.get("w", 2), F.lit(r"\d")).alias("digit"), F.xxhash64(F.get("w", 2)).alias("h1"), F.xxhash64(F.get("w", 1), F.get("w", 2)).alias("h2"), F.xxhash64(F.get("w", 0), F.get("w", 1), F.get("w", 2)).alias("h3"))
     ends = written(ends, "ends")
     asked = ends.where("state IN ('open', 'item') OR (state = 'closed' AND NOT digit)")
     levels = F.array(F.struct(F.lit(1).alias("level"), F.col("h1").alias("h")), F.struct(F.lit(2).alias("level"), F.when(F.col("state") == "item", F.col("h2")).alias("h")), F.struct(F.lit(3).alias("level"), F.when(F.col("state") != "item", F.col("h3")).alias("h")))
     keys = written(asked.select(F.inline(levels)).where("h IS NOT NULL").distinct(), "keys")
     small = keys.count() <= BROADCAST_KEYS
-    counts = ngram_counts(texts, keys if small else None)
+    copies = written(ends.groupBy("same").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
+    few = copies.count() <= BROADCAST_KEYS
+    once = texts.select("text", _same(F.col("text")).alias("same")).join(F.broadcast(copies) if few else copies, "same", "left")
+    counts = ngram_counts(once.select("text", F.coalesce("copies", F.lit(1)).alias("copies")), keys if small else None)
     if small:
         counts = written(counts, "counts")
     out = ends
     for n in (1, 2, 3):
         side = counts.toDF(f"h{n}", f"inside{n}", f"last{n}")
         out = out.join(F.broadcast(side) if small else side, f"h{n}", "left")
-    # The text's own end is one of the terminal occurrences.
+    # What the text says itself, at its end or before, is none of the other terminal occurrences.
     for n in (1, 2, 3):
-        out = out.withColumn(f"inside{n}", F.coalesce(f"inside{n}", F.lit(0))).withColumn(f"last{n}", F.greatest(F.coalesce(f"last{n}", F.lit(0)) - 1, F.lit(0)))
+        out = out.withColumn(f"inside{n}", F.coalesce(f"inside{n}", F.lit(0))).withColumn(f"last{n}", F.greatest(F.coalesce(f"last{n}", F.lit(0)) - F.greatest(f"own{n}", F.lit(1)), F.lit(0)))
     share = {n: F.col(f"last{n}") / F.greatest(F.col(f"inside{n}") + F.col(f"last{n}"), F.lit(1)) for n in (1, 2, 3)}
-    at_least = COMMON_END * ends.count()
+    at_least = COMMON_END * ends.select("same").distinct().count()
     closes = (share[3] >= ALWAYS) & (F.col("last3") >= F.when(F.col("letter"), max(1.0, at_least)).otherwise(max(2.0, at_least)))
     signed = closes | (F.col("letter") & (F.col("inside3") + F.col("last3") == 0) & F.lit(at_least < 1))
     known = F.when(F.col("inside2") + F.col("last2") > 0, (F.col("last2") > 0) & (share[2] >= SOMETIMES)).otherwise((F.col("last1") > 0) & (share[1] >= SOMETIMES))

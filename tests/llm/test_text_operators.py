@@ -126,6 +126,16 @@ def test_cut_texts(spark, monkeypatch, limit):
     assert dict(got)[999] is False
 
 
+@pytest.mark.parametrize("limit", [0, 10**6])
+@pytest.mark.parametrize("copies", [1, 2, 3, 40])
+def test_copies_of_a_cut_text_do_not_vouch_for_each_other(spark, monkeypatch, limit, copies):
+    monkeypatch.setattr(truncation, "BROADCAST_KEYS", limit)
+    cut = ["They met at the old mill and went to the riv", "Bring these.\n- film nights\n- rain barr", "Go by the lak\nand then by the lak\nthen go by the lak"]
+    rows = [(f"{i} {k}", t if k % 2 else t.upper() + " ") for i, t in enumerate(cut) for k in range(copies)] + [(f"w{k}", f"All is well here for {k} days. It was late.") for k in range(60)]
+    got = {r.key for r in truncation.cut_texts(spark.createDataFrame(rows, "key string, text string")).where("cut").collect()}
+    assert got == {k for k, _ in rows if k[0] != "w"}
+
+
 def test_cut_of_nothing_and_of_a_very_long_text(spark):
     empty = spark.createDataFrame([], "key long, text string")
     assert truncation.cut_texts(empty).count() == 0
