@@ -1,11 +1,11 @@
 """Records of one side that occur again, exactly or almost, on the other side.
 
 Normalised texts are cut by content: a rolling hash over two words decides where a chunk ends, so an edit changes the chunks
-around it and no others.  Chunk digests are joined across the sides, frequent ones too: a chunk whose join would give more
-than ``HOT`` pairs is joined in blocks whose pairs are never written but held against each other as bitmaps of their words.
-The bitmaps tell at least how many words differ, so no pair that counts is left out; what remains is compared word by word.
-The work on a frequent chunk grows with the square of the texts that hold it, the memory does not.  All of it works on one
-representative per distinct normalised text.
+around it and no others.  Chunk digests are joined across the sides, frequent ones too.  As in a prefix filter, a text leaves
+out its most frequent chunks, but never so many that a text with a share of ``KEPT`` of its chunks would not be met any more,
+and only frequent ones.  Chunks are joined in blocks whose pairs are never written but held against each other as bitmaps of
+their words.  The bitmaps tell at least how many words differ, so no pair that counts is left out; what remains is compared
+word by word.  All of it works on one representative per distinct normalised text.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tandemtext.session import written
@@ -25,14 +25,19 @@ from tandemtext.session import written
 LEAST_WORDS, DIFFERING = 20, 0.2
 #: Mean words in a chunk, for texts up to LONG words and for longer ones; texts near LONG are cut both ways.
 SHORT_CHUNK, LONG_CHUNK, LONG = 4, 6, 80
-#: Pairs of representatives from which on a chunk is hot, and texts of either side in one block of a hot chunk's join.
-HOT, SIDE = 100, 20_000
-#: Bits in a bitmap of words (a power of 2 that 64 divides), and pairs of bitmaps compared at once.
-BITS, TILE = 512, 1 << 18
+#: A chunk is frequent from so many pairs of representatives on.  Texts that share this part of their chunks meet in a chunk
+#: that neither leaves out; with a fifth of the words changed at random a third is still shared on average.
+FREQUENT, KEPT = 100, 1 / 6
+#: Texts of either side in one block of a chunk's join, and pairs of bitmaps compared at once.
+SIDE, TILE = 20_000, 1 << 18
+#: Bits in a bitmap of words (a power of 2 that 64 divides).
+BITS = 512
 #: Texts that are cut at once.
 ROWS = 1000
-#: Hot chunks (16 bytes each) up to which they are broadcast; beyond it they are joined by a shuffle.
-BROADCAST_HOT = 1_000_000
+#: Shared chunks (16 bytes each) up to which they are broadcast; beyond it they are joined by a shuffle.
+BROADCAST_CHUNKS = 2_000_000
+#: Texts to be compared word by word (8 bytes each) up to which their ids are broadcast to the table of texts.
+BROADCAST_DOCS = 1_000_000
 
 _TYPOGRAPHY = str.maketrans({"’": "'", "‘": "'", "“": '"', "”": '"', "–": "-", "—": "-", " ": " ", "­": None, "​": None, "﻿": None, "…": " "})
 _WORD = re.compile(r"\w+")
@@ -97,29 +102,36 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = _hashes(texts, cache)
         rolled = _rolled(h)
         place = np.arange(len(h)) - np.repeat(starts, n)
-        doc = _mix(np.add.reduceat(_mix(h + place.astype(np.uint64) * _MIX), starts) + n.astype(np.uint64))
+        # Equal texts and chunks of different fields are different ones.
+        apart = _mix(np.asarray(field.to_numpy(), dtype=np.uint64) * _MIX)
+        doc = _mix(np.add.reduceat(_mix(h + place.astype(np.uint64) * _MIX), starts) + n.astype(np.uint64) + apart)
         owner = np.repeat(np.arange(len(keep)), n)
         odd = np.bincount(owner * BITS + (h >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64), minlength=len(keep) * BITS) % 2
         bits = np.packbits(odd.astype(bool)).reshape(len(keep), -1)
-        parts = []
+        lists = []
         for mean, wanted in ((SHORT_CHUNK, n <= LONG / (1 - DIFFERING)), (LONG_CHUNK, n > LONG)):
             first, digest = _chunks(h, rolled, starts, mean, mean)
             owner = np.searchsorted(starts, first, side="right") - 1
             use = wanted[owner]
-            parts.append([a[use] for a in (owner, digest)])
-        owner, digest = (np.concatenate(c) for c in zip(*parts))
-        offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(keep)))]), pa.int32())
-        chunks = pa.ListArray.from_arrays(offsets, pa.array(digest[np.argsort(owner, kind="stable")].astype(np.int64)))
-        yield pa.RecordBatch.from_arrays([side, key, field, pa.array(doc.astype(np.int64)), pa.array(n.astype(np.int32)), chunks, pa.array([b.tobytes() for b in bits], pa.binary())], ["side", "key", "field", "doc", "n", "chunks", "bits"])
+            owner, digest = owner[use], _mix(digest[use] + apart[owner[use]]).astype(np.int64)
+            # Distinct chunks of each text.
+            order = np.lexsort((digest, owner))
+            owner, digest = owner[order], digest[order]
+            new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (digest[1:] != digest[:-1])]) if len(owner) else np.empty(0, dtype=bool)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=len(keep)))]), pa.int32())
+            lists.append(pa.ListArray.from_arrays(offsets, pa.array(digest[new])))
+        columns = [side, key, field, pa.array(doc.astype(np.int64)), pa.array(n.astype(np.int32)), *lists, pa.array([b.tobytes() for b in bits], pa.binary()), pa.array([" ".join(w) for w in texts])]
+        yield pa.RecordBatch.from_arrays(columns, ["side", "key", "field", "doc", "n", "short", "long", "bits", "words"])
 
 
 def cut(rows: DataFrame) -> DataFrame:
-    """(side, key, field, text) to (side, key, field, doc, n, chunks, bits) of the texts with enough words.
+    """(side, key, field, text) to (side, key, field, doc, n, short, long, bits, words) of the texts with enough words.
 
-    ``chunks`` has the digests of the chunks, ``bits`` for each hash of a word whether the text holds it an odd number of times.
+    ``short`` and ``long`` have the digests of the chunks of either size, ``bits`` for each hash of a word whether the text
+    holds it an odd number of times, ``words`` the normalised text.
     """
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(_cut, f"side int, key {kind}, field int, doc long, n int, chunks array<long>, bits binary")
+    return rows.mapInArrow(_cut, f"side int, key {kind}, field int, doc long, n int, short array<long>, long array<long>, bits binary, words string")
 
 
 def same_words(a: list[str], b: list[str]) -> int:
@@ -128,40 +140,30 @@ def same_words(a: list[str], b: list[str]) -> int:
     allowed = int(np.ceil(DIFFERING * most - 1e-9)) - 1  # words of the longer text that may lack a partner
     if min(len(a), len(b)) < most - allowed or sum((Counter(a) & Counter(b)).values()) < most - allowed:
         return -1
-    lead = 0
-    while lead < min(len(a), len(b)) and a[lead] == b[lead]:
-        lead += 1
-    a, b = a[lead:], b[lead:]
-    tail = 0
-    while tail < min(len(a), len(b)) and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
-    if tail:
-        a, b = a[:-tail], b[:-tail]
-    # Furthest-reaching paths by number of insertions and deletions.
-    furthest, limit = {1: 0}, 2 * allowed + abs(len(a) - len(b))
-    for d in range(min(limit, len(a) + len(b)) + 1):
-        for k in range(-d, d + 1, 2):
-            x = furthest[k + 1] if k == -d or (k != d and furthest.get(k - 1, -1) < furthest.get(k + 1, -1)) else furthest[k - 1] + 1
-            y = x - k
-            while x < len(a) and y < len(b) and a[x] == b[y]:
-                x, y = x + 1, y + 1
-            furthest[k] = x
-            if x >= len(a) and y >= len(b):
-                return lead + tail + (len(a) + len(b) - d) // 2
-    return -1
+    # Bit-parallel: a bit of ``open_`` per word of a that ends no longer common subsequence yet.
+    where: dict[str, int] = {}
+    for i, w in enumerate(a):
+        where[w] = where.get(w, 0) | 1 << i
+    every = open_ = (1 << len(a)) - 1
+    for w in b:
+        if (at := where.get(w)) is not None:
+            met = open_ & at
+            open_ = (open_ + met | open_ - met) & every
+    same = len(a) - open_.bit_count()
+    return same if same >= most - allowed else -1
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep, share = [], []
-        for i, (x, y) in enumerate(zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist())):
-            a, b = words_of(x), words_of(y)
+        for i, (x, y) in enumerate(zip(batch.column("words_a").to_pylist(), batch.column("words_b").to_pylist())):
+            a, b = x.split(" "), y.split(" ")
             same = same_words(a, b)
             if same >= 0 and max(len(a), len(b)) - same < DIFFERING * max(len(a), len(b)) - 1e-9:
                 keep.append(i)
                 share.append(same / max(len(a), len(b)))
         at = pa.array(keep, pa.int64())
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("field", "doc_a", "doc_b")), pa.array(share, pa.float64())], ["field", "doc_a", "doc_b", "same"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("doc_a", "doc_b")), pa.array(share, pa.float64())], ["doc_a", "doc_b", "same"])
 
 
 def _bitmaps(column: pa.Array) -> np.ndarray:
@@ -173,12 +175,38 @@ def _most_odd(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     return n_a + n_b - 2 * (1 - DIFFERING) * np.maximum(n_a, n_b) + 1e-6
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n_a, n_b = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-        odd = np.bitwise_count(_bitmaps(batch.column("bits_a")) ^ _bitmaps(batch.column("bits_b"))).sum(axis=1, dtype=np.int64)
-        at = pa.array(np.flatnonzero(odd < _most_odd(n_a, n_b)))
-        yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("field", "doc_a", "doc_b")], ["field", "doc_a", "doc_b"])
+def _left_out(m: np.ndarray) -> np.ndarray:
+    """Chunks that a text of m chunks may leave out."""
+    return np.maximum(np.ceil(m * KEPT - 1e-9) - 1, 0).astype(np.int64)
+
+
+def _units(shared):
+    """Rows of the blocks from representatives: their chunks that both sides have, less the most frequent ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, pairs = shared.value
+        for batch in batches:
+            out = []
+            for name in ("short", "long"):
+                lists = batch.column(name)
+                m = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+                owner, digest = np.repeat(np.arange(len(m)), m), lists.flatten().to_numpy()
+                if not len(known) or not len(digest):
+                    continue
+                at = np.minimum(np.searchsorted(known, digest), len(known) - 1)
+                met = known[at] == digest
+                owner, digest, times = owner[met], digest[met], pairs[at[met]]
+                order = np.lexsort((digest, -times, owner))
+                owner, digest, times = owner[order], digest[order], times[order]
+                place = np.arange(len(owner)) - np.searchsorted(owner, owner)
+                use = (place >= _left_out(m)[owner]) | (times <= FREQUENT)
+                out.append((owner[use], digest[use]))
+            if out:
+                owner, digest = (np.concatenate(c) for c in zip(*out))
+                at = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([pa.array(digest), *(batch.column(c).take(at) for c in ("doc", "n", "on_a", "on_b", "bits"))], ["d", "doc", "n", "on_a", "on_b", "bits"])
+
+    return run
 
 
 def _met(on_b: np.ndarray, doc: np.ndarray, n: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -203,59 +231,96 @@ def _met(on_b: np.ndarray, doc: np.ndarray, n: np.ndarray, bits: np.ndarray) ->
         yield x[x != y], y[x != y]
 
 
+def _small(first: np.ndarray, end: np.ndarray, on_b: np.ndarray, doc: np.ndarray, n: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same for many small blocks at once; a block is from ``first`` to ``end``, texts of a before texts of b."""
+    of_b = np.concatenate([[0], np.cumsum(on_b)])
+    middle = end - (of_b[end] - of_b[first])
+    size = middle - first
+    a = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
+    low, many = np.repeat(middle, size), np.repeat(end - middle, size)
+    edges = np.searchsorted(np.cumsum(many), np.arange(0, int(many.sum()) + TILE, TILE))
+    for u, v in zip(edges[:-1], np.append(edges[1:-1], len(a))):
+        k = many[u:v]
+        x = np.repeat(a[u:v], k)
+        y = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k) + np.repeat(low[u:v], k)
+        most = _most_odd(n[x], n[y])
+        near = (most > 0) & (doc[x] != doc[y])
+        x, y, most = x[near], y[near], most[near]
+        near = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) < most
+        yield doc[x[near]], doc[y[near]]
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of every block; rows of a block follow one another."""
+    """Pairs of every block; rows of a block follow one another, those of side a first."""
     kept: list[tuple] = []
-    block = None
 
-    def pairs() -> Iterator[pa.RecordBatch]:
-        for x, y in _met(*(np.concatenate(c) for c in zip(*kept))):
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), block[0], dtype=np.int32)), pa.array(x), pa.array(y)], ["field", "doc_a", "doc_b"])
+    def pairs(keys, on_b, doc, n, bits) -> Iterator[pa.RecordBatch]:
+        edges = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]])
+        first, end = edges[:-1], edges[1:]
+        large = end - first > 128
+        found = list(_small(first[~large], end[~large], on_b, doc, n, bits)) if not large.all() else []
+        for low, high in zip(first[large], end[large]):
+            found += _met(on_b[low:high], doc[low:high], n[low:high], bits[low:high])
+        if found:
+            # A pair that shares several chunks is one pair.
+            both = np.unique(np.stack([np.concatenate(c) for c in zip(*found)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["doc_a", "doc_b"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("field", "d", "i", "j")], axis=1)
-        columns = (batch.column("side").to_numpy() == 1, batch.column("doc").to_numpy(), batch.column("n").to_numpy().astype(np.int64), _bitmaps(batch.column("bits")))
-        edges = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]])
-        for low, high in zip(edges[:-1], edges[1:]):
-            now = tuple(keys[low].tolist())
-            if now != block:
-                if kept:
-                    yield from pairs()
-                kept, block = [], now
-            kept.append(tuple(c[low:high] for c in columns))
+        keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("d", "i", "j")], axis=1)
+        rows = (keys, batch.column("side").to_numpy() == 1, batch.column("doc").to_numpy(), batch.column("n").to_numpy().astype(np.int64), _bitmaps(batch.column("bits")))
+        # The last block may go on in the next batch.
+        last = len(keys) if (keys == keys[-1]).all() else int(np.flatnonzero((keys != keys[-1]).any(axis=1))[-1]) + 1
+        if last < len(keys) or (kept and (kept[-1][0][-1] != keys[0]).any()):
+            whole = last if last < len(keys) else 0
+            parts = [*kept, tuple(c[:whole] for c in rows)]
+            yield from pairs(*(np.concatenate(c) for c in zip(*parts)))
+            kept = [tuple(c[whole:] for c in rows)]
+        else:
+            kept.append(rows)
     if kept:
-        yield from pairs()
+        yield from pairs(*(np.concatenate(c) for c in zip(*kept)))
+
+
+def _shared_units(reps: DataFrame) -> DataFrame:
+    """(d, doc, n, on_a, on_b, bits, over_a, over_b): the chunks by which representatives are joined, and parts of either side."""
+    spark = reps.sparkSession
+    either = lambda r: r.select(F.explode(F.concat("short", "long")).alias("d"), "on_a", "on_b")
+    often = either(reps).groupBy("d").agg(F.sum(F.col("on_a").cast("long")).alias("as"), F.sum(F.col("on_b").cast("long")).alias("bs")).where("as > 0 AND bs > 0")
+    shared = written(often, "shared")
+    parts = shared.select("d", F.ceil(F.col("as") / SIDE).alias("over_a"), F.ceil(F.col("bs") / SIDE).alias("over_b"))
+    if shared.count() <= BROADCAST_CHUNKS:
+        got = shared.select("d", (F.col("as") * F.col("bs")).alias("pairs")).orderBy("d").toArrow()
+        known = spark.sparkContext.broadcast((got.column("d").to_numpy(), got.column("pairs").to_numpy()))
+        units = reps.mapInArrow(_units(known), "d long, doc long, n int, on_a boolean, on_b boolean, bits binary")
+        split = F.broadcast(parts.where("over_a > 1 OR over_b > 1"))
+        one = F.lit(1).cast("long")
+        return units.join(split, "d", "left").withColumn("over_a", F.coalesce("over_a", one)).withColumn("over_b", F.coalesce("over_b", one))
+    lists = F.array(*[F.struct(F.lit(c).alias("scheme"), F.col(c).alias("c")) for c in ("short", "long")])
+    units = reps.select("doc", "n", "on_a", "on_b", "bits", F.inline(lists)).withColumn("m", F.size("c")).withColumn("d", F.explode("c")).drop("c")
+    units = units.join(shared.withColumn("pairs", F.col("as") * F.col("bs")).drop("as", "bs"), "d")
+    nth = F.row_number().over(Window.partitionBy("doc", "scheme").orderBy(F.col("pairs").desc(), "d"))
+    out = F.greatest(F.ceil(F.col("m") * F.lit(KEPT) - 1e-9) - 1, F.lit(0))
+    units = units.withColumn("nth", nth).where((F.col("nth") > out) | (F.col("pairs") <= FREQUENT))
+    return units.join(parts, "d").select("d", "doc", "n", "on_a", "on_b", "bits", "over_a", "over_b")
 
 
 def candidates(reps: DataFrame) -> DataFrame:
-    """(field, doc_a, doc_b): representatives of either side with a chunk in common whose bitmaps let them count.
+    """(doc_a, doc_b): representatives of either side with a chunk in common whose bitmaps let them count.
 
-    ``reps`` has (field, doc, n, chunks, bits, on_a, on_b).
+    ``reps`` has (doc, n, short, long, bits, on_a, on_b).
     """
-    units = reps.withColumn("d", F.explode(F.array_distinct("chunks"))).drop("chunks")
-    often = units.groupBy("field", "d").agg(F.sum(F.col("on_a").cast("long")).alias("as"), F.sum(F.col("on_b").cast("long")).alias("bs"))
-    hot = often.where(F.col("as") * F.col("bs") > HOT).select("field", "d", F.ceil(F.col("as") / SIDE).alias("over_a"), F.ceil(F.col("bs") / SIDE).alias("over_b"))
-    hot = written(hot, "hot")
-    hot = F.broadcast(hot) if hot.count() <= BROADCAST_HOT else hot
-    # One shuffle by chunk serves both sides of the join.
-    cold = units.join(hot, ["field", "d"], "left_anti").select("field", "d", "doc", "n", "on_a", "on_b").repartition("field", "d")
-    a = cold.where("on_a").select("field", "d", F.col("doc").alias("doc_a"), F.col("n").alias("n_a"))
-    b = cold.where("on_b").select("field", "d", F.col("doc").alias("doc_b"), F.col("n").alias("n_b"))
-    near = (F.col("n_a") > F.col("n_b") * (1 - DIFFERING)) & (F.col("n_b") > F.col("n_a") * (1 - DIFFERING)) & (F.col("doc_a") != F.col("doc_b"))
-    met = a.join(b, ["field", "d"]).where(near).select("field", "doc_a", "doc_b", "n_a", "n_b").distinct()
-    bits = reps.select("field", "doc", "bits")
-    met = met.join(bits.toDF("field", "doc_a", "bits_a"), ["field", "doc_a"]).join(bits.toDF("field", "doc_b", "bits_b"), ["field", "doc_b"])
-    met = met.mapInArrow(_alike, "field int, doc_a long, doc_b long")
+    units = _shared_units(reps)
     # A block has a part of the texts of either side; each text goes to the blocks with every part of the other side.
-    held = units.join(hot, ["field", "d"])
-    columns = lambda side, i, j: ("field", "d", F.lit(side).alias("side"), "doc", "n", "bits", i.alias("i"), j.alias("j"))
-    own, every = (lambda n: F.pmod("doc", n)), (lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)))
-    blocks = held.where("on_a").select(*columns(0, own("over_a"), every("over_b"))).unionByName(held.where("on_b").select(*columns(1, every("over_a"), own("over_b"))))
-    blocks = blocks.repartition("field", "d", "i", "j").sortWithinPartitions("field", "d", "i", "j")
-    return met.unionByName(blocks.mapInArrow(_blocks, "field int, doc_a long, doc_b long")).distinct()
+    every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    own = lambda n: F.array(F.pmod("doc", F.col(n)))
+    side = lambda s, i, j: F.when(F.col(f"on_{'ab'[s]}"), F.array(F.struct(F.lit(s).alias("side"), i.alias("i"), j.alias("j"))))
+    sides = F.flatten(F.array_compact(F.array(side(0, own("over_a"), every("over_b")), side(1, every("over_a"), own("over_b")))))
+    rows = units.select("d", "doc", "n", "bits", F.inline(sides)).withColumn("i", F.explode("i")).withColumn("j", F.explode("j"))
+    rows = rows.repartition("d", "i", "j").sortWithinPartitions("d", "i", "j", "side")
+    return rows.mapInArrow(_blocks, "doc_a long, doc_b long").distinct()
 
 
 def overlaps(side_a: DataFrame, side_b: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -270,22 +335,22 @@ def overlaps(side_a: DataFrame, side_b: DataFrame, key: str, fields: list[str])
         texts = F.array(*[F.struct(F.lit(i).alias("field"), F.col(f"`{f}`").alias("text")) for i, f in enumerate(fields)])
         return df.where(F.col(key).isNotNull()).select(F.lit(side).alias("side"), F.col(key).alias("key"), F.inline(texts)).where("text IS NOT NULL")
 
-    texts = rows(side_a, 0).unionByName(rows(side_b, 1))
-    docs = written(cut(texts), "docs")
+    docs = written(cut(rows(side_a, 0).unionByName(rows(side_b, 1))), "docs")
     members = docs.select("side", "key", "field", "doc").distinct()
-    reps = docs.groupBy("field", "doc").agg(F.max("n").alias("n"), F.bool_or(F.col("side") == 0).alias("on_a"), F.bool_or(F.col("side") == 1).alias("on_b"), F.max_by(F.struct("chunks", "bits"), "n").alias("c"))
-    reps = written(reps, "reps")
-    met = written(candidates(reps.select("field", "doc", "n", "on_a", "on_b", "c.*")), "candidates")
-    # The texts of the candidates, one record for each.
-    asked = met.select("field", F.col("doc_a").alias("doc")).union(met.select("field", F.col("doc_b").alias("doc"))).distinct()
-    owners = docs.join(asked, ["field", "doc"], "left_semi").groupBy("field", "doc").agg(F.min(F.struct("side", "key")).alias("o")).select("field", "doc", "o.*")
-    found = written(owners.join(texts, ["side", "key", "field"]).groupBy("field", "doc").agg(F.max("text").alias("text")), "texts")
-    pairs = met.join(found.toDF("field", "doc_a", "text_a"), ["field", "doc_a"]).join(found.toDF("field", "doc_b", "text_b"), ["field", "doc_b"])
-    near = pairs.mapInArrow(_verify, "field int, doc_a long, doc_b long, same double")
-    equal = reps.where("on_a AND on_b").select("field", F.col("doc").alias("doc_a"), F.col("doc").alias("doc_b"), F.lit(1.0).alias("same"))
+    reps = docs.groupBy("doc").agg(F.max("n").alias("n"), F.bool_or(F.col("side") == 0).alias("on_a"), F.bool_or(F.col("side") == 1).alias("on_b"), F.max_by(F.struct("short", "long", "bits"), "n").alias("c"))
+    reps = written(reps.select("doc", "n", "on_a", "on_b", "c.*"), "reps")
+    met = written(candidates(reps), "candidates")
+    # The words of the candidates, one record for each.
+    asked = met.select(F.col("doc_a").alias("doc")).union(met.select(F.col("doc_b").alias("doc"))).distinct()
+    asked = written(asked, "asked")
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_DOCS else asked
+    words = written(docs.select("doc", "words").join(asked, "doc", "left_semi").dropDuplicates(["doc"]), "words")
+    pairs = met.join(words.toDF("doc_a", "words_a"), "doc_a").join(words.toDF("doc_b", "words_b"), "doc_b")
+    near = pairs.mapInArrow(_verify, "doc_a long, doc_b long, same double")
+    equal = reps.where("on_a AND on_b").select(F.col("doc").alias("doc_a"), F.col("doc").alias("doc_b"), F.lit(1.0).alias("same"))
     linked = near.unionByName(equal)
     on_a = members.where("side = 0").select("field", F.col("doc").alias("doc_a"), F.col("key").alias("key_a"))
-    on_b = members.where("side = 1").select("field", F.col("doc").alias("doc_b"), F.col("key").alias("key_b"))
-    out = linked.join(on_a, ["field", "doc_a"]).join(on_b, ["field", "doc_b"]).where("key_a != key_b")
+    on_b = members.where("side = 1").select(F.col("doc").alias("doc_b"), F.col("key").alias("key_b"))
+    out = linked.join(on_a, "doc_a").join(on_b, "doc_b").where("key_a != key_b")
     names = F.element_at(F.array(*[F.lit(f) for f in fields]), F.col("field") + 1)
     return out.select("key_a", "key_b", names.alias("field"), "same")
