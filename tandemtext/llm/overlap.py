@@ -106,7 +106,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         apart = _mix(np.asarray(field.to_numpy(), dtype=np.uint64) * _MIX)
         doc = _mix(np.add.reduceat(_mix(h + place.astype(np.uint64) * _MIX), starts) + n.astype(np.uint64) + apart)
         owner = np.repeat(np.arange(len(keep)), n)
-        odd = np.bincount(owner * BITS + (h >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64), minlength=len(keep) * BITS) % 2
+        # A word's second occurrence is another word to the bitmap, its third one again.
+        order = np.lexsort((h, owner))
+        new = np.concatenate([[True], (owner[order][1:] != owner[order][:-1]) | (h[order][1:] != h[order][:-1])])
+        nth = np.arange(len(h)) - np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+        bit = (_mix(h[order] + nth.astype(np.uint64) * _MIX) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
+        odd = np.bincount(owner[order] * BITS + bit, minlength=len(keep) * BITS) % 2
         bits = np.packbits(odd.astype(bool)).reshape(len(keep), -1)
         lists = []
         for mean, wanted in ((SHORT_CHUNK, n <= LONG / (1 - DIFFERING)), (LONG_CHUNK, n > LONG)):
@@ -127,8 +132,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def cut(rows: DataFrame) -> DataFrame:
     """(side, key, field, text) to (side, key, field, doc, n, short, long, bits, words) of the texts with enough words.
 
-    ``short`` and ``long`` have the digests of the chunks of either size, ``bits`` for each hash of a word whether the text
-    holds it an odd number of times, ``words`` the normalised text.
+    ``short`` and ``long`` have the digests of the chunks of either size, ``bits`` for each hash of a word and
+    its number among equal ones whether the text holds an odd number of such, ``words`` the normalised text.
     """
     kind = rows.schema["key"].dataType.simpleString()
     return rows.mapInArrow(_cut, f"side int, key {kind}, field int, doc long, n int, short array<long>, long array<long>, bits binary, words string")

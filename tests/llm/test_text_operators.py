@@ -55,9 +55,11 @@ def test_same_words_is_the_longest_common_subsequence():
             assert got == -1 or 5 * (most - got) >= most
 
 
-@pytest.mark.parametrize("hot", [0, 100])
-def test_overlaps_equal_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(overlap, "HOT", hot if hot else 4)
+@pytest.mark.parametrize("frequent, broadcast", [(4, 0), (4, 10**6), (100, 10**6)])
+def test_overlaps_equal_brute_force(spark, monkeypatch, frequent, broadcast):
+    monkeypatch.setattr(overlap, "FREQUENT", frequent)
+    monkeypatch.setattr(overlap, "BROADCAST_CHUNKS", broadcast)
+    monkeypatch.setattr(overlap, "BROADCAST_DOCS", broadcast)
     rnd = random.Random(4)
     boiler = prose(rnd, 30)
     train = [(i, prose(rnd, rnd.choice([25, 60, 90, 200])), boiler if i % 3 == 0 else prose(rnd, 40)) for i in range(60)]
@@ -76,10 +78,12 @@ def test_overlaps_equal_brute_force(spark, monkeypatch, hot):
     assert got == want and len(want) > 100
 
 
-@pytest.mark.parametrize("side", [20_000, 37])
-@pytest.mark.parametrize("words, changed, held, copies", [(60, 1, 1, 400), (120, 3, 30, 30)])
-def test_overlaps_of_many_near_copies(spark, monkeypatch, words, changed, held, copies, side):
+@pytest.mark.parametrize("side, broadcast", [(20_000, 10**6), (37, 10**6), (37, 0)])
+@pytest.mark.parametrize("words, changed, held, copies", [(60, 1, 1, 400), (80, 1, 20, 20), (120, 3, 30, 30), (100, 9, 40, 40)])
+def test_overlaps_of_many_near_copies(spark, monkeypatch, words, changed, held, copies, side, broadcast):
+    """Groups of near copies, all of whose chunks are frequent, come out whole."""
     monkeypatch.setattr(overlap, "SIDE", side)
+    monkeypatch.setattr(overlap, "BROADCAST_CHUNKS", broadcast)
     rnd = random.Random(6)
     text = prose(rnd, words).split()
 
@@ -96,6 +100,15 @@ def test_overlaps_of_many_near_copies(spark, monkeypatch, words, changed, held,
     assert got == {(a, b) for a, _ in asked for b in range(copies)}
 
 
+def test_overlaps_of_a_thousand_near_copies_on_either_side(spark):
+    rnd = random.Random(8)
+    text = prose(rnd, 60).split()
+    rows = [(k, " ".join([*text[: k % 60], f"new{k}", *text[k % 60 + 1 :]])) for k in range(2000)]
+    df = lambda part: spark.createDataFrame(part, "id long, a string")
+    got = overlap.overlaps(df(rows[:1000]), df(rows[1000:]), "id", ["a"])
+    assert got.select("key_a", "key_b").distinct().count() == 1000 * 1000
+
+
 def test_overlaps_of_nothing(spark):
     none = spark.createDataFrame([], "id long, a string")
     assert overlap.overlaps(none, none, "id", ["a"]).count() == 0
