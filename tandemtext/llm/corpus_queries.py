@@ -1,11 +1,11 @@
-"""Queries of the general corpus operators (ranking, sampling, capping) and their SQL."""
+"""Queries of ranking, sampling and capping, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemtext.operators import capping, quota_sampling, ranking
+from tandemtext.llm import capping, quota_sampling, ranking
 from tandemtext.session import checkpointed
 from tandemtext.sources.tables import label, number, once, table
 
@@ -20,6 +20,17 @@ def p1_ranking(spark: SparkSession, d: str) -> DataFrame:
     return ranking.principal_ranking(_scores(spark, d), "pair_id", SCORES)
 
 
+def p1_projection(spark: SparkSession, d: str) -> DataFrame:
+    return p1_ranking(spark, d).select("pair_id", F.round("projection", 6).alias("projection"))
+
+
+def p1_loadings(spark: SparkSession, d: str) -> DataFrame:
+    """Loadings of the first component, and whether each points in its score's declared direction."""
+    rows = checkpointed(once(_scores(spark, d), "pair_id"))
+    load, _, _ = ranking.loadings(ranking.with_midranks(rows, "pair_id", list(SCORES)), list(SCORES.values()))
+    return spark.createDataFrame([(c, round(v, 6), k, v * k >= 0) for (c, k), v in zip(SCORES.items(), load)], "score string, loading double, direction int, agrees boolean")
+
+
 def p1_midranks(spark: SparkSession, d: str) -> DataFrame:
     rows = checkpointed(once(_scores(spark, d), "pair_id"))
     ranks = ranking.with_midranks(rows, "pair_id", list(SCORES))
@@ -65,7 +76,7 @@ def p7_kept(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(gone, "pair_id", "left_anti").groupBy("category", "human_source").agg(F.count("*").alias("kept"))
 
 
-QUERIES = {"p1_ranking": p1_ranking, "p1_midranks": p1_midranks, "p6_sample": p6_sample, "p6_report": p6_report, "p6_available": p6_available, "p7_found": p7_found, "p7_kept": p7_kept}
+QUERIES = {"p1_ranking": p1_ranking, "p1_midranks": p1_midranks, "p1_projection": p1_projection, "p1_loadings": p1_loadings, "p6_sample": p6_sample, "p6_report": p6_report, "p6_available": p6_available, "p7_found": p7_found, "p7_kept": p7_kept}
 
 _LABEL = "nullif(replace(lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g')), '-', '_'), '')"
 
@@ -78,6 +89,18 @@ def _midrank(c: str) -> str:
     return f"CASE WHEN {c} IS NOT NULL THEN round((rank() OVER (PARTITION BY {c} IS NULL ORDER BY {c}) - 1 + count(*) OVER (PARTITION BY {c}) / 2.0) / count({c}) OVER (), 6) END AS {c}_rank"
 
 
+def _exact_midrank(c: str, name: str) -> str:
+    return f"CASE WHEN {c} IS NOT NULL THEN (rank() OVER (PARTITION BY {c} IS NULL ORDER BY {c}) - 1 + count(*) OVER (PARTITION BY {c}) / 2.0) / count({c}) OVER () END AS {name}"
+
+
+_PCA = f"""WITH RECURSIVE t AS (SELECT DISTINCT pair_id, {', '.join(f'{_fraction(c)} AS {c}' for c in SCORES)} FROM final_scored),
+m AS (SELECT pair_id, {', '.join(_exact_midrank(c, n) for c, n in zip(SCORES, 'abc'))} FROM t), u AS (SELECT pair_id, coalesce(a, 0.5) AS a, coalesce(b, 0.5) AS b, coalesce(c, 0.5) AS c FROM m),
+r AS (SELECT corr(a, b) AS ab, corr(a, c) AS ac, corr(b, c) AS bc FROM u),
+p(i, x, y, z) AS (SELECT 0, 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE UNION ALL
+  SELECT i + 1, (x + ab * y + ac * z) / s, (ab * x + y + bc * z) / s, (ac * x + bc * y + z) / s FROM (SELECT p.*, r.*, sqrt((x + ab * y + ac * z) ** 2 + (ab * x + y + bc * z) ** 2 + (ac * x + bc * y + z) ** 2) AS s FROM p, r) WHERE i < 300),
+v AS (SELECT x, y, z FROM p WHERE i = 300)"""
+
+
 _P7 = f"""
 WITH t AS (
   SELECT pair_id, any_value({_LABEL.format(c="category")}) AS category, any_value({_LABEL.format(c="human_source")}) AS source,
@@ -92,6 +115,9 @@ gone AS (SELECT pair_id FROM r WHERE source IS NOT NULL AND nth > most)
 """
 
 SQL = {
+    # The first component by power iteration.
+    "p1_loadings": _PCA + " SELECT unnest(['sbert_similarity', 'nli_entailment_prob', 'tfidf_similarity']) AS score, unnest([round(x, 6), round(y, 6), round(z, 6)]) AS loading, 1::INTEGER AS direction, unnest([x >= 0, y >= 0, z >= 0]) AS agrees FROM v",
+    "p1_projection": _PCA + ", w AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, stddev_pop(a) AS sa, stddev_pop(b) AS sb, stddev_pop(c) AS sc FROM u) SELECT pair_id, round(x * (a - ma) / sa + y * (b - mb) / sb + z * (c - mc) / sc, 6) AS projection FROM u, w, v",
     "p1_midranks": f"WITH t AS (SELECT DISTINCT pair_id, {', '.join(f'{_fraction(c)} AS {c}' for c in SCORES)} FROM final_scored) SELECT pair_id, {', '.join(map(_midrank, SCORES))} FROM t",
     "p6_available": f"""
 WITH t AS (SELECT pair_id, any_value({_LABEL.format(c="category")}) AS category FROM train_filtered GROUP BY pair_id),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tandemtext.llm import leaks, overlap, pairs, personal, repetition, tokens, truncation
+from tandemtext.llm import corpus_queries, leaks, overlap, pairs, personal, repetition, tokens, truncation
 from tandemtext.sources.tables import label, number, once, split_label, table
 
 
@@ -105,9 +105,10 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return personal.redacted(_texts(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES = {"p2_found": p2_found, "p2_by_source": p2_by_source, "p3_found": p3_found, "p3_sources": p3_sources, "p4_found": p4_found, "p4_measures": p4_measures, "p5_found": p5_found, "p5_by_source": p5_by_source, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_redacted": p10_redacted}
+QUERIES = {**corpus_queries.QUERIES, "p2_found": p2_found, "p2_by_source": p2_by_source, "p3_found": p3_found, "p3_sources": p3_sources, "p4_found": p4_found, "p4_measures": p4_measures, "p5_found": p5_found, "p5_by_source": p5_by_source, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_redacted": p10_redacted}
 _WORDS = r"list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[''’]', '', 'g'), '\p{Nd}', '0', 'g'), '[^\p{L}\p{M}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '')"
 SQL: dict[str, str] = {
+    **corpus_queries.SQL,
     "p4_found": f"""
 WITH t AS (SELECT 'regenerated_cache' AS table_name, cache_id AS row_id, any_value("New Human Text") AS text FROM regenerated_cache GROUP BY cache_id
   UNION ALL SELECT 'train_normalized', pair_id, any_value("Human Text") FROM train_normalized GROUP BY pair_id),

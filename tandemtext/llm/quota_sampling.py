@@ -94,7 +94,7 @@ def quota_sample(df: DataFrame, key: str, dims: dict[str, Column], targets: list
             # No more than a floor's rows are ever needed, so this is a bounded top-k.
             more = marked.where(~F.col("taken") & (F.col(d_cols[i]) == t.bucket))
             for e in extra:
-                more = more.join(F.broadcast(e.select("k")), "k", "left_anti")
+                more = more.join(e.select("k"), "k", "left_anti")
             more = checkpointed(more.orderBy("drawn", "k").limit(lack).select("k", *d_cols, "p", F.lit("floor").alias("selected_by")))
             extra.append(more)
             for r in more.groupBy(*d_cols).count().collect():

@@ -67,7 +67,9 @@ def with_midranks(df: DataFrame, key: str, scores: list[str]) -> DataFrame:
 def loadings(ranks: DataFrame, directions: list[int]) -> tuple[list[float], list[float], list[float]]:
     """First principal component of the ranks' correlation matrix: (loadings, means, deviations).
 
-    A missing rank counts as the mean.  Signs are oriented so that every loading points in its declared direction.
+    A missing rank counts as the mean.  An eigenvector has no sign of its own: the whole vector is turned so that it agrees
+    with the declared directions, in sum.  A score that runs against its direction keeps its loading; ``v * direction < 0``
+    tells such a conflict.
     """
     k = len(directions)
     u = [F.coalesce(F.col(f"u{i}"), F.lit(0.5)) for i in range(k)]
@@ -82,7 +84,8 @@ def loadings(ranks: DataFrame, directions: list[int]) -> tuple[list[float], list
     scale = np.where(flat, 1.0, dev)
     corr = np.where(np.outer(flat, flat) | flat[:, None] | flat[None, :], 0.0, cov / np.outer(scale, scale))
     vector = np.linalg.eigh(corr)[1][:, -1] if not flat.all() else np.ones(k) / np.sqrt(k)
-    return [float(abs(v)) * d for v, d in zip(vector, directions)], mean.tolist(), scale.tolist()
+    turn = -1.0 if float(vector @ np.array(directions)) < 0 else 1.0
+    return [float(v) * turn for v in vector], mean.tolist(), scale.tolist()
 
 
 def principal_ranking(df: DataFrame, key: str, scores: Mapping[str, int]) -> DataFrame:
