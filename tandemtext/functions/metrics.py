@@ -8,17 +8,33 @@ from pyspark.sql import functions as F
 from tandemtext.functions import text as T
 
 # Lexicons and patterns of the style metrics.
-INFORMAL = ("gonna", "wanna", "gotta", "kinda", "sorta", "yeah", "yep", "nope", "ok", "okay", "stuff", "guys", "kids", "cool", "awesome", "pretty", "really", "basically", "literally", "anyway")
-SLANG = ("lol", "lmao", "rofl", "omg", "btw", "imo", "imho", "idk", "tbh", "smh", "ikr", "brb", "afaik", "fyi", "thx", "pls", "plz", "u", "ur", "bruh")
-PROFANITY = ("damn", "hell", "crap", "shit", "fuck", "bitch", "ass", "bastard")
+INFORMAL = (
+    "lol", "lmao", "lmfao", "rofl", "omg", "btw", "idk", "imo", "imho", "tbh", "ngl", "ikr",
+    "bruh", "bro", "dude", "yep", "yup", "nah", "nope", "gonna", "wanna", "gotta", "kinda", "sorta",
+    "ain't", "lemme", "gimme", "cuz", "coz", "tho", "thx", "pls", "plz", "haha", "hehe", "hahaha",
+)
+SLANG = ("fr", "rn", "sus", "af", "ong", "istg", "smh", "fyi", "wbu", "hbu", "wyd", "wym", "tf", "lmk", "asap")
+PROFANITY = ("fuck", "fucking", "fucked", "shit", "bullshit", "bitch", "asshole", "damn", "crap", "dick", "piss")
 CLICHES = (
-    "delve", "tapestry", "testament", "landscape", "realm", "beacon", "cornerstone", "pivotal", "crucial", "vital", "robust", "seamless", "seamlessly", "leverage", "leveraging", "holistic",
-    "multifaceted", "nuanced", "underscore", "underscores", "foster", "fostering", "furthermore", "moreover", "additionally", "consequently", "nevertheless", "notably", "ultimately", "comprehensive", "intricate", "transformative",
+    "furthermore", "moreover", "consequently", "in conclusion", "landscape", "tapestry", "multifaceted", "paramount",
+    "delve", "testament", "pivotal", "foster", "harness", "navigate", "realm", "crucial", "profound", "underscore",
+    "symbiotic", "holistic", "unprecedented", "paradigm", "catalyst", "transformative", "intricate", "seamless",
+    "vibrant", "ecosystem", "synergy", "steadfast", "cornerstone", "ultimately",
+)
+# Stems, each followed by any letters; the phrase stands as it is.
+CLICHE_STEMS = (
+    "navigat", "rigor", "furnish", "accord", "labor", "endeavor", "meticul", "comprehens", "leverag", "robust",
+    "nuanc", "intricat", "delv", "underscor", "pivot", "tapestr", "realm", "furthermor", "moreov", "consequent",
+    "in conclusion", "multifacet", "paramount", "testament", "foster", "harness", "crucial", "profound", "symbio",
+    "holist", "unprecedent", "paradigm", "catalyst", "transform", "seamless", "vibrant", "ecosystem", "synerg",
+    "steadfast", "cornerston", "ultimat",
 )
-CLICHE_STEMS = tuple(dict.fromkeys([c.rstrip("e") if c.endswith("e") and len(c) > 6 else c for c in CLICHES])) + ("resilien", "sustainab", "empower", "synerg", "paradigm", "profound", "unwavering", "commitment", "imperative")
-CONTRACTION = r"[A-Za-z]+'(?:re|ve|d|ll|t|s)"
+CLICHE_PATTERN = rf"(?i)\b(?:{'|'.join(CLICHES)})\b"
+CLICHE_STEM_PATTERN = rf"(?i)\b(?:{'|'.join(w if ' ' in w else w + '[A-Za-z0-9_]*' for w in CLICHE_STEMS)})\b"
+CONTRACTION = r"(?i)\b[a-z]+'(?:re|ve|d|ll|t|s)\b"
 PUNCTUATION_RUN = r"[!?.,;:]{3,}"
-REFUSAL_MARKERS = ("i cannot", "i can't", "i'm sorry", "as an ai", "i am unable", "i won't")
+# What a collected answer must not begin with.
+REFUSAL_MARKERS = ("i cannot", "i can't", "as an ai", "here is the rewritten", "here's the rewritten", "sure, here", "i'm sorry")
 VERB_SHAPE = r"(?:is|are|was|were|be|been|has|have|had|do|does|did|can|could|will|would|shall|should|may|might|must|[a-z]{2,}(?:ed|ing|ise|ize|ises|izes|ates|ify|ifies))"
 RATIO_BINS = ("<0.70", "0.70-0.80", "0.80-0.90", "0.90-0.95", ">0.95")
 FACT = r"[0-9][0-9.,:/-]*[0-9]|[0-9]|[A-Z][a-z]+(?: [A-Z][a-z]+)+"
@@ -62,12 +78,16 @@ def contraction_rate(c: Column) -> Column:
 
 
 def cliche_density(c: Column) -> Column:
-    return per(lexicon(T.words(c), CLICHES), T.space_words(c), 1000)
+    return per(F.coalesce(F.regexp_count(c, F.lit(CLICHE_PATTERN)), F.lit(0)), T.space_words(c), 1000)
 
 
 def stem_density(c: Column) -> Column:
-    stems = F.size(F.filter(T.words(c), lambda w: F.rlike(w, F.lit(rf"^(?:{'|'.join(CLICHE_STEMS)})"))))
-    return per(F.coalesce(stems, F.lit(0)), T.space_words(c), 1000)
+    return per(F.coalesce(F.regexp_count(c, F.lit(CLICHE_STEM_PATTERN)), F.lit(0)), T.space_words(c), 1000)
+
+
+def has_verb(sentence: Column) -> Column:
+    """Whether a word of the sentence has a verb's shape (stand-in for a tagger)."""
+    return F.coalesce(F.size(F.filter(T.words(sentence), lambda w: F.rlike(w, F.lit(f"^{VERB_SHAPE}$")))) > 0, F.lit(False))
 
 
 def facts(c: Column) -> Column:

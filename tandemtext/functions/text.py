@@ -25,7 +25,8 @@ TITLE_LINE = r"^(?:[^\n]{0,80}[ \t](?:Essay|Research Paper|Report)|(?:Title|Subj
 TRAILING_REFERENCES = r"\n[ \t\n]*(?:Works Cited|References|Bibliography)(?s:.)*\z"
 CITATION = r"\([A-Z][^)]*[0-9]{4}\)"
 CATEGORIES = ("academic", "document", "email", "essay", "general")
-ALIASES = {"academics": "academic", "paper": "academic", "mail": "email", "e_mail": "email", "documents": "document", "report": "document", "essays": "essay", "blog": "general"}
+# Other names of categories; what is still unknown after them is ``auto``.
+ALIASES = {"academic_writing": "academic", "report": "document", "professional_email": "email", "essay_writing": "essay", "default": "auto"}
 # Instructions that prompts are made of.
 SYSTEM_PROMPT = "Rewrite the text so that it reads as if a person wrote it. Keep every fact."
 GUIDES = {"academic": "Keep the formal register.", "document": "Keep the structure.", "email": "Keep greeting and closing.", "essay": "Keep the argument.", "general": "Keep the tone."}
@@ -91,14 +92,18 @@ def unquote(c: Column) -> Column:
     return F.when(c.startswith('"') & c.endswith('"') & (F.char_length(c) > 1), F.regexp_replace(c, r'^"|"$', "")).otherwise(c)
 
 
+# What a model says before and after its answer.
+LEAD_IN = r"(?i)^\s*(?:\*\*|##)?\s*(?:here(?:'s| is) (?:the |a )?(?:rewritten|revised|formal|ai-style|modified)?\s*(?:text|version|passage|essay|email|report|document)?[:\-]?\s*(?:\*\*|##)?)\s*"
+HEADING = r"(?i)^\s*(?:\*\*|##)?\s*(?:rewritten|revised|aiified)\s*(?:text|version|passage)?[:\-]?\s*(?:\*\*|##)?\s*"
+OFFER = r"(?i)\n+(?:let me know if|i hope this helps|hope this helps|feel free to ask)[^\n]*\z"
+
+
 def model_output(c: Column) -> Column:
-    """Without reasoning blocks, lead-ins, offers at the end and quotes around it all."""
-    c = F.regexp_replace(c, r"(?is)<(?:think|thought)>.*?</(?:think|thought)>", "")
-    c = strip(c)
-    c = F.regexp_replace(c, r"(?i)^(?:here is|here's) the (?:rewritten|revised|humanized)[^:\n]{0,40}:[ \t\n]*", "")
-    c = F.regexp_replace(c, r"(?i)^rewritten(?: text| version)?[ \t]*:[ \t\n]*", "")
-    c = F.regexp_replace(c, r"(?i)\n+let me know if[^\n]*\z", "")
-    return unquote(strip(c))
+    """Without reasoning blocks, lead-ins, an offer in the last line and quotes around it all."""
+    c = strip(F.regexp_replace(c, r"(?is)<(?:think|thought)>.*?</(?:think|thought)>", ""))
+    c = F.regexp_replace(F.regexp_replace(c, LEAD_IN, ""), HEADING, "")
+    c = strip(F.regexp_replace(c, OFFER, ""))
+    return strip(F.regexp_replace(F.regexp_replace(c, r'(?s)^"(.*)"\z', "$1"), r"(?s)^'(.*)'\z", "$1"))
 
 
 def after_thinking(c: Column) -> Column:
@@ -185,7 +190,13 @@ def category_or(c: Column, default: str) -> Column:
     out = k
     for alias, name in ALIASES.items():
         out = F.when(k == alias, name).otherwise(out)
-    return F.when(out.isin(*CATEGORIES), out).otherwise(default)
+    return F.when(out.isin(*CATEGORIES, "auto"), out).otherwise(default)
+
+
+def training_category(c: Column) -> Column:
+    """Canonical category of a training row: no aliases, only case and outer white space; others become general."""
+    k = F.lower(strip(c))
+    return F.when(k.isin(*CATEGORIES, "auto"), k).otherwise("general")
 
 
 def label_dash(c: Column) -> Column:

@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 
 from tandemtext.session import checkpointed
 
+#: Rows of a smaller side up to which it is broadcast; beyond it the join shuffles, with its keys spread over SALTS parts.
+BROADCAST_ROWS, SALTS = 200_000, 32
 PARTITION, PLACE = "__partition", "__place"
 
 
@@ -47,3 +49,21 @@ def running_sum(df: DataFrame, name: str, amount: Column, *order: Column) -> Dat
     inside = Window.partitionBy(PARTITION).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = F.sum("__amount").over(inside) - F.col("__amount")
     return rows.withColumn(name, total + _offsets(rows, F.col("__amount"))).drop(PARTITION, PLACE, "__amount")
+
+
+def join_small(df: DataFrame, side: DataFrame, on: list[str], spread: str) -> DataFrame:
+    """Inner join with a side of unique keys that many rows share: broadcast up to BROADCAST_ROWS rows, else salted.
+
+    ``spread`` is a column of ``df`` by which the rows of one key are spread.
+    """
+    if side.count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(side), on)
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return salted.join(side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*on, "__salt"]).drop("__salt")
+
+
+def ranked_in(df: DataFrame, name: str, groups: list[str], key: str, *order: Column) -> DataFrame:
+    """Add the row number (from 1) inside each group; a group of any size is sorted over many tasks."""
+    rows = checkpointed(numbered(df, "__at", *[F.col(g) for g in groups], *order))
+    first = rows.groupBy(*groups).agg(F.min("__at").alias("__first"))
+    return join_small(rows, first, groups, key).withColumn(name, F.col("__at") - F.col("__first") + 1).drop("__at", "__first")

@@ -11,7 +11,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 Encoder = Callable[[], Callable[[list[str]], list[list[float]]]]
@@ -141,3 +141,18 @@ def encode_examples(df: DataFrame, most: int, tokenizer: Tokenizer | None = None
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(rows, kind)], ["pair_id", "example"])
 
     return df.select("pair_id", "ai", "hu").mapInArrow(run, "pair_id long, example struct<input_ids:array<int>,attention_mask:array<int>,labels:array<int>>")
+
+
+def collate(examples: DataFrame, size: int, pad: int = 0, ignore: int = -100) -> DataFrame:
+    """(pair_id, example) to (batch, pair_id, input_ids, attention_mask, labels) padded to the longest example of its batch.
+
+    Examples are put in batches of ``size`` by length, so that little is padded.
+    """
+    from tandemtext.operators.distributed import numbered
+
+    n = F.size("example.input_ids")
+    rows = numbered(examples.select("pair_id", "example", n.alias("n")), "at", F.col("n"), F.col("pair_id"))
+    rows = rows.withColumn("batch", F.floor((F.col("at") - 1) / size).cast("long"))
+    rows = rows.withColumn("more", F.max("n").over(Window.partitionBy("batch")) - F.col("n"))
+    padded = lambda c, v: F.concat(F.col(f"example.{c}"), F.array_repeat(F.lit(v), F.col("more"))).alias(c)
+    return rows.select("batch", "pair_id", padded("input_ids", pad), padded("attention_mask", 0), padded("labels", ignore))

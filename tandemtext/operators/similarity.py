@@ -5,11 +5,20 @@ Everything is keyed by pair: terms are joined on (pair, term) and sentences on p
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tandemtext.functions import metrics as M
+from tandemtext.functions import text as T
+from tandemtext.operators import models
+
+#: Cosine from which a sentence counts as copied, and below which it has no counterpart (fixed values).
+COPIED, WEAK = 0.9, 0.6
 
 
 def _letters() -> tuple[str, str]:
@@ -83,3 +92,37 @@ def structure_change(sim: DataFrame) -> DataFrame:
 def opening(sim: DataFrame) -> DataFrame:
     first = sim.groupBy("pair_id", "j").agg(F.max("sim").alias("best")).groupBy("pair_id").agg(F.min(F.struct("j", "best"))["best"].alias("best"))
     return first.select("pair_id", F.round("best", 4).alias("opening"))
+
+
+def _audit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["pair_id", "min_cov", "mean_cov", "copy_rate", "sent_count_ratio", "struct_change", "opening"]
+    for batch in batches:
+        out = []
+        for sentences in batch.column("s").to_pylist():
+            ai, hu = (np.array([x["vector"] for x in sentences if x["side"] == side], dtype=np.float64) for side in (0, 1))
+            if not len(ai) or not len(hu):
+                out.append((0.0, 0.0, 0.0, 0.0, 0.0, None))
+                continue
+            sim = ai @ hu.T
+            best, scores, at = sim.max(axis=1), sim.max(axis=0), sim.argmax(axis=0)
+            moved = (np.bincount(at, minlength=len(ai))[at] > 1) | (scores < WEAK)
+            out.append((round(float(best.min()), 4), round(float(best.mean()), 4), round(float((best > COPIED).mean()), 4), round(len(hu) / len(ai), 3), round(float(moved.mean()), 4), float(scores[0])))
+        yield pa.RecordBatch.from_arrays([batch.column("pair_id"), *(pa.array(list(c), pa.float64()) for c in (zip(*out) if out else [[]] * 6))], names)
+
+
+def audited_sentences(df: DataFrame, encoder: models.Encoder | None = None) -> DataFrame:
+    """(pair_id, ai, hu) to how well the machine's sentences are covered by the human ones, and the other way round.
+
+    Each distinct sentence is encoded once and its vector joined back; sentences meet within their pair only.  ``min_cov``,
+    ``mean_cov`` and ``copy_rate`` are of the machine sentences' best cosines, ``struct_change`` is the share of human
+    sentences that share their best counterpart or have none, ``opening`` the best cosine of the first human sentence.  Where
+    a side has no sentence they are 0 and ``opening`` is null.  Keys should be unique.
+    """
+    sides = F.array(F.struct(F.lit(0).alias("side"), T.sentences(F.col("ai")).alias("t")), F.struct(F.lit(1).alias("side"), T.sentences(F.col("hu")).alias("t")))
+    sentences = df.select("pair_id", F.inline(sides)).select("pair_id", "side", F.posexplode("t").alias("at", "sentence"))
+    vectors = models.encode(sentences.select("sentence").distinct(), "sentence", encoder)
+    met = sentences.join(vectors, "sentence").groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct("side", "at", "vector"))).alias("s"))
+    kind = df.schema["pair_id"].dataType.simpleString()
+    names = ("min_cov", "mean_cov", "copy_rate", "sent_count_ratio", "struct_change")
+    done = met.mapInArrow(_audit, f"pair_id {kind}, " + ", ".join(f"{n} double" for n in (*names, "opening")))
+    return df.select("pair_id").join(done, "pair_id", "left").select("pair_id", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names], "opening")

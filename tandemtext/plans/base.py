@@ -54,11 +54,15 @@ def delivered(spark: SparkSession, d: str, name: str = "final_scored", *more: st
     return table(spark, d, name).select(*cols)
 
 
-def audited(spark: SparkSession, d: str) -> DataFrame:
-    """One row per audited pair: labels, split and metrics without NaN."""
+def audited(spark: SparkSession, d: str, measured: Callable[[DataFrame], DataFrame] | None = None, *more: str) -> DataFrame:
+    """One row per audited pair: labels, split and metrics without NaN.
+
+    ``measured`` adds columns made of the texts; those named in ``more`` are kept, and no text is shuffled.
+    """
     cols = [F.col("pair_id"), *[label(c).alias(c) for c in LABELS], split_label("split").alias("split"), *[number(c).alias(c) for c in AUDIT]]
     flags = [F.col(c) for c in ("has_citation", "has_title_leakage", "has_trailing_references")]
-    return once(table(spark, d, "audit_scores").select(*cols, *flags), "pair_id")
+    rows = table(spark, d, "audit_scores")
+    return once((measured(rows) if measured else rows).select(*cols, *flags, *more), "pair_id")
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
@@ -123,6 +127,28 @@ def pairs_sql(name: str = "final_scored", *more: str) -> str:
 SPLIT_SQL = f"CASE WHEN {lab('split')} LIKE 'tr%' THEN 'train' WHEN {lab('split')} LIKE 'val%' OR {lab('split')} = 'dev' THEN 'validation' WHEN {lab('split')} LIKE 'te%' THEN 'test' END"
 
 
-def audited_sql() -> str:
+def strip_artifacts(c: str) -> str:
+    c = sub(sub(strip(c), T.TITLE_LINE), T.TRAILING_REFERENCES)
+    return strip(sub(sub(c, T.CITATION), r"[ \t]+", " "))
+
+
+def _density(c: str, pattern: str) -> str:
+    return f"round({count(c, pattern)} * 1000 / greatest({space_words(c)}, 1), 2)"
+
+
+CLICHES_SQL = r"(?i)\b(?:furthermore|moreover|consequently|in conclusion|landscape|tapestry|multifaceted|paramount|delve|testament|pivotal|foster|harness|navigate|realm|crucial|profound|underscore|symbiotic|holistic|unprecedented|paradigm|catalyst|transformative|intricate|seamless|vibrant|ecosystem|synergy|steadfast|cornerstone|ultimately)\b"
+STEMS_SQL = (
+    r"(?i)\b(?:navigat\w*|rigor\w*|furnish\w*|accord\w*|labor\w*|endeavor\w*|meticul\w*|comprehens\w*|leverag\w*|robust\w*|nuanc\w*|intricat\w*|delv\w*|underscor\w*|pivot\w*|tapestr\w*|realm\w*|furthermor\w*|moreov\w*|consequent\w*|in conclusion|multifacet\w*|"
+    r"paramount\w*|testament\w*|foster\w*|harness\w*|crucial\w*|profound\w*|symbio\w*|holist\w*|unprecedent\w*|paradigm\w*|catalyst\w*|transform\w*|seamless\w*|vibrant\w*|ecosystem\w*|synerg\w*|steadfast\w*|cornerston\w*|ultimat\w*)\b"
+)
+_CLEAN = strip_artifacts("coalesce(any_value(\"Human Text\"), '')")
+CLEAN_SQL = (
+    f"round({space_words(_CLEAN)} / greatest({space_words('any_value(' + chr(34) + 'AI Text' + chr(34) + ')')}, 1), 4) AS clean_ratio",
+    f"{_density(_CLEAN, CLICHES_SQL)} AS clean_cliches",
+    f"{_density(_CLEAN, STEMS_SQL)} AS clean_stems",
+)
+
+
+def audited_sql(more: tuple[str, ...] = ()) -> str:
     cols = [f"any_value({lab(c)}) AS {c}" for c in LABELS] + [f"any_value({SPLIT_SQL}) AS split"] + [f"any_value({num(c)}) AS {c}" for c in AUDIT] + [f"any_value({c}) AS {c}" for c in ("has_citation", "has_title_leakage", "has_trailing_references")]
-    return f"a AS (SELECT pair_id, {', '.join(cols)} FROM audit_scores GROUP BY pair_id)"
+    return f"a AS (SELECT pair_id, {', '.join([*cols, *more])} FROM audit_scores GROUP BY pair_id)"

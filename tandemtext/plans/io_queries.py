@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tandemtext.functions import text as T
 from tandemtext.plans.base import Registry, space_words, texts
-from tandemtext.session import shared_dir
+from tandemtext.session import scratch as _path
 from tandemtext.sources import files
 from tandemtext.sources.tables import table
 from tandemtext.streaming import append
@@ -16,10 +14,6 @@ from tandemtext.streaming import append
 R = Registry()
 
 
-def _path(spark, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @R.add("SELECT doc_id, CASE WHEN text IN ('', 'NA', 'N/A', 'null', 'NULL', 'None', 'nan', 'NaN') THEN NULL ELSE text END AS text, source FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\\r\\x00]')")
 def src01_snk01_csv(spark, d):
     path = _path(spark, "csv")
@@ -54,11 +48,24 @@ def src11_email_corpus(spark, d):
     return table(spark, d, "documents").where((F.lower(F.trim("category")) == "email") & (T.space_words(F.col("text")) >= 40)).select("doc_id")
 
 
-@R.add("SELECT doc_id FROM documents WHERE text <> '' AND (starts_with(source, 'essay') OR starts_with(source, 'blog') OR starts_with(source, 'report')) ORDER BY doc_id LIMIT 6000")
-def src08_src12_corpora(spark, d):
-    """Non-empty texts of the essay, report and blog corpora, up to the collection's quota."""
-    s = F.col("source")
-    return table(spark, d, "documents").where((F.col("text") != "") & (s.startswith("essay") | s.startswith("blog") | s.startswith("report"))).select("doc_id").orderBy("doc_id").limit(6000)
+def _corpus(spark, d, name: str, most: int):
+    """Non-empty texts of one corpus, up to its quota (the feature of these sources)."""
+    return table(spark, d, "documents").where((F.col("text") != "") & F.col("source").startswith(name)).select("doc_id").orderBy("doc_id").limit(most)
+
+
+@R.add("SELECT doc_id FROM documents WHERE text <> '' AND starts_with(source, 'essay') ORDER BY doc_id LIMIT 6000")
+def src08_essay_corpus(spark, d):
+    return _corpus(spark, d, "essay", 6000)
+
+
+@R.add("SELECT doc_id FROM documents WHERE text <> '' AND starts_with(source, 'report') ORDER BY doc_id LIMIT 5000")
+def src10_report_corpus(spark, d):
+    return _corpus(spark, d, "report", 5000)
+
+
+@R.add("SELECT doc_id FROM documents WHERE text <> '' AND starts_with(source, 'blog') ORDER BY doc_id LIMIT 6000")
+def src12_blog_corpus(spark, d):
+    return _corpus(spark, d, "blog", 6000)
 
 
 @R.add("SELECT 'AI Text' AS ai, 'Human Text' AS human")
@@ -102,10 +109,16 @@ def src03_positional_csv(spark, d):
     return raw.where("_c2 IS NOT NULL").toDF("first", "second", "third")
 
 
-@R.add("SELECT doc_id FROM documents WHERE starts_with(lower(trim(category)), 'acad') AND (contains(text, '@') OR NOT contains(text, '#')) AND text <> '' ORDER BY doc_id LIMIT 6000")
+# The corpus names a text by category, number and, where it is part of one, '@' with the part.
+_ACAD = "left(lower(trim(category)), 4) || '_' || doc_id || CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '@chunk' || doc_id % 7 ELSE '@human' END"
+
+
+@R.add(f"SELECT doc_id, name FROM (SELECT doc_id, text, {_ACAD} AS name FROM documents) WHERE starts_with(name, 'acad_') AND (contains(name, '@chunk') OR NOT contains(name, '@')) AND text <> '' ORDER BY doc_id LIMIT 6000")
 def src09_academic_corpus(spark, d):
-    t = F.col("text")
-    return table(spark, d, "documents").where(F.lower(F.trim("category")).startswith("acad") & (t.contains("@") | ~t.contains("#")) & (t != "")).select("doc_id").orderBy("doc_id").limit(6000)
+    part = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, F.concat(F.lit("@chunk"), (F.col("doc_id") % 7).cast("string"))).otherwise("@human")
+    name = F.concat(F.left(F.lower(F.trim("category")), F.lit(4)), F.lit("_"), F.col("doc_id").cast("string"), part)
+    docs = table(spark, d, "documents").select("doc_id", "text", name.alias("name"))
+    return docs.where(files.academic_part(F.col("name")) & (F.col("text") != "")).select("doc_id", "name").orderBy("doc_id").limit(6000)
 
 
 @R.add("SELECT * FROM (VALUES ('essay', 'One should note that it rained.', 'It rained.'), ('email', 'I am writing to inform you of a delay.', 'We are late.')) AS t(category, ai, human)")
@@ -132,3 +145,65 @@ def x_grouped_split(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source")
     groups = sampling.split(docs.where("source IS NOT NULL").select("source").distinct(), "source", [], train=0.9, validation=0.05)
     return docs.join(groups, "source").select("doc_id", "split")
+
+
+@R.add("SELECT 'base_clean.csv' AS preferred, 'only.csv' AS single, 'all_scored.csv' AS named, 2 AS ambiguous")
+def src04_src05_discovery(spark, d):
+    """Which input of a folder is taken: the preferred one, the only one, the one named; several others are an error."""
+    regions = table(spark, d, "region").select("r_regionkey")
+    one, two, none = _path(spark, "one"), _path(spark, "two"), _path(spark, "none")
+    for path in (f"{one}/only.csv", f"{two}/base_clean.csv", f"{two}/x.csv", f"{none}/x.csv", f"{none}/y.csv", f"{none}/all_scored.txt"):
+        files.write_csv(regions, path)
+    name = lambda path: path.rsplit("/", 1)[1]
+    try:
+        several = name(files.discover(spark, none))
+    except ValueError as e:
+        several = int(str(e).split()[0])
+    files.write_csv(regions, f"{none}/all_scored.csv")
+    return spark.createDataFrame([(name(files.discover(spark, two)), name(files.discover(spark, files.first_existing(spark, [f"{one}/absent", one]))), name(files.discover(spark, none, "all_scored.csv")), several)], "preferred string, single string, named string, ambiguous int")
+
+
+@R.add("SELECT count(*) AS n, 3 AS attempts FROM region")
+def src13_retry(spark, d):
+    """A source that fails twice is read at the third attempt."""
+    tries = []
+
+    def read():
+        tries.append(1)
+        if len(tries) < 3:
+            raise OSError("not yet")
+        return table(spark, d, "region")
+
+    rows = files.read_with_retry(read, lambda: table(spark, d, "region").limit(0), wait=0.0)
+    return rows.agg(F.count("*").alias("n")).withColumn("attempts", F.lit(len(tries)))
+
+
+@R.add("SELECT 'run' AS name, count(*) AS row_count, 0 AS missing FROM nation")
+def src16_metadata(spark, d):
+    """Facts of a run, written as JSON and read again; where there are none the default holds."""
+    path = _path(spark, "metadata")
+    missing = files.read_metadata(spark, path, {"rows": 0})["rows"]
+    files.write_metadata(spark, path, {"name": "run", "rows": table(spark, d, "nation").count()})
+    got = files.read_metadata(spark, path)
+    return spark.createDataFrame([(got["name"], got["rows"], missing)], "name string, row_count long, missing int")
+
+
+@R.add("SELECT doc_id FROM documents WHERE text IS NOT NULL")
+def snk02_snk04_periodic_append(spark, d):
+    """Results appended batch by batch, each committed as it is done; a second run adds nothing."""
+    incoming, out, check = _path(spark, "incoming"), _path(spark, "appended"), _path(spark, "position")
+    source = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "loaded_at")
+    source.repartition(4).write.parquet(incoming)
+    append.append_new(spark, incoming, source.schema, "doc_id", out, check, files_per_batch=1, time="loaded_at", late="3650 days")
+    return append.append_new(spark, incoming, source.schema, "doc_id", out, check, time="loaded_at", late="3650 days").select("doc_id")
+
+
+@R.add("SELECT count(*) AS kept, 1 AS copies, true AS renamed FROM region")
+def snk05_snk06_backups(spark, d):
+    """A backup under the number of rows is made once; a version before an overwrite has a stamp."""
+    path = _path(spark, "backed")
+    table(spark, d, "region").write.parquet(path)
+    copies = {files.backup_once(spark, path) for _ in range(2)}
+    kept = spark.read.parquet(*copies).count()
+    version = files.backup(spark, path, "20200101_000000")
+    return spark.createDataFrame([(kept, len(copies), version is not None and files.backup(spark, path, "20200101_000000") is None)], "kept long, copies int, renamed boolean")

@@ -8,16 +8,14 @@ from pyspark.sql import functions as F
 from tandemtext.functions import metrics as M
 from tandemtext.functions import text as T
 from tandemtext.operators import similarity
-from tandemtext.plans.base import Registry, audited, audited_sql, count, derived, pairs, pairs_sql, s, sents, space_words, tokens
+from tandemtext.plans.base import CLICHES_SQL, STEMS_SQL, Registry, audited, audited_sql, count, derived, pairs, pairs_sql, s, sents, space_words, tokens
+from tandemtext.plans.rule_queries import _VERB_SQL, INFORMAL_SQL, PROFANITY_SQL, SLANG_SQL, _in
 from tandemtext.sources.tables import table
 
 R = Registry()
 P = f"WITH {pairs_sql()} "
 A = f"WITH {audited_sql()} "
-
-
-def _in(c: str, terms) -> str:
-    return f"coalesce(len(list_filter({tokens(c)}, lambda w: w IN {tuple(terms)})), 0)"
+CONTRACTION_SQL = r"(?i)\b[a-z]+'(?:re|ve|d|ll|t|s)\b"
 
 
 @R.add(f"{P} SELECT pair_id, {space_words('ai')} AS ai_words, {space_words('hu')} AS human_words, round({space_words('hu')} / greatest({space_words('ai')}, 1), 4) AS ratio FROM p")
@@ -42,12 +40,12 @@ def m04_repeated_letters(spark, d):
     return table(spark, d, "documents").select("doc_id", F.coalesce(F.regexp_count("text", F.lit(r"([A-Za-z])\1{2,}")), F.lit(0)).alias("runs"))
 
 
-@R.add(f"{P} SELECT pair_id, {count('hu', M.PUNCTUATION_RUN)} AS runs FROM p")
+@R.add(f"{P} SELECT pair_id, {count('hu', '[!?.,;:]{3,}')} AS runs FROM p")
 def m05_punctuation_runs(spark, d):
     return derived(spark, d, "pair_id", F.coalesce(F.regexp_count("hu", F.lit(M.PUNCTUATION_RUN)), F.lit(0)).alias("runs"))
 
 
-@R.add(f"{P} SELECT pair_id, {_in('hu', M.INFORMAL)} AS informal, {_in('hu', M.SLANG)} AS slang, {_in('hu', M.PROFANITY)} AS profanity FROM p")
+@R.add(f"{P} SELECT pair_id, {_in('hu', INFORMAL_SQL)} AS informal, {_in('hu', SLANG_SQL)} AS slang, {_in('hu', PROFANITY_SQL)} AS profanity FROM p")
 def m06_lexicons(spark, d):
     w = derived(spark, d, "pair_id", T.words(F.col("hu")).alias("w"))
     return w.select("pair_id", M.lexicon(F.col("w"), M.INFORMAL).alias("informal"), M.lexicon(F.col("w"), M.SLANG).alias("slang"), M.lexicon(F.col("w"), M.PROFANITY).alias("profanity"))
@@ -68,20 +66,17 @@ def m20_ai_burstiness(spark, d):
     return derived(spark, d, "pair_id", F.round(M.burstiness(F.col("ai")), 4).alias("ai_burstiness"))
 
 
-@R.add(f"{P} SELECT pair_id, round({count('hu', M.CONTRACTION)} * 100 / greatest({space_words('hu')}, 1), 2) AS contraction_rate FROM p")
+@R.add(f"{P} SELECT pair_id, round({count('hu', CONTRACTION_SQL)} * 100 / greatest({space_words('hu')}, 1), 2) AS contraction_rate FROM p")
 def m08_contraction_rate(spark, d):
     return derived(spark, d, "pair_id", M.contraction_rate(F.col("hu")).alias("contraction_rate"))
 
 
-@R.add(f"{P} SELECT pair_id, round({_in('ai', M.CLICHES)} * 1000 / greatest({space_words('ai')}, 1), 2) AS density FROM p")
+@R.add(f"{P} SELECT pair_id, round({count('ai', CLICHES_SQL)} * 1000 / greatest({space_words('ai')}, 1), 2) AS density FROM p")
 def m09_cliche_density(spark, d):
     return derived(spark, d, "pair_id", M.cliche_density(F.col("ai")).alias("density"))
 
 
-_STEM = s(rf"^(?:{'|'.join(M.CLICHE_STEMS)})")
-
-
-@R.add(f"{P} SELECT pair_id, round(coalesce(len(list_filter({tokens('ai')}, lambda w: regexp_matches(w, {_STEM}))), 0) * 1000 / greatest({space_words('ai')}, 1), 2) AS density FROM p")
+@R.add(f"{P} SELECT pair_id, round({count('ai', STEMS_SQL)} * 1000 / greatest({space_words('ai')}, 1), 2) AS density FROM p")
 def m10_stem_density(spark, d):
     return derived(spark, d, "pair_id", M.stem_density(F.col("ai")).alias("density"))
 
@@ -132,12 +127,17 @@ def m16_opening_cosine(spark, d):
     return similarity.opening(similarity.sentence_similarity(ai, hu))
 
 
-@R.add(f"{P}, f AS (SELECT pair_id, {sents('hu')}[1] AS f FROM p) SELECT pair_id, coalesce(len(list_filter({tokens('f')}, lambda w: regexp_full_match(w, {s(M.VERB_SHAPE)}))) > 0, false) AS has_verb, coalesce(regexp_matches(f, {s(chr(94) + chr(92) + 'p{Ll}')}), false) AS lower_start FROM f")
+@R.add()
+def m13_m16_audit_from_texts(spark, d):
+    """Coverage, copying, structure and opening of every pair from the sentences of its texts (stand-in encoder)."""
+    return similarity.audited_sentences(derived(spark, d, "pair_id", "ai", "hu"))
+
+
+@R.add(f"{P}, f AS (SELECT pair_id, {sents('hu')}[1] AS f FROM p) SELECT pair_id, coalesce(len(list_filter({tokens('f')}, lambda w: regexp_full_match(w, '{_VERB_SQL}'))) > 0, false) AS has_verb, coalesce(regexp_matches(f, {s(chr(94) + chr(92) + 'p{Ll}')}), false) AS lower_start FROM f")
 def m17_m18_opening_shape(spark, d):
     """Whether the first sentence has a word of a verb's shape (stand-in for a tagger) and begins in lower case."""
     f = derived(spark, d, "pair_id", F.get(T.sentences(F.col("hu")), 0).alias("f"))
-    verbs = F.size(F.filter(T.words(F.col("f")), lambda w: F.rlike(w, F.lit(f"^{M.VERB_SHAPE}$"))))
-    return f.select("pair_id", F.coalesce(verbs > 0, F.lit(False)).alias("has_verb"), F.coalesce(F.rlike("f", F.lit(r"^\p{Ll}")), F.lit(False)).alias("lower_start"))
+    return f.select("pair_id", M.has_verb(F.col("f")).alias("has_verb"), F.coalesce(F.rlike("f", F.lit(r"^\p{Ll}")), F.lit(False)).alias("lower_start"))
 
 
 _FACTS = "list_distinct(regexp_extract_all(coalesce({c}, ''), " + s(M.FACT) + "))"
@@ -274,3 +274,12 @@ def v06_f23_encoded_examples(spark, d):
     from tandemtext.operators import models
 
     return models.encode_examples(derived(spark, d, "pair_id", "ai", "hu"), most=1024).select("pair_id", F.size("example.input_ids").alias("tokens"), F.size(F.filter("example.labels", lambda x: x >= 0)).alias("answer_tokens"))
+
+
+@R.add()
+def v07_padded_batches(spark, d):
+    """Examples in batches of 16, padded to the longest of each."""
+    from tandemtext.operators import models
+
+    rows = models.collate(models.encode_examples(derived(spark, d, "pair_id", "ai", "hu"), most=1024), 16)
+    return rows.select("batch", "pair_id", F.size("input_ids").alias("width"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("tokens"))

@@ -173,16 +173,16 @@ def l07_mix_resample(spark, d):
     "SELECT pair_id FROM k WHERE NOT regen OR r <= floor(0.15 / 0.85 * own)"
 )
 def w01_source_cap(spark, d):
-    """Regenerated pairs up to 15 % of a category, best quality first, by the capping operator's histograms."""
-    from tandemtext.operators import capping
+    """Regenerated pairs up to 15 % of a category, best quality first."""
+    from tandemtext.operators.distributed import ranked_in
     from tandemtext.operators.rules import regenerated
 
-    t = once(table(spark, d, "train_filtered").select("pair_id", label("category").alias("category"), label("human_source").alias("human_source"), number("quality_score").alias("q")), "pair_id").where("category IS NOT NULL")
-    n = t.groupBy("category").agg(F.count_if(~regenerated()).alias("own"), F.count("*").alias("of"))
-    n = n.select("category", (F.floor(F.lit(0.15 / 0.85) * F.col("own")) / F.col("of")).alias("share"))
-    rows = t.join(F.broadcast(n), "category")
-    gone = capping.over_limit(rows, "pair_id", F.col("category"), F.when(regenerated(), "regenerated"), "q", F.col("share"), least=0)
-    return t.select("pair_id").join(gone.select("pair_id"), "pair_id", "left_anti")
+    t = once(table(spark, d, "train_filtered").select("pair_id", label("category").alias("category"), regenerated().alias("regen"), number("quality_score").alias("q")), "pair_id").where("category IS NOT NULL")
+    # One row per category.
+    most = t.groupBy("category").agg(F.floor(F.lit(0.15 / 0.85) * F.count_if(~F.col("regen"))).alias("most"))
+    ranked = ranked_in(t.where("regen"), "rank", ["category"], "pair_id", F.col("q").desc_nulls_last(), F.col("pair_id"))
+    kept = ranked.join(F.broadcast(most), "category").where("rank <= most").select("pair_id")
+    return t.where("NOT regen").select("pair_id").unionByName(kept)
 
 
 @R.add(f"{P} SELECT pair_id, round(avg(sbert_similarity) OVER (), 6) AS mean, round(coalesce(sbert_similarity, avg(sbert_similarity) OVER ()), 6) AS filled FROM p")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tandemtext.functions import text as T
-from tandemtext.plans.base import Registry, collapse, count, derived, pairs, pairs_sql, s, sents, space_words, strip, sub, sub1, texts, tokens
+from tandemtext.plans.base import Registry, collapse, count, derived, pairs, pairs_sql, s, sents, space_words, strip, strip_artifacts, sub, sub1, texts, tokens
 
 R = Registry()
 P = f"WITH {pairs_sql()} "
@@ -58,14 +58,15 @@ def _unquote(c: str) -> str:
     return f"""CASE WHEN starts_with({c}, '"') AND ends_with({c}, '"') AND length({c}) > 1 THEN {sub(c, '^"|"' + chr(92) + 'z')} ELSE {c} END"""
 
 
-def _model_output(c: str) -> str:
+def model_output(c: str) -> str:
     c = strip(sub(c, r"(?is)<(?:think|thought)>.*?</(?:think|thought)>"))
-    c = sub1(c, r"(?i)^(?:here is|here's) the (?:rewritten|revised|humanized)[^:\n]{0,40}:[ \t\n]*")
-    c = sub1(c, r"(?i)^rewritten(?: text| version)?[ \t]*:[ \t\n]*")
-    return strip(sub(c, r"(?i)\n+let me know if[^\n]*\z"))
+    c = sub1(c, r"(?i)^\s*(?:\*\*|##)?\s*(?:here(?:'s| is) (?:the |a )?(?:rewritten|revised|formal|ai-style|modified)?\s*(?:text|version|passage|essay|email|report|document)?[:\-]?\s*(?:\*\*|##)?)\s*")
+    c = sub1(c, r"(?i)^\s*(?:\*\*|##)?\s*(?:rewritten|revised|aiified)\s*(?:text|version|passage)?[:\-]?\s*(?:\*\*|##)?\s*")
+    c = strip(sub1(c, r"(?i)\n+(?:let me know if|i hope this helps|hope this helps|feel free to ask)[^\n]*\z"))
+    return strip(sub1(sub1(c, r'(?s)^"(.*)"\z', r"\1"), r"(?s)^'(.*)'\z", r"\1"))
 
 
-@R.add(f"{P}, o AS (SELECT pair_id, {_model_output('hu')} AS x FROM p) SELECT pair_id, {_unquote('x')} AS output FROM o")
+@R.add(f"{P} SELECT pair_id, {model_output('hu')} AS output FROM p")
 def t09_model_output(spark, d):
     return derived(spark, d, "pair_id", T.model_output(F.col("hu")).alias("output"))
 
@@ -75,12 +76,7 @@ def t10_after_thinking(spark, d):
     return derived(spark, d, "pair_id", T.after_thinking(F.col("hu")).alias("output"))
 
 
-def _strip_artifacts(c: str) -> str:
-    c = sub(sub(strip(c), T.TITLE_LINE), T.TRAILING_REFERENCES)
-    return strip(sub(sub(c, T.CITATION), r"[ \t]+", " "))
-
-
-@R.add(f"{P} SELECT pair_id, {_strip_artifacts('hu')} AS stripped FROM p")
+@R.add(f"{P} SELECT pair_id, {strip_artifacts('hu')} AS stripped FROM p")
 def t11_strip_artifacts(spark, d):
     return derived(spark, d, "pair_id", T.strip_artifacts(F.col("hu")).alias("stripped"))
 
@@ -142,25 +138,25 @@ def t17_normal_form(spark, d):
 
 
 _KEY = f"replace(replace(lower({strip('category')}), '-', '_'), ' ', '_')"
-_ALIAS = "CASE " + " ".join(f"WHEN k = '{a}' THEN '{n}'" for a, n in T.ALIASES.items()) + " ELSE k END"
-
+_NAMES = "('academic', 'document', 'email', 'essay', 'general', 'auto')"
 
-def _category(default: str) -> str:
-    return f"WITH c AS (SELECT DISTINCT category AS raw, {_KEY} AS k FROM documents), m AS (SELECT raw, {_ALIAS} AS c FROM c) SELECT raw, CASE WHEN c IN {T.CATEGORIES} THEN c ELSE '{default}' END AS category FROM m"
 
-
-@R.add(_category("auto"))
+@R.add(
+    f"""WITH c AS (SELECT DISTINCT category AS raw, {_KEY} AS k FROM documents),
+m AS (SELECT raw, CASE k WHEN 'academic_writing' THEN 'academic' WHEN 'report' THEN 'document' WHEN 'professional_email' THEN 'email' WHEN 'essay_writing' THEN 'essay' WHEN 'default' THEN 'auto' ELSE k END AS c FROM c)
+SELECT raw, CASE WHEN c IN {_NAMES} THEN c ELSE 'auto' END AS category FROM m"""
+)
 def t18_category(spark, d):
     from tandemtext.sources.tables import table
 
     return table(spark, d, "documents").select(F.col("category").alias("raw")).distinct().select("raw", T.category_or(F.col("raw"), "auto").alias("category"))
 
 
-@R.add(_category("general"))
+@R.add(f"SELECT DISTINCT category AS raw, CASE WHEN lower({strip('category')}) IN {_NAMES} THEN lower({strip('category')}) ELSE 'general' END AS category FROM documents")
 def t19_training_category(spark, d):
     from tandemtext.sources.tables import table
 
-    return table(spark, d, "documents").select(F.col("category").alias("raw")).distinct().select("raw", T.category_or(F.col("raw"), "general").alias("category"))
+    return table(spark, d, "documents").select(F.col("category").alias("raw")).distinct().select("raw", T.training_category(F.col("raw")).alias("category"))
 
 
 @R.add(f"SELECT DISTINCT human_source AS raw, replace(lower({strip('human_source')}), '_', '-') AS label FROM final_scored")

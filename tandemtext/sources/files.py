@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterable
 
@@ -56,6 +57,53 @@ def resolve(df: DataFrame, names: Iterable[str], required: bool = True) -> str |
     return None
 
 
+def academic_part(name):
+    """Whether a document's name is of the academic corpus and a whole text or a chunk of one."""
+    return name.startswith("acad_") & (name.contains("@chunk") | ~name.contains("@"))
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def discover(spark: SparkSession, folder: str, explicit: str | None = None, preferred: Iterable[str] = ("all_scored.csv", "base_clean.csv")) -> str:
+    """The input of a folder: the one named, else the first preferred one there, else its only CSV; several are an error."""
+    if explicit:
+        return first_existing(spark, [explicit, f"{folder}/{explicit}"])
+    fs, place = _file_system(spark, folder)
+    there = sorted(s.getPath().getName() for s in fs.listStatus(place) if s.getPath().getName().endswith(".csv"))
+    for name in preferred:
+        if name in there:
+            return f"{folder}/{name}"
+    if len(there) != 1:
+        raise ValueError(f"{len(there)} CSV inputs in {folder}: name one")
+    return f"{folder}/{there[0]}"
+
+
+def write_metadata(spark: SparkSession, path: str, values: dict) -> None:
+    """One JSON object (facts of a run) as a text table of one line."""
+    spark.createDataFrame([(json.dumps(values, ensure_ascii=False, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_metadata(spark: SparkSession, path: str, default: dict | None = None) -> dict:
+    """What :func:`write_metadata` wrote; ``default`` where there is nothing."""
+    fs, place = _file_system(spark, path)
+    if not fs.exists(place):
+        return dict(default or {})
+    return json.loads(spark.read.text(path).first()[0])
+
+
+def backup_once(spark: SparkSession, path: str) -> str:
+    """Copy a Parquet table beside itself under its number of rows, if no such copy is there yet."""
+    table = spark.read.parquet(path)
+    to = f"{path}_backup_{table.count()}"
+    fs, place = _file_system(spark, to)
+    if not fs.exists(place):
+        table.write.parquet(to)
+    return to
+
+
 def first_existing(spark: SparkSession, paths: Iterable[str]) -> str:
     """The first path that exists, on whatever file system it names."""
     jvm = spark.sparkContext._jvm

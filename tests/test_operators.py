@@ -1,6 +1,5 @@
 """Ranking, capping, sampling and text functions: edge cases and brute force."""
 
-import math
 import random
 
 import numpy as np
@@ -11,9 +10,8 @@ from pyspark.sql import functions as F
 
 from tandemtext.functions import metrics as M
 from tandemtext.functions import text as T
-from tandemtext.operators import capping, quota_sampling, ranking, sampling, upsert
+from tandemtext.operators import distributed, rules, sampling, similarity, upsert
 from tandemtext.operators.distributed import numbered, running_sum
-from tandemtext.operators.quota_sampling import Target
 from tandemtext.sources import files
 
 
@@ -34,117 +32,6 @@ def test_numbered_and_running_sum_over_partitions(spark):
         total += i % 7
 
 
-def brute_ranking(rows):
-    ids = sorted(rows)
-    cols = []
-    for c in range(3):
-        vals = [rows[i][c] for i in ids]
-        have = [v for v in vals if v is not None]
-        cols.append([None if v is None else (sum(x < v for x in have) + sum(x == v for x in have) / 2) / len(have) for v in vals])
-    u = np.array([[0.5 if x is None else x for x in c] for c in cols])
-    z = (u - u.mean(1, keepdims=True)) / np.where(u.std(1, keepdims=True) < 1e-9, 1, u.std(1, keepdims=True))
-    vec = np.abs(np.linalg.eigh(np.corrcoef(u))[1][:, -1])
-    return dict(zip(ids, vec @ z))
-
-
-@pytest.mark.parametrize("limit", [0, 10**6])
-def test_principal_ranking_is_the_first_component(spark, monkeypatch, limit):
-    monkeypatch.setattr(ranking, "BROADCAST_VALUES", limit)
-    rnd = random.Random(1)
-    rows = {}
-    for i in range(300):
-        q = rnd.random()
-        # A third of the rows share one value; scales differ wildly.
-        rows[i] = (0.5 if i % 3 == 0 else round(q, 3), 1000 * q**5 + rnd.random(), None if i % 11 == 0 else round(q + rnd.gauss(0, 0.3), 2))
-    df = spark.createDataFrame([(i, *map(lambda x: None if x is None else float(x), r), "clash") for i, r in rows.items()], "id long, a double, b double, c double, projection string")
-    got = ranking.principal_ranking(df.union(df.limit(5)), "id", {"a": 1, "b": 1, "c": 1}).collect()
-    want = brute_ranking(rows)
-    assert sorted(r.rank_position for r in got) == list(range(1, 301))
-    for r in got:
-        assert abs(r.projection - want[r.id]) < 1e-6
-    by = sorted(got, key=lambda r: r.rank_position)
-    assert all((-x.projection, x.id) <= (-y.projection, y.id) for x, y in zip(by, by[1:]))
-
-
-def test_ranking_of_nothing_and_of_nulls(spark):
-    schema = "id long, a double, b double"
-    assert ranking.principal_ranking(spark.createDataFrame([], schema), "id", {"a": 1, "b": -1}).count() == 0
-    got = ranking.principal_ranking(spark.createDataFrame([(1, None, float("nan")), (2, None, None), (None, 1.0, 1.0)], schema), "id", {"a": 1, "b": -1}).collect()
-    assert [(r.id, r.rank_position, r.scores_present) for r in sorted(got)] == [(1, 1, 0), (2, 2, 0)]
-
-
-def test_a_negative_direction_turns_the_ranking(spark):
-    df = spark.createDataFrame([(i, float(i), float(-i)) for i in range(20)], "id long, a double, b double")
-    got = {r.id: r.rank_position for r in ranking.principal_ranking(df, "id", {"a": 1, "b": -1}).collect()}
-    assert got == {i: 20 - i for i in range(20)}
-
-
-def test_fraction_scales_and_drops(spark):
-    df = spark.createDataFrame([(0.5,), (58.0,), (-1.0,), (250.0,), (float("nan"),), (None,), (1.0,)], "v double")
-    assert [r[0] for r in df.select(ranking.fraction("v")).collect()] == [0.5, 0.58, None, None, None, None, 1.0]
-
-
-def capped(rows, share):
-    gone, groups = set(), {}
-    for k, g, c, s in {r[0]: r for r in rows if r[0] is not None and r[1] is not None}.values():
-        groups.setdefault(g, []).append((k, c, s))
-    for g, xs in groups.items():
-        most = max(math.floor(share * len(xs) + 1e-9), 1)
-        for c in {x[1] for x in xs} - {None}:
-            own = sorted((x for x in xs if x[1] == c), key=lambda x: (x[2] is None or x[2] != x[2], -(x[2] or 0) if x[2] == x[2] else 0, x[0]))
-            gone |= {x[0] for x in own[most:]}
-    return gone
-
-
-@pytest.mark.parametrize("ranked", [0, 3, 20_000])
-def test_capping_is_exact_however_finely_it_is_refined(spark, monkeypatch, ranked):
-    monkeypatch.setattr(capping, "RANKED", ranked)
-    monkeypatch.setattr(capping, "BINS", 4)
-    rnd = random.Random(2)
-    rows = [(i, rnd.choice(["x", "x", "y", None]), rnd.choice(["big"] * 5 + ["a", "b", None]), rnd.choice([None, float("nan"), 1.0, 1.0, 1.0, 2.5, rnd.random()])) for i in range(400)]
-    df = spark.createDataFrame([(*r, 0) for r in rows + rows[:20]], "id long, grp string, src string, q double, n int")
-    got = {r.id for r in capping.over_limit(df, "id", F.col("grp"), F.col("src"), "q", F.lit(0.3)).collect()}
-    assert got == capped(rows, 0.3)
-
-
-def test_capping_of_nothing(spark):
-    df = spark.createDataFrame([], "id long, grp string, src string, q double")
-    assert capping.over_limit(df, "id", F.col("grp"), F.col("src"), "q", F.lit(0.3)).count() == 0
-
-
-def quota(spark, rows, targets, **more):
-    df = spark.createDataFrame(rows, "id long, a string, b string")
-    return quota_sampling.quota_sample(df, "id", {"a": F.col("a"), "b": F.col("b")}, targets, **more)
-
-
-def test_sample_meets_shares_and_floors(spark):
-    rnd = random.Random(3)
-    rows = [(i, rnd.choice("xxxxy"), "rare" if i % 97 == 0 else rnd.choice("pq")) for i in range(3000)]
-    goals = [Target("a", "x", 0.5, 5), Target("a", "y", 0.5, 5), Target("b", "p", 0.6, 5), Target("b", "q", 0.39, 5), Target("b", "rare", 0.01, 20)]
-    sample, report = quota(spark, rows + [(None, "x", "p"), (9999, None, "p"), (1, "x", "p")], goals, size=600)
-    got = sample.collect()
-    assert len({r.id for r in got}) == len(got) and 600 <= len(got) <= 640
-    share = lambda i, v: sum(r[i] == v for r in got) / len(got)
-    assert abs(share(1, "x") - 0.5) < 0.03 and abs(share(2, "p") - 0.6) < 0.03
-    assert sum(r.b == "rare" for r in got) >= 20
-    assert {r.id for r in quota(spark, rows, goals, size=600)[0].collect()} == {r.id for r in quota(spark, rows, goals, size=600)[0].collect()}
-    assert all(r.floor_met for r in report.collect())
-
-
-def test_sample_reports_what_cannot_be_met(spark):
-    goals = [Target("a", "x", 0.5, 3), Target("a", "none", 0.5, 3), Target("b", "p", 1.0, 1)]
-    sample, report = quota(spark, [(i, "x", "p") for i in range(10)], goals, size=4)
-    lines = {(r.dimension, r.bucket): r for r in report.collect()}
-    assert not lines[("a", "none")].floor_met and lines[("a", "none")].reason == "no rows"
-    assert quota(spark, [], goals)[0].count() == 0
-
-
-def test_ratio_bucket_bounds(spark):
-    df = spark.createDataFrame([(0.1,), (0.7,), (0.8,), (None,)], "r double")
-    bounds = [("low", None, 0.7), ("mid", 0.7, 0.8), ("high", 0.8, None)]
-    assert [r[0] for r in df.select(quota_sampling.ratio_bucket(F.col("r"), bounds)).collect()] == ["low", "mid", "high", None]
-
-
 def test_split_sizes_and_disjointness(spark):
     df = spark.range(207).select("id", F.when(F.col("id") < 7, "tiny").when(F.col("id") < 107, "a").alias("g"))
     got = {r.id: r.split for r in sampling.split(df, "id", ["g"]).collect()}
@@ -220,3 +107,133 @@ def test_file_helpers(spark, tmp_path):
 
     assert files.read_with_retry(fails, lambda: spark.range(0), wait=0).count() == 0 and len(calls) == 3
     assert files.resolve(df, ("Text",)) == "text"
+
+
+LONG = "Word " * 40
+
+
+@pytest.mark.parametrize(
+    "ai, human, want",
+    [
+        (LONG + "end.", LONG + "end.", True),
+        (LONG + "end.", "(" + LONG + "end.", False),  # a bracket opens no sentence
+        ("# " + LONG + "end.", LONG + "end.)", True),
+        (LONG + "end.", "# " + LONG + "end.", False),
+        (LONG + "end.", LONG + 'end"', False),  # a quote alone closes none
+        (LONG + "end.", LONG + "see (abc] end.", False),
+        (LONG + "end.", "Too short.", False),
+        (None, LONG + "end.", False),
+    ],
+)
+def test_valid_pair(spark, ai, human, want):
+    assert one(spark, rules.valid_pair(F.col("a"), F.col("h")), a=ai, h=human) is want
+
+
+@pytest.mark.parametrize(
+    "ai, human, want",
+    [
+        (LONG, LONG + "more", True),
+        ("Sure, here you are. " + LONG, LONG, False),
+        ("I won't say more. " + LONG, LONG, True),  # not among the markers
+        ("Here is the rewritten text: " + LONG, LONG + "more", True),  # a lead-in goes before the markers are looked for
+        ("<think>I cannot</think>" + LONG, LONG + "more", True),
+        (LONG, " " + LONG, False),
+        ("", LONG, False),
+    ],
+)
+def test_quality_gate(spark, ai, human, want):
+    assert one(spark, rules.passes_quality(F.col("a"), F.col("h")), a=ai, h=human) is want
+
+
+def test_excluded_phrases(spark):
+    ok = lambda text, category: one(spark, rules.consistent(F.col("t"), F.col("c")), t=text, c=category)
+    assert not ok("Dear Sir, no.", "essay") and ok("Dear Sir, no.", "email") and ok("My dear friend", "essay")
+    assert not ok("My dear friend", "academic") and not ok("With love, Ann", "document") and ok("abstract", "general") and ok("x", None) and ok(None, "essay")
+
+
+def test_semantic_status_of_short_pairs(spark):
+    df = spark.createDataFrame([(0.9, 0.1, 1.0, 29, 50), (0.9, 0.1, 1.0, 30, 30), (0.6, 0.1, 1.0, 5, 5), (0.6, 0.4, 1.0, 5, 5), (0.75, 0.1, 1.0, 40, 40)], "s double, c double, r double, a int, h int")
+    got = [r[0] for r in df.select(rules.semantic_status(*map(F.col, "scrah"))).collect()]
+    assert got == ["LENGTH_MISMATCH", "HIGH_CONFIDENCE", "LOW_SIMILARITY", "CONTRADICTION", "ACCEPTABLE"]
+
+
+AUDITED = "category string, human_source string, ratio double, min_cov double, mean_cov double, copy_rate double, human_cliche_density double, fact_retention double, has_title_leakage boolean, has_trailing_references boolean, clean_ratio double, clean_cliches double, clean_stems double, median double"
+
+
+def audited_row(category="general", source="hf_dataset_import", **other):
+    base = {"ratio": 0.8, "min_cov": 0.6, "mean_cov": 0.8, "copy_rate": 0.1, "human_cliche_density": 1.0, "fact_retention": 0.9, "title": False, "refs": False, "clean_ratio": 0.8, "clean_cliches": 1.0, "clean_stems": 1.0, "median": 0.0}
+    return (category, source, *{**base, **other}.values())
+
+
+@pytest.mark.parametrize(
+    "which, row, want",
+    [
+        ("audit_rules", audited_row(human_cliche_density=0.0), ""),
+        ("audit_rules", audited_row("essay", copy_rate=0.61, human_cliche_density=0.0), "copying"),
+        ("audit_rules", audited_row("email", copy_rate=0.75, human_cliche_density=0.0), ""),
+        ("audit_rules", audited_row(human_cliche_density=10.1, median=5.0, refs=True), "cliches; artifacts"),
+        ("first_filter", audited_row(clean_ratio=0.69, ratio=0.9), "short"),
+        ("first_filter", audited_row("academic", copy_rate=0.7, mean_cov=0.74), "coverage; copying"),
+        ("first_filter", audited_row(clean_cliches=4.0), ""),
+        ("first_filter", audited_row(clean_cliches=4.1), "cliches"),
+        ("final_filter", audited_row(clean_ratio=0.96), "ratio"),
+        ("final_filter", audited_row("email", mean_cov=0.1, copy_rate=0.99), ""),
+        ("final_filter", audited_row(None, mean_cov=0.1), "coverage"),
+        ("final_filter", audited_row("essay", "llm_regenerated_1_to_1", copy_rate=0.51), "copying"),
+        ("final_filter", audited_row("essay", copy_rate=0.85), ""),
+        ("final_filter", audited_row("essay", copy_rate=0.86, fact_retention=0.59, clean_stems=4.5), "cliches; facts; copying"),
+        ("final_filter", audited_row("essay", copy_rate=None, fact_retention=None, mean_cov=None), ""),
+    ],
+)
+def test_filters(spark, which, row, want):
+    assert rules.filtered(spark.createDataFrame([row], AUDITED), getattr(rules, which)()).first()["reason"] == want
+
+
+def test_sweep_counts(spark):
+    rows = [audited_row("essay", copy_rate=0.7), audited_row("general", copy_rate=0.8), audited_row("general", "llm_regenerated_1_to_1", copy_rate=0.55), audited_row("email", copy_rate=1.0, mean_cov=0.0), audited_row(clean_ratio=0.5), audited_row("essay", mean_cov=0.7, fact_retention=0.65)]
+    df = spark.createDataFrame(rows, AUDITED)
+    for c in ("burstiness", "contraction_rate", "quality_score"):
+        df = df.withColumn(c, F.lit(1.0))
+    got = {(r.t_mean_cov, r.t_fact, r.t_copy_regenerated, r.t_copy_collected, r.t_cliche_factor): (r.survivors, r.n_essay, r.n_general, r.n_email, r.n_regenerated) for r in rules.sweep(df).collect()}
+    assert len(got) == 108
+    assert got[(0.65, 0.60, 0.50, 0.60, 2.0)] == (3, 1, 1, 1, 0)
+    assert got[(0.70, 0.60, 0.60, 0.75, 3.0)] == (5, 2, 2, 1, 1)
+    assert got[(0.75, 0.80, 0.60, 0.85, 3.0)] == (4, 1, 2, 1, 1)
+
+
+def test_densities(spark):
+    text = "Furthermore, we delve and delved. In conclusion: navigating landscapes, a landscape of labor. It's don't."
+    n = len(text.split())
+    assert one(spark, M.cliche_density(F.col("t")), t=text) == round(4 * 1000 / n, 2)  # furthermore, delve, in conclusion, landscape
+    assert one(spark, M.stem_density(F.col("t")), t=text) == round(6 * 1000 / n, 2)  # furthermore, delve, delved, in conclusion, navigating, labor
+    assert one(spark, M.contraction_rate(F.col("t")), t=text) == round(200 / n, 2)
+
+
+def test_audit_of_sentences(spark):
+    rows = [(1, "Cats sleep. Dogs bark.", "Cats sleep. Cats sleep. Birds sing."), (2, "", "One."), (3, "One.", None), (4, "A b. C d.", "A b. C d.")]
+    got = {r.pair_id: tuple(r)[1:] for r in similarity.audited_sentences(spark.createDataFrame(rows, "pair_id long, ai string, hu string")).collect()}
+    assert got[2] == got[3] == (0.0, 0.0, 0.0, 0.0, 0.0, None)
+    assert got[4] == (1.0, 1.0, 1.0, 1.0, 0.0, pytest.approx(1.0))
+    assert got[1][2:5] == (0.5, 1.5, 1.0) and got[1][5] == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("broadcast", [0, 10**6])
+def test_ranks_in_groups(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(distributed, "BROADCAST_ROWS", broadcast)
+    df = spark.range(500).select("id", (F.col("id") % 3).alias("g"), (F.col("id") % 10).alias("v")).repartition(5)
+    got = {r.id: r.rank for r in distributed.ranked_in(df, "rank", ["g"], "id", F.col("v").desc(), F.col("id")).collect()}
+    for g in range(3):
+        own = sorted((i for i in range(500) if i % 3 == g), key=lambda i: (-(i % 10), i))
+        assert [got[i] for i in own] == list(range(1, len(own) + 1))
+
+
+def test_padding_to_the_longest_of_a_batch(spark):
+    from tandemtext.operators import models
+
+    df = spark.createDataFrame([(i, "w " * (i % 7 + 1), "a") for i in range(20)], "pair_id long, ai string, hu string")
+    got = models.collate(models.encode_examples(df, most=100), 4).collect()
+    assert len(got) == 20
+    for b in {r.batch for r in got}:
+        rows = [r for r in got if r.batch == b]
+        assert len({len(r.input_ids) for r in rows}) == 1 and max(sum(r.attention_mask) for r in rows) == len(rows[0].input_ids)
+        assert all(len(r.labels) == len(r.input_ids) == len(r.attention_mask) and r.labels[sum(r.attention_mask):] == [-100] * (len(r.labels) - sum(r.attention_mask)) for r in rows)
