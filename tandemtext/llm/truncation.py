@@ -1,8 +1,11 @@
 """Texts cut off by a field limit or a broken transfer, found with built-in SQL functions only.
 
-Every word n-gram of the corpus is counted by whether its last word goes on (internal) or closes a sentence, line or text
-(terminal), over distinct texts: copies of a text are one.  The final n-grams of the texts are joined to these counts: one that is frequent inside texts but almost never
-terminal shows a cut, one that is always terminal (a sign-off) shows an end without punctuation.
+Every word trigram of the corpus is counted by whether its last word goes on (internal) or closes a sentence, line or text
+(terminal), over distinct texts: copies of a text are one, and a text's own end is no evidence for itself.  A last word that
+is only the beginning of longer words after the same two words is internal as often as those are.  The final trigrams of the
+texts are joined to these counts.  An end without punctuation is a cut unless its trigram is terminal as a rule (a sign-off);
+an end with punctuation is one if its trigram is frequent inside texts but almost never terminal.  Trigrams that stand
+nowhere else fall back to their last two words, list entries to these or to one.
 """
 
 from __future__ import annotations
@@ -12,14 +15,14 @@ from pyspark.sql import functions as F
 
 from tandemtext.session import written
 
-#: Distinct final n-grams (8 bytes each) up to which they are broadcast to the counting of n-grams; beyond it the counts of
-#: all n-grams are joined by a shuffle.
+#: Distinct keys of final n-grams (8 bytes each) up to which they are broadcast to the counting; beyond it all n-grams are counted.
 BROADCAST_KEYS = 2_000_000
-#: A final n-gram is terminal if at least this share of its other occurrences is; a noun in a list closes other phrases now
-#: and then; a word that is almost never terminal is not one that ends a sentence.
-ALWAYS, SOMETIMES, NEVER, FREQUENT = 0.5, 0.003, 0.001, 1000
-#: Share of all texts that must end in an n-gram for it to be a way of ending texts; a cut hits the same place now and then.
-COMMON_END = 0.0003
+#: Shares of terminal occurrences, the same at every size of the corpus.  Without punctuation an end is whole if its trigram
+#: is terminal this often; a list entry if its last words are now and then; with punctuation it is cut if they almost never
+#: are (one terminal and one internal occurrence are added to the counts, so fifty internal ones are needed).
+ALWAYS, SOMETIMES, NEVER = 0.5, 0.003, 0.02
+#: Characters of a word up to which its beginnings are looked at.
+LONGEST = 64
 
 #: What stands for a missing text, what tools put at a cut, how letters are closed.
 PLACEHOLDER = r"(?iU)^\W*(?:n/?a|nan|null|none|nil|empty|missing|placeholder|tbd|todo|no (?:output|answer|response|text|content)|(?:ai|human|rewritten|original|output|humanized) ?(?:text|version|output)?\s*:|<?br\s*/?>?|&?nbsp;?)?\W*$"
@@ -85,66 +88,110 @@ def _times(words: Column, gram: Column) -> Column:
     return F.round((F.length(said) - F.length(F.replace(said, wanted, F.lit("")))) / F.length(wanted)).cast("long")
 
 
-def ngram_counts(texts: DataFrame, keys: DataFrame | None) -> DataFrame:
-    """(h, inside, last): how often each n-gram (1 to 3 words, by hash) goes on and closes, in all (text, copies) rows.
+def _start(*before: str) -> Column:
+    """The key of all words with the same first letter after the same words."""
+    return F.xxhash64(*before, F.left("c", F.lit(1)))
+
 
-    A text that stands in so many ``copies`` counts once.
+def ngram_counts(texts: DataFrame, keys: DataFrame | None) -> DataFrame:
+    """(h, inside, last): how often each n-gram goes on and closes, in all (text, copies) rows; ``h`` is a hash of its words.
 
-    ``keys`` (h), if given, is broadcast and holds the n-grams wanted; counts are otherwise of all n-grams.
+    A text that stands in so many ``copies`` counts once.  For two and three words, an n-gram whose last word begins longer
+    words goes on where these stand.  ``keys`` (level, h), if given, is broadcast; it has the words (level 1) and the
+    :func:`_start` of the pairs and trigrams (levels 2 and 3) that are wanted.
     """
-    w = texts.select(_tokens(F.col("text")).alias("w"), "copies").where(F.size("w") > 3)
+    w = texts.select(_tokens(F.col("text")).alias("w"), (1 / F.col("copies")).alias("part")).where(F.size("w") > 3)
     at = F.arrays_zip(F.slice("w", 1, F.size("w") - 3).alias("a"), F.slice("w", 2, F.size("w") - 3).alias("b"), F.slice("w", 3, F.size("w") - 3).alias("c"), F.slice("w", 4, F.size("w") - 3).alias("d"))
-    grams = w.select("copies", F.inline(at)).where(F.col("c") != BREAK)
-    grams = grams.select(F.xxhash64("c").alias("u"), F.xxhash64("b", "c").alias("v"), F.xxhash64("a", "b", "c").alias("x"), (F.col("d") == BREAK).cast("int").alias("t"), "copies")
-    if keys is not None:
-        # Most words end no text: they go before their longer n-grams are looked at.
-        grams = grams.join(F.broadcast(keys.where("level = 1").select(F.col("h").alias("u"))), "u", "left_semi")
-    grams = grams.select(F.explode(F.array("u", "v", "x")).alias("h"), "t", "copies")
-    if keys is not None:
-        grams = grams.join(F.broadcast(keys.select("h").distinct()), "h", "left_semi")
-    return grams.groupBy("h").agg(*[F.round(F.sum(n / F.col("copies"))).cast("long").alias(name) for n, name in ((1 - F.col("t"), "inside"), (F.col("t"), "last"))])
+    grams = w.select("part", F.inline(at)).where(F.col("c") != BREAK)
+    wanted = lambda n: F.broadcast(keys.where(F.col("level") == n).select(F.col("h").alias(f"s{n}"), F.lit(True).alias(f"is{n}")))
+    grams = grams.withColumn("s2", _start("b")).withColumn("s1", F.xxhash64("c"))
+    if keys is None:
+        grams = grams.withColumns({f"is{n}": F.lit(True) for n in (1, 2, 3)})
+    else:
+        # Most words end no text and follow no word that stands before such an end.
+        grams = grams.join(wanted(2), "s2", "left").join(wanted(1), "s1", "left").where("is1 OR is2")
+        grams = grams.withColumn("s3", _start("a", "b")).join(wanted(3), "s3", "left")
+    level = lambda n, before: F.when(F.col(f"is{n}"), F.struct(F.lit(n).alias("level"), before.alias("before")))
+    levels = F.array_compact(F.array(level(1, F.lit(0).cast("long")), level(2, F.xxhash64("b")), level(3, F.xxhash64("a", "b"))))
+    counted = grams.select(F.inline(levels), "c", (F.col("d") == BREAK).alias("t"), "part")
+    counted = counted.groupBy("level", "before", "c").agg(F.sum(F.when(F.col("t"), 0.0).otherwise(F.col("part"))).alias("inside"), F.sum(F.when(F.col("t"), F.col("part")).otherwise(0.0)).alias("last"))
+    size = F.char_length("c")
+    begins = F.when(F.col("level") > 1, F.sequence(F.lit(1), F.least(size - 1, F.lit(LONGEST))))
+    parts = F.concat(F.array(F.struct(F.col("c").alias("p"), F.lit(True).alias("whole"))), F.when((F.col("level") > 1) & (size > 1), F.transform(begins, lambda n: F.struct(F.left("c", n).alias("p"), F.lit(False).alias("whole")))).otherwise(F.array().cast("array<struct<p:string,whole:boolean>>")))
+    spread = counted.select("level", "before", "inside", "last", F.inline(parts))
+    spread = spread.select(F.xxhash64("level", "before", "p").alias("h"), F.when(F.col("whole"), F.col("inside")).otherwise(F.col("inside") + F.col("last")).alias("inside"), F.when(F.col("whole"), F.col("last")).otherwise(0.0).alias("last"))
+    return spread.groupBy("h").agg(F.round(F.sum("inside")).cast("long").alias("inside"), F.round(F.sum("last")).cast("long").alias("last"))
 
 
 def cut_texts(texts: DataFrame) -> DataFrame:
-    """Flag every text in (key, text) rows: (key, state, cut).
+    """Flag every text in (key, text) rows: (key, state, rule, cut).
 
     ``key`` may be a struct; equal keys stay apart.  Null, empty, blank and placeholder texts are not cut.  ``state`` is what
-    the end looks like: blank, marked, closed, address, item or open.  Numbers at the end of a closed text are no evidence.
-    An empty table gives an empty result.
+    the end looks like: blank, marked, closed, address, item or open; ``rule`` what shows the cut: ``trigram`` (or its last
+    words), ``unseen`` (no punctuation, and the last two words stand nowhere else) or ``marker`` (a mark put at the cut, which
+    the counts alone don't show).  Numbers at the end of a closed text are no evidence, and a closing formula speaks for a
+    signature that is seen once.  An empty table gives an empty result.
     """
     # Whole texts are counted below; for the end itself the end is enough.
     ends = texts.select("key", "text", _same(F.col("text")).alias("same"), _bare(F.col("text")).alias("bare"))
     ends = ends.select("key", "text", "same", F.char_length("bare").alias("size"), _tidy(F.right("bare", F.lit(TAIL))).alias("t"))
-    ends = ends.select("key", "text", "same", _state(F.col("t"), F.col("size")).alias("state"), F.rlike(F.right("t", F.lit(80)), F.lit(CLOSING)).alias("letter"), F.slice(F.concat(F.array(*[F.lit(BREAK)] * 4), _tokens(F.col("t"))), -6, 6).alias("w"))
+    ends = ends.withColumn("state", _state(F.col("t"), F.col("size")))
+    said = F.when(F.col("state") == "marked", F.regexp_replace("t", MARKER, "")).otherwise(F.col("t"))
+    ends = ends.select("key", "text", "same", "state", F.rlike(F.right("t", F.lit(80)), F.lit(CLOSING)).alias("letter"), F.slice(F.concat(F.array(*[F.lit(BREAK)] * 4), _tokens(said)), -6, 6).alias("w"))
     # The last word, with the two before it, whatever breaks follow (one by construction, up to two more from the text).
     broken = lambda n: F.get("w", F.size("w") - n) == BREAK
     head = F.when(broken(2) & broken(3), F.slice("w", 1, 3)).when(broken(2), F.slice("w", 1, 4)).otherwise(F.slice("w", 1, 5))
     ends = ends.withColumn("w", F.slice(F.concat(F.array(F.lit(BREAK), F.lit(BREAK)), head), -3, 3))
-    own = [F.when(F.col("state").isin("open", "item", "closed"), _times(_tokens(F.col("text")), F.slice("w", 4 - n, n))).alias(f"own{n}") for n in (1, 2, 3)]
-    ends = ends.select("key", "same", "state", "letter", *own, F.rlike(F.get("w", 2), F.lit(r"\d")).alias("digit"), F.xxhash64(F.get("w", 2)).alias("h1"), F.xxhash64(F.get("w", 1), F.get("w", 2)).alias("h2"), F.xxhash64(F.get("w", 0), F.get("w", 1), F.get("w", 2)).alias("h3"))
-    ends = written(ends, "ends")
-    asked = ends.where("state IN ('open', 'item') OR (state = 'closed' AND NOT digit)")
-    levels = F.array(F.struct(F.lit(1).alias("level"), F.col("h1").alias("h")), F.struct(F.lit(2).alias("level"), F.when(F.col("state") == "item", F.col("h2")).alias("h")), F.struct(F.lit(3).alias("level"), F.when(F.col("state") != "item", F.col("h3")).alias("h")))
-    keys = written(asked.select(F.inline(levels)).where("h IS NOT NULL").distinct(), "keys")
+    # What the text says itself, at its end or before, is none of the other terminal occurrences.  A mark is no end, and to a
+    # closed end terminal occurrences of its own make no difference.
+    own = [F.when(F.col("state").isin("open", "item"), _times(_tokens(F.col("text")), F.slice("w", 4 - n, n))).when(F.col("state") == "closed", 1).otherwise(0).alias(f"own{n}") for n in (1, 2, 3)]
+    ends = ends.select("key", "same", "state", "letter", *own, F.get("w", 0).alias("a"), F.get("w", 1).alias("b"), F.get("w", 2).alias("c"))
+    ends = ends.withColumns(
+        {
+            "digit": F.rlike("c", F.lit(r"\d")),
+            "h1": F.xxhash64(F.lit(1), F.lit(0).cast("long"), "c"),
+            "h2": F.xxhash64(F.lit(2), F.xxhash64("b"), "c"),
+            "h3": F.xxhash64(F.lit(3), F.xxhash64("a", "b"), "c"),
+        }
+    )
+    ends = written(ends.withColumns({"s1": F.xxhash64("c"), "s2": _start("b"), "s3": _start("a", "b")}).drop("a", "b", "c"), "ends")
+    asked = ends.where("state IN ('open', 'item', 'marked') OR (state = 'closed' AND NOT digit)")
+    # Closed ends need their trigram and word, open ones the trigram and pair, entries the pair and word.
+    levels = F.array_compact(
+        F.array(
+            F.when(F.col("state").isin("item", "closed"), F.struct(F.lit(1).alias("level"), F.col("s1").alias("h"))),
+            F.struct(F.lit(2).alias("level"), F.col("s2").alias("h")),
+            F.when(F.col("state") != "item", F.struct(F.lit(3).alias("level"), F.col("s3").alias("h"))),
+        )
+    )
+    keys = written(asked.select(F.inline(levels)).distinct(), "keys")
     small = keys.count() <= BROADCAST_KEYS
     copies = written(ends.groupBy("same").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
     few = copies.count() <= BROADCAST_KEYS
     once = texts.select("text", _same(F.col("text")).alias("same")).join(F.broadcast(copies) if few else copies, "same", "left")
     counts = ngram_counts(once.select("text", F.coalesce("copies", F.lit(1)).alias("copies")), keys if small else None)
-    if small:
-        counts = written(counts, "counts")
+    wanted = asked.select(F.explode(F.array("h1", "h2", "h3")).alias("h")).distinct()
+    counts = written(counts.join(wanted, "h", "left_semi"), "counts")
+    near = counts.count() <= BROADCAST_KEYS
     out = ends
     for n in (1, 2, 3):
         side = counts.toDF(f"h{n}", f"inside{n}", f"last{n}")
-        out = out.join(F.broadcast(side) if small else side, f"h{n}", "left")
-    # What the text says itself, at its end or before, is none of the other terminal occurrences.
+        out = out.join(F.broadcast(side) if near else side, f"h{n}", "left")
     for n in (1, 2, 3):
-        out = out.withColumn(f"inside{n}", F.coalesce(f"inside{n}", F.lit(0))).withColumn(f"last{n}", F.greatest(F.coalesce(f"last{n}", F.lit(0)) - F.greatest(f"own{n}", F.lit(1)), F.lit(0)))
+        out = out.withColumn(f"inside{n}", F.coalesce(f"inside{n}", F.lit(0))).withColumn(f"last{n}", F.greatest(F.coalesce(f"last{n}", F.lit(0)) - F.col(f"own{n}"), F.lit(0)))
+    seen = {n: F.col(f"inside{n}") + F.col(f"last{n}") > 0 for n in (1, 2, 3)}
     share = {n: F.col(f"last{n}") / F.greatest(F.col(f"inside{n}") + F.col(f"last{n}"), F.lit(1)) for n in (1, 2, 3)}
-    at_least = COMMON_END * ends.select("same").distinct().count()
-    closes = (share[3] >= ALWAYS) & (F.col("last3") >= F.when(F.col("letter"), max(1.0, at_least)).otherwise(max(2.0, at_least)))
-    signed = closes | (F.col("letter") & (F.col("inside3") + F.col("last3") == 0) & F.lit(at_least < 1))
-    known = F.when(F.col("inside2") + F.col("last2") > 0, (F.col("last2") > 0) & (share[2] >= SOMETIMES)).otherwise((F.col("last1") > 0) & (share[1] >= SOMETIMES))
-    never = ~F.col("digit") & (F.col("inside1") >= FREQUENT) & (share[1] < NEVER) & (F.col("inside3") > 2) & (F.col("last3") == 0)
-    cut = F.when(F.col("state") == "marked", True).when(F.col("state") == "open", ~signed).when(F.col("state") == "item", ~known).when(F.col("state") == "closed", F.coalesce(never, F.lit(False))).otherwise(False)
-    return out.select("key", "state", F.coalesce(cut, F.lit(False)).alias("cut"))
+    rare = {n: (F.col(f"last{n}") + 1) / (F.col(f"inside{n}") + F.col(f"last{n}") + 2) < NEVER for n in (1, 3)}
+    # Two texts that break off at the same place are no way of ending texts yet.
+    closes = (share[3] >= ALWAYS) & (F.col("last3") >= F.when(F.col("letter"), 1).otherwise(2))
+    goes_on = F.when(seen[3], ~closes).when(F.col("letter"), False).otherwise(seen[2])
+    entry = F.when(seen[2], (F.col("last2") > 0) & (share[2] >= SOMETIMES)).otherwise((F.col("last1") > 0) & (share[1] >= SOMETIMES))
+    closed = ~F.col("digit") & rare[3] & rare[1]
+    rule = (
+        F.when(F.col("state").isin("open", "marked") & goes_on, "trigram")
+        .when(F.col("state") == "marked", "marker")
+        .when((F.col("state") == "open") & ~seen[3] & ~F.col("letter"), "unseen")
+        .when((F.col("state") == "item") & ~entry, "trigram")
+        .when((F.col("state") == "closed") & closed, "trigram")
+    )
+    return out.select("key", "state", rule.alias("rule"), rule.isNotNull().alias("cut"))

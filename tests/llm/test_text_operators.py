@@ -149,6 +149,22 @@ def test_copies_of_a_cut_text_do_not_vouch_for_each_other(spark, monkeypatch, li
     assert got == {k for k, _ in rows if k[0] != "w"}
 
 
+@pytest.mark.parametrize("others", [300, 3000, 9000])
+def test_the_same_ends_are_cut_at_every_size_of_the_corpus(spark, others):
+    rnd = random.Random(5)
+    asked = {
+        "signature": "It all went well in the end.\n\nKind regards,\nOttilie Brandreth",
+        "fragment": "We met at the mill and took the barg",
+        "phrase": "It was late and we had to take the",
+        "closed phrase": "It was late and we had to take the.",
+        "closed": "It was late and we had to take the barge.",
+        "sign-off": "We met at the mill.\nYours ever the mill crew",
+    }
+    rows = list(asked.items()) + [(f"w{k}", f"{prose(rnd, 8)} and we had to take the barge to the {prose(rnd, 1)}. It was {prose(rnd, 1)} late." + (" They sold the barge." if k % 5 == 0 else "") + ("\nYours ever the mill crew" if k % 7 == 0 else "")) for k in range(others)]
+    got = {r.key for r in truncation.cut_texts(spark.createDataFrame(rows, "key string, text string")).where("cut").collect()}
+    assert got == {"fragment", "phrase", "closed phrase"}
+
+
 def test_cut_of_nothing_and_of_a_very_long_text(spark):
     empty = spark.createDataFrame([], "key long, text string")
     assert truncation.cut_texts(empty).count() == 0
