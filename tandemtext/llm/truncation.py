@@ -15,14 +15,12 @@ from pyspark.sql import functions as F
 
 from tandemtext.session import written
 
-#: Distinct keys of final n-grams (8 bytes each) up to which they are broadcast to the counting; beyond it all n-grams are counted.
-BROADCAST_KEYS = 2_000_000
+#: Distinct final n-grams (about 100 bytes each) up to which they are broadcast to the counting; beyond it all are counted.
+BROADCAST_KEYS = 1_000_000
 #: Shares of terminal occurrences, the same at every size of the corpus.  Without punctuation an end is whole if its trigram
 #: is terminal this often; a list entry if its last words are now and then; with punctuation it is cut if they almost never
 #: are (one terminal and one internal occurrence are added to the counts, so fifty internal ones are needed).
 ALWAYS, SOMETIMES, NEVER = 0.5, 0.003, 0.02
-#: Characters of a word up to which its beginnings are looked at.
-LONGEST = 64
 
 #: What stands for a missing text, what tools put at a cut, how letters are closed.
 PLACEHOLDER = r"(?iU)^\W*(?:n/?a|nan|null|none|nil|empty|missing|placeholder|tbd|todo|no (?:output|answer|response|text|content)|(?:ai|human|rewritten|original|output|humanized) ?(?:text|version|output)?\s*:|<?br\s*/?>?|&?nbsp;?)?\W*$"
@@ -78,13 +76,21 @@ def _state(t: Column, size: Column) -> Column:
 
 
 def _same(text: Column) -> Column:
-    """Equal for texts that differ in case and white space only."""
-    return F.xxhash64(F.translate(F.lower(text), " \t\n\r\f\v\u00a0\u2003\u2009" + INVISIBLE, ""))
+    """Equal for texts that differ in case, in blanks and line breaks only."""
+    t = F.lower(text)
+    for c in (" ", "\n", "\r", "\t"):
+        t = F.replace(t, F.lit(c), F.lit(""))
+    return F.xxhash64(t)
 
 
-def _times(words: Column, gram: Column) -> Column:
+def _fixed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once per row, however often they are used later on (a projection would repeat them)."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def _times(said: Column, *words: str) -> Column:
     """How often some words stand at an end in a text of such words."""
-    said, wanted = F.concat(F.lit(" "), F.concat_ws(" ", words)), F.concat(F.lit(" "), F.concat_ws(" ", gram), F.lit(f" {BREAK}"))
+    wanted = F.concat(F.lit(" "), F.concat_ws(" ", *words), F.lit(f" {BREAK}"))
     return F.round((F.length(said) - F.length(F.replace(said, wanted, F.lit("")))) / F.length(wanted)).cast("long")
 
 
@@ -93,34 +99,47 @@ def _start(*before: str) -> Column:
     return F.xxhash64(*before, F.left("c", F.lit(1)))
 
 
-def ngram_counts(texts: DataFrame, keys: DataFrame | None) -> DataFrame:
-    """(h, inside, last): how often each n-gram goes on and closes, in all (text, copies) rows; ``h`` is a hash of its words.
+def _grams(texts: DataFrame) -> DataFrame:
+    """(part, a, b, c, d): every word c with its neighbours in (text, copies) rows; a text in so many copies counts once."""
+    w = texts.select(_tokens(F.col("text")).alias("w"), (1 / F.col("copies")).alias("part"))
+    some = lambda n: F.slice("w", n, F.size("w") - 3)
+    return w.select("part", F.inline(F.arrays_zip(some(1).alias("a"), some(2).alias("b"), some(3).alias("c"), some(4).alias("d")))).where(F.col("c") != BREAK)
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    """(h, inside, last) of (h, on, part) rows; ``on`` tells whether the n-gram goes on there."""
+    amount = lambda on: F.round(F.sum(F.when(F.col("on") == on, F.col("part")).otherwise(0.0))).cast("long")
+    return rows.groupBy("h").agg(amount(True).alias("inside"), amount(False).alias("last"))
+
+
+def asked_counts(texts: DataFrame, ends: DataFrame) -> DataFrame:
+    """(h, inside, last) of the final n-grams of ``ends``, which are broadcast: how often each goes on and closes.
 
-    A text that stands in so many ``copies`` counts once.  For two and three words, an n-gram whose last word begins longer
-    words goes on where these stand.  ``keys`` (level, h), if given, is broadcast; it has the words (level 1) and the
-    :func:`_start` of the pairs and trigrams (levels 2 and 3) that are wanted.
+    For two and three words, an n-gram whose last word begins longer words goes on where these stand.
     """
-    w = texts.select(_tokens(F.col("text")).alias("w"), (1 / F.col("copies")).alias("part")).where(F.size("w") > 3)
-    at = F.arrays_zip(F.slice("w", 1, F.size("w") - 3).alias("a"), F.slice("w", 2, F.size("w") - 3).alias("b"), F.slice("w", 3, F.size("w") - 3).alias("c"), F.slice("w", 4, F.size("w") - 3).alias("d"))
-    grams = w.select("part", F.inline(at)).where(F.col("c") != BREAK)
-    wanted = lambda n: F.broadcast(keys.where(F.col("level") == n).select(F.col("h").alias(f"s{n}"), F.lit(True).alias(f"is{n}")))
-    grams = grams.withColumn("s2", _start("b")).withColumn("s1", F.xxhash64("c"))
-    if keys is None:
-        grams = grams.withColumns({f"is{n}": F.lit(True) for n in (1, 2, 3)})
-    else:
-        # Most words end no text and follow no word that stands before such an end.
-        grams = grams.join(wanted(2), "s2", "left").join(wanted(1), "s1", "left").where("is1 OR is2")
-        grams = grams.withColumn("s3", _start("a", "b")).join(wanted(3), "s3", "left")
-    level = lambda n, before: F.when(F.col(f"is{n}"), F.struct(F.lit(n).alias("level"), before.alias("before")))
-    levels = F.array_compact(F.array(level(1, F.lit(0).cast("long")), level(2, F.xxhash64("b")), level(3, F.xxhash64("a", "b"))))
-    counted = grams.select(F.inline(levels), "c", (F.col("d") == BREAK).alias("t"), "part")
-    counted = counted.groupBy("level", "before", "c").agg(F.sum(F.when(F.col("t"), 0.0).otherwise(F.col("part"))).alias("inside"), F.sum(F.when(F.col("t"), F.col("part")).otherwise(0.0)).alias("last"))
-    size = F.char_length("c")
-    begins = F.when(F.col("level") > 1, F.sequence(F.lit(1), F.least(size - 1, F.lit(LONGEST))))
-    parts = F.concat(F.array(F.struct(F.col("c").alias("p"), F.lit(True).alias("whole"))), F.when((F.col("level") > 1) & (size > 1), F.transform(begins, lambda n: F.struct(F.left("c", n).alias("p"), F.lit(False).alias("whole")))).otherwise(F.array().cast("array<struct<p:string,whole:boolean>>")))
-    spread = counted.select("level", "before", "inside", "last", F.inline(parts))
-    spread = spread.select(F.xxhash64("level", "before", "p").alias("h"), F.when(F.col("whole"), F.col("inside")).otherwise(F.col("inside") + F.col("last")).alias("inside"), F.when(F.col("whole"), F.col("last")).otherwise(0.0).alias("last"))
-    return spread.groupBy("h").agg(F.round(F.sum("inside")).cast("long").alias("inside"), F.round(F.sum("last")).cast("long").alias("last"))
+    two = ends.select(F.col("s2").alias("s"), F.col("c").alias("begin"), F.col("h2").alias("h"))
+    one = ends.where("state = 'item'").select(F.col("s1").alias("s"), F.col("c").alias("begin"), F.col("h1").alias("h"))
+    three = ends.select(F.xxhash64("a", "h2").alias("s3"), "h3").distinct()
+    words = one.select(F.col("s").alias("s1"), F.lit(True).alias("is1")).distinct()
+    grams = _grams(texts).withColumn("s1", F.xxhash64("c")).join(F.broadcast(words), "s1", "left")
+    # Plain arrays with nulls: array_compact would leave generated code.
+    starts = F.array(_start("b"), F.when(F.col("is1"), F.col("s1")))
+    met = grams.select("a", "c", "d", "part", F.explode(starts).alias("s")).join(F.broadcast(two.union(one).distinct()), "s").where(F.startswith("c", "begin"))
+    met = met.select("part", "h", F.xxhash64("a", "h").alias("s3"), ((F.col("d") != BREAK) | (F.col("c") != F.col("begin"))).alias("on"))
+    met = met.join(F.broadcast(three), "s3", "left")
+    return _summed(met.select("part", "on", F.explode(F.array("h", "h3")).alias("h")).where("h IS NOT NULL"))
+
+
+def all_counts(texts: DataFrame) -> DataFrame:
+    """The same of every n-gram of the corpus and every beginning of its last word."""
+    level = lambda n, before: F.struct(F.lit(n).alias("level"), before.alias("before"))
+    levels = F.array(level(1, F.lit(0).cast("long")), level(2, F.xxhash64("b")), level(3, F.xxhash64("a", "b")))
+    counted = _grams(texts).select(F.inline(levels), "c", (F.col("d") != BREAK).alias("on"), "part")
+    counted = counted.groupBy("level", "before", "c", "on").agg(F.sum("part").alias("part"))
+    more = (F.col("level") > 1) & (F.char_length("c") > 1)
+    begins = F.when(more, F.transform(F.sequence(F.lit(1), F.char_length("c") - 1), lambda n: F.struct(F.left("c", n).alias("p"), F.lit(True).alias("on")))).otherwise(F.array().cast("array<struct<p:string,on:boolean>>"))
+    spread = counted.select("level", "before", "part", F.inline(F.concat(F.array(F.struct(F.col("c").alias("p"), "on")), begins)))
+    return _summed(spread.select(F.xxhash64("level", "before", "p").alias("h"), "on", "part"))
 
 
 def cut_texts(texts: DataFrame) -> DataFrame:
@@ -133,45 +152,45 @@ def cut_texts(texts: DataFrame) -> DataFrame:
     signature that is seen once.  An empty table gives an empty result.
     """
     # Whole texts are counted below; for the end itself the end is enough.
-    ends = texts.select("key", "text", _same(F.col("text")).alias("same"), _bare(F.col("text")).alias("bare"))
-    ends = ends.select("key", "text", "same", F.char_length("bare").alias("size"), _tidy(F.right("bare", F.lit(TAIL))).alias("t"))
-    ends = ends.withColumn("state", _state(F.col("t"), F.col("size")))
+    ends = _fixed(texts.select("key", "text"), bare=_bare(F.col("text")))
+    ends = _fixed(ends, same=_same(F.col("bare")), size=F.char_length("bare"), t=_tidy(F.right("bare", F.lit(TAIL)))).drop("bare")
+    ends = _fixed(ends, state=_state(F.col("t"), F.col("size")))
     said = F.when(F.col("state") == "marked", F.regexp_replace("t", MARKER, "")).otherwise(F.col("t"))
-    ends = ends.select("key", "text", "same", "state", F.rlike(F.right("t", F.lit(80)), F.lit(CLOSING)).alias("letter"), F.slice(F.concat(F.array(*[F.lit(BREAK)] * 4), _tokens(said)), -6, 6).alias("w"))
+    # What the text says itself, at its end or before, is none of the other terminal occurrences.  A mark is no end, and to a
+    # closed end terminal occurrences of its own make no difference.
+    whole = F.when(F.col("state").isin("open", "item"), F.concat(F.lit(" "), F.concat_ws(" ", _tokens(F.col("text")))))
+    ends = _fixed(ends, w=F.slice(F.concat(F.array(*[F.lit(BREAK)] * 4), _tokens(said)), -6, 6), whole=whole).drop("text")
     # The last word, with the two before it, whatever breaks follow (one by construction, up to two more from the text).
     broken = lambda n: F.get("w", F.size("w") - n) == BREAK
     head = F.when(broken(2) & broken(3), F.slice("w", 1, 3)).when(broken(2), F.slice("w", 1, 4)).otherwise(F.slice("w", 1, 5))
-    ends = ends.withColumn("w", F.slice(F.concat(F.array(F.lit(BREAK), F.lit(BREAK)), head), -3, 3))
-    # What the text says itself, at its end or before, is none of the other terminal occurrences.  A mark is no end, and to a
-    # closed end terminal occurrences of its own make no difference.
-    own = [F.when(F.col("state").isin("open", "item"), _times(_tokens(F.col("text")), F.slice("w", 4 - n, n))).when(F.col("state") == "closed", 1).otherwise(0).alias(f"own{n}") for n in (1, 2, 3)]
-    ends = ends.select("key", "same", "state", "letter", *own, F.get("w", 0).alias("a"), F.get("w", 1).alias("b"), F.get("w", 2).alias("c"))
-    ends = ends.withColumns(
-        {
-            "digit": F.rlike("c", F.lit(r"\d")),
-            "h1": F.xxhash64(F.lit(1), F.lit(0).cast("long"), "c"),
-            "h2": F.xxhash64(F.lit(2), F.xxhash64("b"), "c"),
-            "h3": F.xxhash64(F.lit(3), F.xxhash64("a", "b"), "c"),
-        }
-    )
-    ends = written(ends.withColumns({"s1": F.xxhash64("c"), "s2": _start("b"), "s3": _start("a", "b")}).drop("a", "b", "c"), "ends")
-    asked = ends.where("state IN ('open', 'item', 'marked') OR (state = 'closed' AND NOT digit)")
-    # Closed ends need their trigram and word, open ones the trigram and pair, entries the pair and word.
-    levels = F.array_compact(
-        F.array(
-            F.when(F.col("state").isin("item", "closed"), F.struct(F.lit(1).alias("level"), F.col("s1").alias("h"))),
-            F.struct(F.lit(2).alias("level"), F.col("s2").alias("h")),
-            F.when(F.col("state") != "item", F.struct(F.lit(3).alias("level"), F.col("s3").alias("h"))),
-        )
+    ends = _fixed(ends, v=F.slice(F.concat(F.array(F.lit(BREAK), F.lit(BREAK)), head), -3, 3))
+    ends = _fixed(ends, a=F.get("v", 0), b=F.get("v", 1), c=F.get("v", 2))
+    own = {f"own{n}": F.coalesce(_times(F.col("whole"), *"abc"[3 - n :]), F.when(F.col("state") == "closed", 1).otherwise(0)) for n in (1, 2, 3)}
+    ends = ends.select(
+        "key",
+        "same",
+        "state",
+        F.rlike(F.right("t", F.lit(80)), F.lit(CLOSING)).alias("letter"),
+        *[c.alias(n) for n, c in own.items()],
+        F.rlike("c", F.lit(r"\d")).alias("digit"),
+        F.xxhash64(F.lit(1), F.lit(0).cast("long"), "c").alias("h1"),
+        F.xxhash64(F.lit(2), F.xxhash64("b"), "c").alias("h2"),
+        F.xxhash64(F.lit(3), F.xxhash64("a", "b"), "c").alias("h3"),
+        F.xxhash64("c").alias("s1"),
+        _start("b").alias("s2"),
+        "a",
+        "c",
     )
-    keys = written(asked.select(F.inline(levels)).distinct(), "keys")
-    small = keys.count() <= BROADCAST_KEYS
+    ends = written(ends, "ends")
+    asked = ends.where("state IN ('open', 'item', 'marked') OR (state = 'closed' AND NOT digit)").select("state", "a", "c", "s1", "s2", "h1", "h2", "h3").distinct()
+    asked = written(asked, "asked")
+    small = asked.count() <= BROADCAST_KEYS
     copies = written(ends.groupBy("same").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
     few = copies.count() <= BROADCAST_KEYS
-    once = texts.select("text", _same(F.col("text")).alias("same")).join(F.broadcast(copies) if few else copies, "same", "left")
-    counts = ngram_counts(once.select("text", F.coalesce("copies", F.lit(1)).alias("copies")), keys if small else None)
-    wanted = asked.select(F.explode(F.array("h1", "h2", "h3")).alias("h")).distinct()
-    counts = written(counts.join(wanted, "h", "left_semi"), "counts")
+    once = texts.select("text", _same(_bare(F.col("text"))).alias("same")).join(F.broadcast(copies) if few else copies, "same", "left")
+    once = once.select("text", F.coalesce("copies", F.lit(1)).alias("copies"))
+    counts = asked_counts(once, asked) if small else all_counts(once).join(asked.select(F.explode(F.array("h1", "h2", "h3")).alias("h")).distinct(), "h", "left_semi")
+    counts = written(counts, "counts")
     near = counts.count() <= BROADCAST_KEYS
     out = ends
     for n in (1, 2, 3):
@@ -181,12 +200,12 @@ def cut_texts(texts: DataFrame) -> DataFrame:
         out = out.withColumn(f"inside{n}", F.coalesce(f"inside{n}", F.lit(0))).withColumn(f"last{n}", F.greatest(F.coalesce(f"last{n}", F.lit(0)) - F.col(f"own{n}"), F.lit(0)))
     seen = {n: F.col(f"inside{n}") + F.col(f"last{n}") > 0 for n in (1, 2, 3)}
     share = {n: F.col(f"last{n}") / F.greatest(F.col(f"inside{n}") + F.col(f"last{n}"), F.lit(1)) for n in (1, 2, 3)}
-    rare = {n: (F.col(f"last{n}") + 1) / (F.col(f"inside{n}") + F.col(f"last{n}") + 2) < NEVER for n in (1, 3)}
+    rare = {n: (F.col(f"last{n}") + 1) / (F.col(f"inside{n}") + F.col(f"last{n}") + 2) < NEVER for n in (2, 3)}
     # Two texts that break off at the same place are no way of ending texts yet.
     closes = (share[3] >= ALWAYS) & (F.col("last3") >= F.when(F.col("letter"), 1).otherwise(2))
     goes_on = F.when(seen[3], ~closes).when(F.col("letter"), False).otherwise(seen[2])
     entry = F.when(seen[2], (F.col("last2") > 0) & (share[2] >= SOMETIMES)).otherwise((F.col("last1") > 0) & (share[1] >= SOMETIMES))
-    closed = ~F.col("digit") & rare[3] & rare[1]
+    closed = ~F.col("digit") & rare[3] & rare[2]
     rule = (
         F.when(F.col("state").isin("open", "marked") & goes_on, "trigram")
         .when(F.col("state") == "marked", "marker")
