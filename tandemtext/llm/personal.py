@@ -1,7 +1,10 @@
 """Personal information in free text: found, and replaced by typed placeholders.
 
 Patterns propose spans; checksums confirm or weaken those that have them; words near a span raise or lower its score.  A span
-counts from ``ACCEPT`` on.  Each text is handled by itself in Arrow batches.
+counts from ``ACCEPT`` on.  A card or account number counts only with the right checksum; a national number without it only
+next to words that speak for it.  A name is a run of capitalised words whose score comes from known given names, from titles,
+roles and naming words before it, and from what persons do after it; words of places and organisations speak against it.
+Each text is handled by itself in Arrow batches.
 """
 
 from __future__ import annotations
@@ -36,14 +39,23 @@ PLACES = frozenset(
     island lake library lodge mill moor park point port quay ridge river road sands shore square station street valley view village
     wood woods college institute foundation council trust clinic school university church centre center museum society association
     authority board union group office service cooperative january february march april may june july august september october
-    november december monday tuesday wednesday thursday friday saturday sunday tel mail email phone""".split()
+    november december monday tuesday wednesday thursday friday saturday sunday""".split()
 )
-# Phrases that a person's name follows, and words that stand between a phrase and a name.
-CUES = (
-    "my name is", "contact:", "the applicant", "the tenant", "the respondent,", "thanks again to", "signed forms to", "we met",
-    "you can reach", "sie sich an", "rückfragen nimmt", "ausweisnummer von", "ansprechpartner", "numéro d'identité de", "pouvez joindre",
-    "merci à", "puede contactar con", "gracias a", "documento de identidad de", "me llamo", "je m'appelle", "mein name ist", "ich heiße",
-)
+# Words right before a name that give one, stand for a person, or lead to a person; the last also to other things.
+NAMING = frozenset("named called contact attn attention dear heiße heißt llamo llama appelle nommé nommée chiamo ansprechpartner ansprechpartnerin kontakt contacto signed author".split())
+NAMING_PAIRS = frozenset(("name is", "names are", "name ist", "nombre es", "nom est", "this is", "i am", "signed by", "written by", "yours sincerely"))
+ROLES = frozenset(
+    """applicant tenant respondent claimant defendant plaintiff witness patient client customer employee manager director teacher nurse
+    doctor editor chair chairman chairwoman secretary treasurer officer colleague friend neighbour neighbor landlord mieter mieterin
+    antragsteller antragstellerin kollege kollegin kunde kundin patientin leiter leiterin locataire demandeur demandeuse patiente collègue
+    inquilino inquilina solicitante cliente paciente colega señor señora madame monsieur herr frau mr mrs ms miss dr prof""".split()
+)
+TITLES = frozenset("dr prof mr mrs ms sr sra mme mlle st".split())
+# Words that begin or end capitalised phrases which are no names.
+NO_NAMES = frozenset("the this that these those it we you they he she i a an in on at for with from of and or my our your their his her if when please kind best many der die das le la les el los las un une una ein eine".split())
+LEADING = frozenset(("thanks to", "again to", "thank you", "we met", "i met", "can reach", "may reach", "forms to", "papers to", "letter to", "letters to", "speak to", "talk to", "write to", "sich an", "merci à", "gracias a", "danke an", "dank an", "contactar con", "hablar con", "pouvez joindre", "contacter avec", "rückfragen nimmt", "nummer von", "number of", "ausweisnummer von", "identité de", "identidad de", "identity of"))
+# What follows the name of a person.
+AFTER_PERSON = re.compile(r"\s*,?\s*(?:\(ID\b|(?:gave|said|says|wrote|writes|lives|asked|signed|collected|told|agreed|thanked|joined|phoned|rang|explained|replied|who|whose|wohnt|schrieb|schreibt|sagte|unter|entgegen|vive|dijo|escribió|par|por|pour)\b|can be reached|est joignable|(?:\r?\n)+\s*(?:tel|phone|mail|e-mail|mobile)\b)", re.I)
 TITLE = r"(?:(?:Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Herr|Frau|Mme|Mlle|Sra?|Señora?|Don|Doña|Madame|Monsieur)\b\.?\s+)*"
 PARTICLE = r"(?:(?:von|van|de|del|della|di|da|zu|la|le|der|den|ter|VON|VAN|DE|DEL|DI|DA|ZU)\s+){0,2}"
 FAMILY = r"[A-ZÀ-Þ][^\W\d_]+(?:['’-][A-ZÀ-Þ]?[^\W\d_]+)*"
@@ -89,7 +101,15 @@ _NO_PERSON = re.compile(r"(?i)\b(?:saint|st\.?|san|santa|sankt|project|the)\s+\Z
 _PLACE_NEXT = re.compile(rf"{GAP}(?:{'|'.join(sorted(w.capitalize() for w in PLACES))})\b")
 _GIVEN_FORMS = frozenset(f(w) for w in GIVEN for f in (str.capitalize, str.upper))
 _SIX_DIGITS = re.compile(r"\d\d ?\d\d ?\d\d")
-_CUED = re.compile(rf"\s*,?\s*{TITLE}({FAMILY}(?:{GAP}[A-ZÀ-Þ]\.)*{GAP}{PARTICLE}{FAMILY}|{PARTICLE}{FAMILY},{GAP}{FAMILY}(?:{GAP}[A-ZÀ-Þ]\.)*)")
+#: Shapes of a name that no given name vouches for; a comma only where the family name stands first.
+_SHAPE = re.compile(rf"(?!(?:Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Herr|Frau|Mme|Mlle|Sra?|Señora?|Don|Doña|Madame|Monsieur)\b)({FAMILY}(?:{GAP}[A-ZÀ-Þ]\.)*{GAP}{PARTICLE}{FAMILY}(?![\w])|{PARTICLE}{FAMILY},{GAP}{FAMILY}(?:{GAP}[A-ZÀ-Þ]\.)*(?![\w]))")
+_LETTERS = re.compile(r"[^\W\d_]+(?:[’'][^\W\d_]+)?")
+_LEADING_PARTICLE = re.compile(r"(?:(?<=\s)|^)(?:von|van|de|del|della|di|da|zu|la|le|der|den|ter)\s+(?:(?:der|den|la|los)\s+)?\Z", re.I)
+_PARTICLES = frozenset("von van de del della di da zu la le der den ter los".split())
+_SPEAKING = NAMING | ROLES | {p.rpartition(" ")[2] for p in NAMING_PAIRS} | {p.rpartition(" ")[2] for p in LEADING}
+_CARD = re.compile(r"[3-6]\d{3}(?:([ -]?)\d{4}\1\d{4}\1\d{1,7}|([ -]?)\d{6}\2\d{5})")
+_IBAN = re.compile(r"(?<![\w-])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+_IBAN_HEAD = re.compile(r"[A-Z]{2}\d\d ?[A-Z0-9]{4}")
 _INVISIBLE = re.compile("[​‌‍⁠﻿­‎‏]")
 
 
@@ -99,6 +119,12 @@ def mod97(nir: str) -> bool:
     return body.isdigit() and int(nir[-2:]) == 97 - int(body) % 97
 
 
+def iban97(code: str) -> bool:
+    """Whether the account number, its first four characters moved to the end, is 1 modulo 97 (letters from A = 10)."""
+    code = code.replace(" ", "").upper()
+    return 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -125,10 +151,13 @@ def _score_number(span: str, before: str) -> tuple[str, float] | None:
     cue_id, cue_phone = FOR_ID.search(before) is not None, FOR_PHONE.search(before) is not None
     if _SSN.fullmatch(span):
         return "id_number", 0.7 + 0.3 * cue_id - against
+    if _CARD.fullmatch(span) and luhn(digits):
+        return "id_number", 0.8 - against
     if len(digits) in (13, 15) and _NIR.fullmatch(span) and (span[0] in "1234789"):
         return "id_number", 0.4 + 0.4 * (len(digits) == 15 and mod97(digits)) + 0.5 * cue_id - against
-    if cue_id and not cue_phone and 8 <= len(digits) <= 15 and "+" not in span and "(" not in span:
-        return "id_number", 0.6 + 0.2 * luhn(digits) - against
+    if cue_id and not cue_phone and 8 <= len(digits) <= 12 and not re.search(r"[+(/]", span):
+        # A number of no known kind: its checksum decides unless the words for it stand close by.
+        return "id_number", 0.45 + 0.2 * luhn(digits) + 0.2 * (FOR_ID.search(before[-30:]) is not None) - against
     if _ABROAD.fullmatch(span) and 9 <= len(digits) <= 15:
         return "phone", 0.8 + 0.2 * cue_phone - against
     parted = re.search(r"[ ().-]", span) is not None
@@ -158,6 +187,9 @@ def _numbers(text: str) -> list[tuple[float, int, int, str]]:
     for m in _LETTERED.finditer(text) if _SIX_DIGITS.search(text) else ():
         if (score := _lettered_score(m.group(), text[max(0, m.start() - CONTEXT) : m.start()])) >= ACCEPT:
             got.append((score, m.start(), m.end(), "id_number"))
+    for m in _IBAN.finditer(text) if _IBAN_HEAD.search(text) else ():
+        if iban97(m.group()) and not AGAINST.search(text[max(0, m.start() - CONTEXT) : m.start()]):
+            got.append((0.9, m.start(), m.end(), "id_number"))
     for m in _DIGITS.finditer(text):
         # A bracket that closes nothing, or a full stop and what follows, is not part of the number.
         start, span = m.start(), m.group()
@@ -198,10 +230,13 @@ def _is_family(word: str) -> bool:
     return len(word) > 1 and word.lower() not in PLACES
 
 
-def _names(text: str, low: str) -> list[tuple[float, int, int, str]]:
-    got = []
+def _names(text: str) -> list[tuple[float, int, int, str]]:
+    got, done = [], 0
     for m in _CAPITAL.finditer(text):
         if m.group() not in _GIVEN_FORMS:
+            if m.start() >= done and (other := _unlisted(text, m.start())):
+                got.append(other)
+                done = other[2]
             continue
         before = text[max(0, m.start() - CONTEXT) : m.start()]
         if _NO_PERSON.search(before):
@@ -218,16 +253,44 @@ def _names(text: str, low: str) -> list[tuple[float, int, int, str]]:
             if particle and _PREPOSITION.search(before[: first.start(1)]):
                 start = m.start() - (len(before) - first.start(2))
             got.append((0.8, start, _INITIALS.match(text, m.end()).end(), "name"))
-    if len(low) == len(text):
-        for cue in CUES:
-            at = low.find(cue)
-            while at >= 0:
-                if (named := _CUED.match(text, at + len(cue))) and not any(w.lower() in PLACES for w in re.findall(r"[^\W\d_]+", named.group(1))):
-                    got.append((0.7, named.start(1), named.end(1), "name"))
-                at = low.find(cue, at + 1)
     return got
 
 
+def _last(bare: str) -> str:
+    return bare[max(bare.rfind(" "), bare.rfind("\n")) + 1 :].strip("([\"“„").lower()
+
+
+def _unlisted(text: str, start: int) -> tuple[float, int, int, str] | None:
+    """A name that begins with a capitalised word no given name vouches for, by its shape and the words around it."""
+    # Without a word before it that speaks for a name no other score is enough.
+    bare = text[max(0, start - 40) : start].rstrip(" \t\r\n:,")
+    last = _last(bare)
+    if last in _PARTICLES and (lead := _LEADING_PARTICLE.search(text[max(0, start - 40) : start])):
+        start = max(0, start - 40) + lead.start()
+        bare = text[max(0, start - 40) : start].rstrip(" \t\r\n:,")
+        last = _last(bare)
+    if last not in _SPEAKING and not (last[-1:] == "." and last[:-1] in TITLES):
+        return None
+    m = _SHAPE.match(text, start)
+    if not m:
+        return None
+    words = [w.lower() for w in _LETTERS.findall(m.group())]
+    if any(w in PLACES or w in NO_NAMES for w in words) or _PLACE_NEXT.match(text, m.end()):
+        return None
+    # Between capitals, capitals are no sign of a name.
+    if m.group().isupper() and bare[-12:].isupper():
+        return None
+    pair = " ".join(w.lower() for w in _LETTERS.findall(bare)[-2:])
+    last, score = last.rstrip("."), 0.2
+    if last in NAMING or last in ROLES or pair in NAMING_PAIRS:
+        score += 0.5
+    elif pair in LEADING:
+        score += 0.4
+    if AFTER_PERSON.match(text, m.end()):
+        score += 0.3
+    return (score, start, m.end(), "name") if score >= ACCEPT else None
+
+
 def find(text: str | None) -> tuple[str, list[tuple[int, int, str]]]:
     """(the text without invisible characters, [(start, end, type)]) in order, without overlaps."""
     if not text:
@@ -236,7 +299,7 @@ def find(text: str | None) -> tuple[str, list[tuple[int, int, str]]]:
     low = text.lower()
     spelled = "@" in text or any(w in low for w in ("at)", "at]", "at}", "(a)", "[a]", "ät)", " dot ", "arroba", "arobase"))
     spans = [(1.0, m.start(), m.end(), "email") for m in _EMAIL.finditer(text)] if spelled else []
-    spans += _numbers(text) + _addresses(text) + _names(text, low)
+    spans += _numbers(text) + _addresses(text) + _names(text)
     order = {t: i for i, t in enumerate(TYPES)}
     taken: list[tuple[int, int, str]] = []
     for _, start, end, kind in sorted(spans, key=lambda s: (order[s[3]], -s[0], s[1] - s[2], s[1])):

@@ -372,3 +372,83 @@ def test_queries_run(spark):
         assert df.count() >= 0
         if name in shape:
             assert df.columns == shape[name]
+
+
+# Checksums and names without a list -----------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("Pay with 4111 1111 1111 1111 today.", {("id_number", "4111111111111111")}),
+        ("Pay with 4111 1111 1111 1112 today.", set()),
+        ("Order 4111 1111 1111 1111 is on its way.", set()),
+        ("IBAN DE89 3704 0044 0532 0130 00, please", {("id_number", "de89370400440532013000")}),
+        ("IBAN DE89 3704 0044 0532 0130 01, please", set()),
+        ("It ended in the 1997/2012 season, see the ID 5.", set()),
+        ("We spoke to the manager Priya Natarajan about it.", {("name", "priyanatarajan")}),
+        ("My name is Hiroshi Tanaka and I live here.", {("name", "hiroshitanaka")}),
+        ("Contact: Kwame Mensah\nbefore noon.", {("name", "kwamemensah")}),
+        ("Please ask Dr. Wei Chen.", {("name", "weichen")}),
+        ("Contact: von Brelow, Aiko", {("name", "vonbrelowaiko")}),
+        ("Meet me at Mensah Bridge with Tanaka Council.", set()),
+        ("The applicant Saltby Library gave it.", set()),
+        ("THE TENANT SURVEYS ROSE AND THE TENANT WENT", set()),
+        ("İİİ. My name is Hiroshi Tanaka.", {("name", "hiroshitanaka")}),
+    ],
+)
+def test_checksums_decide_and_names_need_no_list(text, found):
+    clean, spans = personal.find(text)
+    assert {(k, personal.value(clean[a:b])) for a, b, k in spans} == found
+
+
+# Defects in more languages ---------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    "answer, refused",
+    [
+        ("I'm sorry, but I can't help with that request. " + "There are many other things that we could talk about instead of it. " * 7, True),
+        ("К сожалению, я не могу выполнить эту просьбу.", True),
+        ("很抱歉，我无法协助您改写这段文字。", True),
+        ("申し訳ありませんが、お手伝いできません。", True),
+        ("Przepraszam, ale nie mogę pomóc.", True),
+        ("Tyvärr kan jag inte hjälpa till med det.", True),
+        ("عذرا، لا أستطيع مساعدتك في هذا الطلب.", True),
+        ("मुझे खेद है, मैं यह नहीं कर सकता।", True),
+        ("I can't help thinking the plan came too early.", False),
+        ("I'm sorry, but I can't make Thursday's meeting. " + "We should meet on Friday to go through the plans for the new depot. " * 7, False),
+        ("We will not open on Monday. The shop stays shut.", False),
+        ("", False),
+    ],
+)
+def test_refusals(answer, refused):
+    assert pairs.is_refusal(answer, pairs._WORD.findall(answer.lower())) is refused
+
+
+@pytest.mark.parametrize(
+    "answer",
+    [
+        "Отчёт совета готов вовремя и все довольны.",
+        "董事会的报告已经按时完成。",
+        "تقرير المجلس جاهز في الوقت المحدد",
+        "बोर्ड की रिपोर्ट समय पर तैयार है",
+        "Sprawozdanie zarządu jest gotowe i nie ma się czym martwić, że tego dnia było późno oraz może jak zawsze.",
+        "Rapporten från styrelsen är klar och det är inte för sent att läsa den som vi har på bordet.",
+    ],
+)
+def test_answers_in_other_languages(answer):
+    prompt = "the report of the board is that it was on time and they have it in hand".split()
+    assert pairs.is_other_language(prompt, answer, pairs._WORD.findall(answer.lower()))
+    assert not pairs.is_other_language(prompt, "The report was on time and the board has it in hand.", "the report was on time and the board has it in hand".split())
+
+
+def test_copies_are_told_by_compression_alone():
+    rnd = random.Random(9)
+    prompt = prose(rnd, 60).split()
+    frame = "here you can find what was asked for".split()
+    assert pairs.is_copy(prompt, prompt) and pairs.is_copy(prompt, edited(rnd, prompt, 2))
+    assert pairs.is_copy(prompt[:20], [*prose(rnd, 8).split(), *prompt[:20], *frame])
+    assert not pairs.is_copy(prompt, prose(rnd, 60).split()) and not pairs.is_copy(prompt, prompt[:12])
+    half = [w for i, w in enumerate(prompt) if i // 10 % 2 == 0] + prose(rnd, 30).split()
+    assert not pairs.is_copy(prompt, half)
