@@ -84,6 +84,16 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(_texts(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
+def p8_stitched(spark: SparkSession, d: str) -> DataFrame:
+    """The same ids with every text above 64 characters cut, spread and stitched as long ones are."""
+    return tokens.encode(_texts(spark, d, "documents", "doc_id", "text"), "doc_id", "text", spread=64, long_chunk=512, long_overlap=64)
+
+
+def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The texts, encoded and decoded."""
+    return tokens.decode(p8_ids(spark, d), "doc_id", "ids")
+
+
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(_texts(spark, d, "documents", "doc_id", "text"), "doc_id", "text", table(spark, d, "held_out"), "item_id", ["text", "human_reference"])
 
@@ -105,10 +115,11 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return personal.redacted(_texts(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES = {**corpus_queries.QUERIES, "p2_found": p2_found, "p2_by_source": p2_by_source, "p3_found": p3_found, "p3_sources": p3_sources, "p4_found": p4_found, "p4_measures": p4_measures, "p5_found": p5_found, "p5_by_source": p5_by_source, "p8_ids": p8_ids, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_redacted": p10_redacted}
+QUERIES = {**corpus_queries.QUERIES, "p2_found": p2_found, "p2_by_source": p2_by_source, "p3_found": p3_found, "p3_sources": p3_sources, "p4_found": p4_found, "p4_measures": p4_measures, "p5_found": p5_found, "p5_by_source": p5_by_source, "p8_ids": p8_ids, "p8_stitched": p8_stitched, "p8_roundtrip": p8_roundtrip, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_redacted": p10_redacted}
 _WORDS = r"list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[''’]', '', 'g'), '\p{Nd}', '0', 'g'), '[^\p{L}\p{M}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '')"
 SQL: dict[str, str] = {
     **corpus_queries.SQL,
+    "p8_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p4_found": f"""
 WITH t AS (SELECT 'regenerated_cache' AS table_name, cache_id AS row_id, any_value("New Human Text") AS text FROM regenerated_cache GROUP BY cache_id
   UNION ALL SELECT 'train_normalized', pair_id, any_value("Human Text") FROM train_normalized GROUP BY pair_id),

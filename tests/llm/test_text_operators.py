@@ -235,20 +235,24 @@ def test_defects(spark):
 
 
 @pytest.mark.parametrize("chunk,overlap_", [(1 << 17, 1 << 12), (40, 20), (200, 50)])
-def test_ids_equal_those_of_the_whole_text(spark, chunk, overlap_):
+@pytest.mark.parametrize("spread", [30, 1 << 20])
+def test_ids_equal_those_of_the_whole_text(spark, chunk, overlap_, spread):
     from tokenizers import Tokenizer
 
     rnd = random.Random(8)
     texts = [None, "", "  \n\n  ", "<|endoftext|> don't we'll", "a" * 500, " " * 300 + "x", "été 東京 🙂\r\n\r\n" * 40, "\n\n \t x" * 100]
+    texts += ["word " * 30 + "a" * 300 + " don't..'start'll 12" * 20, "12345" * 60 + " x", "...'s..'" * 60, "一二三四" * 80]
     texts += ["".join(rnd.choice(["word", " ", "\n", "  ", "'re", "'", "12", "...", "ß", "\n\n", "A"]) for _ in range(300)) for _ in range(40)]
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, key string")
     whole = Tokenizer.from_file(f"{tokens.TOKENIZER_DIR}/byte_bpe_50k.json")
     whole.encode_special_tokens = True
-    got = {r.doc_id: list(r.ids) for r in tokens.encode(df, "doc_id", "text", chunk=chunk, overlap=overlap_).collect()}
+    got = {r.doc_id: list(r.ids) for r in tokens.encode(df, "doc_id", "text", chunk=chunk, overlap=overlap_, spread=spread, long_chunk=chunk, long_overlap=overlap_).collect()}
     for i, t in enumerate(texts):
         assert got[i] == (whole.encode(t, add_special_tokens=False).ids if t else [])
         if t:
-            assert tokens._encoding(tokens.vocabulary()).decode(got[i]) == t
+            assert "".join(tokens.pieces_of(t, chunk, overlap_)) == t
+    back = tokens.decode(spark.createDataFrame([*got.items(), (-1, None)], "doc_id long, ids array<int>"), "doc_id", "ids")
+    assert {r.doc_id: r.text for r in back.collect()} == {-1: "", **{i: t or "" for i, t in enumerate(texts)}}
     assert tokens.encode(df.limit(0), "doc_id", "text", chunk=chunk, overlap=overlap_).count() == 0
 
 
