@@ -3,13 +3,13 @@
 The items are an inverted index over word trigrams.  Every trigram that a document shares with an item is a seed, however
 common it is: the run of words around it is followed in both directions over single edits, all runs of an Arrow batch at once
 in numpy.  There is no score and no threshold besides the length of the run, so a run counts if three of its words in a row
-are unedited.  Equal texts of several items stand in the index once.
+are unedited.  (A BM25 threshold low enough to lose no edited run leaves nearly all of the texts that share a trigram, at
+four times the cost; see README.)  Equal texts of several items stand in the index once.
 """
 
 from __future__ import annotations
 
 import html
-import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -51,7 +51,7 @@ class Index:
     place: np.ndarray
     words: np.ndarray  # words of all units, -2 before and after each
     unit: np.ndarray  # unit of each of these
-    items: list[list[int]]  # of each unit
+    items: list[list[tuple]]  # (item, field) of each unit
 
 
 def _codes(ids: np.ndarray, size: int) -> np.ndarray:
@@ -72,15 +72,20 @@ def _joined(texts: list[list[int]], gap: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(flat, dtype=np.int64), np.array(owner, dtype=np.int64)
 
 
-def build(units: list[tuple[int, list[str]]]) -> Index:
-    """Index of (item, words) units; an item may have several, and equal units are one."""
+def distinct(units: list[tuple]) -> dict[tuple[str, ...], list[tuple]]:
+    """The (item, field) of each distinct text of (item, field, words)."""
+    texts: dict[tuple[str, ...], list[tuple]] = {}
+    for item, field, words in units:
+        owners = texts.setdefault(tuple(words), [])
+        if (item, field) not in owners:
+            owners.append((item, field))
+    return texts
+
+
+def build(texts: dict[tuple[str, ...], list[tuple]]) -> Index:
+    """Index of distinct texts with their owners."""
     vocabulary: dict[str, int] = {}
-    texts: dict[tuple[int, ...], list[int]] = {}
-    for item, words in units:
-        owners = texts.setdefault(tuple(vocabulary.setdefault(w, len(vocabulary)) for w in words), [])
-        if item not in owners:
-            owners.append(item)
-    words, unit = _joined([list(t) for t in texts], -2)
+    words, unit = _joined([[vocabulary.setdefault(w, len(vocabulary)) for w in t] for t in texts], -2)
     code = _codes(words, len(vocabulary) + 1)
     place = np.argsort(code, kind="stable")
     place = place[code[place] >= 0]
@@ -138,51 +143,57 @@ def runs(index: Index, ids: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.nd
         yield doc[i[kept]], index.unit[j[kept]], length[kept]
 
 
-def _search(index: Index):
+def _search(index: Index, kind: pa.DataType):
     lookup = index.vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out_key, out_item, out_n = [], [], []
+            out: list[tuple] = []
             for low in range(0, batch.num_rows, 2000):
                 part = batch.slice(low, 2000)
                 ids, doc = _joined([[lookup.get(w, -1) for w in words_of(t)] for t in part.column("text").to_pylist()], -1)
-                best: dict[tuple[int, int], int] = {}
+                best: dict[tuple, int] = {}
                 for found in runs(index, ids, doc):
                     for d, unit, n in zip(*(c.tolist() for c in found)):
-                        for item in index.items[unit]:
-                            if n > best.get((d, item), 0):
-                                best[(d, item)] = n
+                        for owner in index.items[unit]:
+                            if n > best.get((d, *owner), 0):
+                                best[(d, *owner)] = n
                 keys = part.column("key").to_pylist()
-                for (d, item), n in best.items():
-                    out_key.append(keys[d])
-                    out_item.append(item)
-                    out_n.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(out_key, batch.schema.field("key").type), pa.array(out_item, pa.int64()), pa.array(out_n, pa.int32())], ["key", "item", "words"])
+                out += [(keys[d], item, field, n) for (d, item, field), n in best.items()]
+            columns = zip(*out) if out else ([], [], [], [])
+            types = (batch.schema.field("key").type, kind, pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], ["key", "item", "field", "words"])
 
     return run
 
 
 def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, item_texts: list[str]) -> DataFrame:
-    """(key, item, words): every document that holds a passage of LEAST_WORDS words or more of an item, and its length.
+    """(key, item, words, fields): every document that holds a passage of LEAST_WORDS words or more of an item, its length, and
+    the names of the item's texts (question, answer) that have such passages there.
 
-    Words are compared without case, punctuation, markup and line layout.  Null, empty and short texts hold none; copies of a
-    document are each reported; an item met twice counts once.  An empty table on either side gives an empty result.
+    Words are compared without case, punctuation, markup and line layout.  Null, empty and short texts hold none, and an item
+    text below LEAST_WORDS words has no such passage; copies of a document are each reported; an item met twice counts once.
+    Items are a small set; all of their words are held by every worker.  An empty table on either side gives an empty result.
     """
     spark = docs.sparkSession
-    kind = docs.schema[key].dataType.simpleString()
+    kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text IS NOT NULL")
-    wanted = items.where(F.col(item).isNotNull())
-    total = wanted.agg(F.sum(sum((F.coalesce(F.regexp_count(F.col(c), F.lit(r"\S+")), F.lit(0)) for c in item_texts), F.lit(0)))).first()[0] or 0
-    parts = max(1, math.ceil(total / INDEX_WORDS))
-    found = []
-    for part in range(parts):
-        units = [(int(r[0]), w) for r in wanted.where(F.pmod(F.xxhash64(item), F.lit(parts)) == part).select(item, *item_texts).orderBy(item).collect() for c in range(len(item_texts)) if len(w := words_of(r[1 + c])) >= LEAST_WORDS]
-        if units:
-            found.append(rows.mapInArrow(_search(build(units)), f"key {kind}, item long, words int"))
-    if not found:
-        return spark.createDataFrame([], f"{key} {kind}, item long, words int")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.groupBy("key", "item").agg(F.max("words").alias("words")).withColumnRenamed("key", key)
+    got = items.where(F.col(item).isNotNull()).select(F.col(item).alias("item"), *[F.col(c).alias(f"t{n}") for n, c in enumerate(item_texts)]).orderBy("item").toArrow()
+    texts = [got.column(f"t{n}").to_pylist() for n in range(len(item_texts))]
+    ids = got.column("item").to_pylist()
+    all_texts = distinct([(ids[r], n, w) for r in range(len(ids)) for n in range(len(item_texts)) if len(w := words_of(texts[n][r])) >= LEAST_WORDS])
+    parts: list[dict] = [{}]
+    held = 0
+    for words, owners in all_texts.items():
+        if held + len(words) > INDEX_WORDS and parts[-1]:
+            parts.append({})
+            held = 0
+        parts[-1][words] = owners
+        held += len(words)
+    out = spark.createDataFrame([], f"key {kind}, item {item_kind}, field int, words int")
+    for part in parts:
+        if part:
+            found = rows.mapInArrow(_search(build(part), got.schema.field("item").type), f"key {kind}, item {item_kind}, field int, words int")
+            out = found if part is parts[0] else out.unionByName(found)
+    name = F.element_at(F.array(*[F.lit(c) for c in item_texts]), F.col("field") + 1)
+    return out.groupBy("key", "item").agg(F.max("words").alias("words"), F.array_sort(F.collect_set(name)).alias("fields")).withColumnRenamed("key", key)

@@ -103,8 +103,9 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_items(spark: SparkSession, d: str) -> DataFrame:
-    """How many documents leak each item, and the longest passage."""
-    return _leaks(spark, d).groupBy(F.col("item").alias("item_id")).agg(F.count("*").alias("documents"), F.max("words").alias("longest"))
+    """How many documents leak each item, its reference answer among them, and the longest passage."""
+    answered = F.count_if(F.array_contains("fields", "human_reference"))
+    return _leaks(spark, d).groupBy(F.col("item").alias("item_id")).agg(F.count("*").alias("documents"), answered.alias("with_reference"), F.max("words").alias("longest"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:

@@ -456,3 +456,12 @@ def test_copies_are_told_by_compression_alone():
     assert not pairs.is_copy(prompt, prose(rnd, 60).split()) and not pairs.is_copy(prompt, prompt[:12])
     half = [w for i, w in enumerate(prompt) if i // 10 % 2 == 0] + prose(rnd, 30).split()
     assert not pairs.is_copy(prompt, half)
+
+
+def test_leaks_by_text_of_the_item_and_with_any_key(spark):
+    rnd = random.Random(12)
+    question, answer = prose(rnd, 60), " ".join(f"w{rnd.randrange(4000)}" for _ in range(60))
+    h = spark.createDataFrame([("one", question, answer), ("two", answer, "short"), ("three", None, None)], "item string, q string, a string")
+    d = spark.createDataFrame([("x", f"{question} and then {answer}"), ("y", answer), ("z", "short")], "doc string, text string")
+    got = {(r.doc, r["item"]): list(r.fields) for r in leaks.leaks(d, "doc", "text", h, "item", ["q", "a"]).collect()}
+    assert got == {("x", "one"): ["a", "q"], ("x", "two"): ["q"], ("y", "one"): ["a"], ("y", "two"): ["q"]}
