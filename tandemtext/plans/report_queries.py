@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tandemtext.functions import metrics as M
 from tandemtext.functions import text as T
 from tandemtext.plans.base import SPLIT_SQL, Registry, audited, audited_sql, lab, num, derived, pairs, pairs_sql, s, sents, space_words
+from tandemtext.operators.distributed import quantiles
+from tandemtext.session import checkpointed
 from tandemtext.sources.tables import label, number, split_label, table
 
 R = Registry()
@@ -31,15 +33,16 @@ def a02_w06_value_shares(spark, d):
     A + "SELECT category, human_source, count(*) AS n, " + ", ".join(f"round(quantile_cont({m}, {q}), 8) AS {m}_p{int(q * 100)}" for m in METRICS for q in POINTS) + " FROM a WHERE category IS NOT NULL AND human_source IS NOT NULL GROUP BY ALL"
 )
 def a03_percentiles(spark, d):
-    g = audited(spark, d).where("category IS NOT NULL AND human_source IS NOT NULL").groupBy("category", "human_source")
-    q = g.agg(F.count("*").alias("n"), *[F.percentile(m, F.array(*map(F.lit, POINTS))).alias(m) for m in METRICS])
+    a = checkpointed(audited(spark, d).where("category IS NOT NULL AND human_source IS NOT NULL").select("category", "human_source", *METRICS))
+    by = ["category", "human_source"]
+    q = a.groupBy(*by).agg(F.count("*").alias("n")).join(quantiles(a, by, dict.fromkeys(METRICS, POINTS)), by)
     return q.select("category", "human_source", "n", *[F.round(F.col(m)[i], 8).alias(f"{m}_p{int(p * 100)}") for m in METRICS for i, p in enumerate(POINTS)])
 
 
 @R.add(A + "SELECT round(quantile_cont(ratio, 0.1), 6) AS p10, round(quantile_cont(ratio, 0.5), 6) AS p50, round(quantile_cont(human_cliche_density, 0.9), 6) AS cliche_p90 FROM a")
 def a04_global_quantiles(spark, d):
-    q = lambda c, p: F.round(F.percentile(c, F.lit(p)), 6)
-    return audited(spark, d).agg(q("ratio", 0.1).alias("p10"), q("ratio", 0.5).alias("p50"), q("human_cliche_density", 0.9).alias("cliche_p90"))
+    q = quantiles(audited(spark, d), [], {"ratio": (0.1, 0.5), "human_cliche_density": (0.9,)})
+    return q.select(F.round(F.col("ratio")[0], 6).alias("p10"), F.round(F.col("ratio")[1], 6).alias("p50"), F.round(F.col("human_cliche_density")[0], 6).alias("cliche_p90"))
 
 
 @R.add(A + "SELECT category, round(quantile_cont(human_cliche_density, 0.5), 6) AS median FROM a WHERE category IS NOT NULL AND contains(human_source, 'hf_dataset_import') GROUP BY category")
@@ -58,17 +61,24 @@ def a06_word_stats(spark, d):
 @R.add(f"{P} SELECT round(avg(sbert_similarity), 6) AS mean, round(quantile_cont(sbert_similarity, 0.5), 6) AS median, min(sbert_similarity) AS least, max(sbert_similarity) AS most FROM p")
 def a07_score_stats(spark, d):
     c = "sbert_similarity"
-    return pairs(spark, d).agg(F.round(F.avg(c), 6).alias("mean"), F.round(F.percentile(c, F.lit(0.5)), 6).alias("median"), F.min(c).alias("least"), F.max(c).alias("most"))
+    p = checkpointed(derived(spark, d, "pair_id", c))
+    median = quantiles(p, [], {c: (0.5,)}).select(F.round(F.col(c)[0], 6).alias("median"))
+    return p.agg(F.round(F.avg(c), 6).alias("mean"), F.min(c).alias("least"), F.max(c).alias("most")).crossJoin(F.broadcast(median))
 
 
 _STAGES = "SELECT *, 'before' AS stage FROM a UNION ALL SELECT *, 'after' FROM a WHERE ratio BETWEEN 0.7 AND 0.95"
 
 
+def _means_and_medians(df, by: str, metrics):
+    medians = quantiles(df, [by], dict.fromkeys(metrics, (0.5,))).select(by, *[F.round(F.col(m)[0], 8).alias(f"{m}_median") for m in metrics])
+    return df.groupBy(by).agg(*[F.round(F.avg(m), 8).alias(f"{m}_mean") for m in metrics]).join(medians, by)
+
+
 @R.add(A + f", s AS ({_STAGES}) SELECT stage, " + ", ".join(f"round(avg({m}), 8) AS {m}_mean, round(quantile_cont({m}, 0.5), 8) AS {m}_median" for m in METRICS[:5]) + " FROM s GROUP BY stage")
 def a08_before_after(spark, d):
-    a = audited(spark, d)
+    a = audited(spark, d).select("pair_id", *METRICS[:5])
     both = a.withColumn("stage", F.explode(F.when(F.col("ratio").between(0.7, 0.95), F.array(F.lit("before"), F.lit("after"))).otherwise(F.array(F.lit("before")))))
-    return both.groupBy("stage").agg(*[x for m in METRICS[:5] for x in (F.round(F.avg(m), 8).alias(f"{m}_mean"), F.round(F.percentile(m, F.lit(0.5)), 8).alias(f"{m}_median"))])
+    return _means_and_medians(checkpointed(both), "stage", METRICS[:5])
 
 
 @R.add(A + "SELECT count(*) FILTER (WHERE ratio < 0.7) AS short, round(avg(coalesce((ratio < 0.7)::INT, 0)), 6) AS short_share, count(*) FILTER (WHERE copy_rate > 0.75) AS copied, round(avg(coalesce((copy_rate > 0.75)::INT, 0)), 6) AS copied_share FROM a")
@@ -82,7 +92,9 @@ def a10_rule_shares(spark, d):
 def a11_length_ratio_audit(spark, d):
     """Length ratios per category and source; the flagship query."""
     r = derived(spark, d, "pair_id", "category", "human_source", (T.space_words(F.col("hu")) / F.greatest(T.space_words(F.col("ai")), F.lit(1))).alias("r")).where("category IS NOT NULL AND human_source IS NOT NULL")
-    return r.groupBy("category", "human_source").agg(F.count("*").alias("n"), F.round(F.avg("r"), 8).alias("mean_ratio"), F.round(F.percentile("r", F.lit(0.5)), 8).alias("p50"), F.round(F.percentile("r", F.lit(0.1)), 8).alias("p10"), F.count_if(F.col("r") < 0.7).alias("short"))
+    r, by = checkpointed(r), ["category", "human_source"]
+    q = quantiles(r, by, {"r": (0.5, 0.1)}).select(*by, F.round(F.col("r")[0], 8).alias("p50"), F.round(F.col("r")[1], 8).alias("p10"))
+    return r.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg("r"), 8).alias("mean_ratio"), F.count_if(F.col("r") < 0.7).alias("short")).join(q, by)
 
 
 @R.add(A + "SELECT split, " + ", ".join(f"count(*) FILTER (WHERE category = '{c}') AS {c}" for c in T.CATEGORIES) + " FROM a WHERE split IS NOT NULL GROUP BY split")
@@ -120,8 +132,7 @@ _EVAL = ("ratio", "burstiness", "contraction_rate", "human_cliche_density", "cop
 
 @R.add(A + "SELECT split, " + ", ".join(f"round(avg({m}), 8) AS {m}_mean, round(quantile_cont({m}, 0.5), 8) AS {m}_median" for m in _EVAL) + " FROM a WHERE split IN ('validation', 'test') GROUP BY split")
 def a20_evaluation(spark, d):
-    g = audited(spark, d).where("split IN ('validation', 'test')").groupBy("split")
-    return g.agg(*[x for m in _EVAL for x in (F.round(F.avg(m), 8).alias(f"{m}_mean"), F.round(F.percentile(m, F.lit(0.5)), 8).alias(f"{m}_median"))])
+    return _means_and_medians(checkpointed(audited(spark, d).where("split IN ('validation', 'test')").select("split", *_EVAL)), "split", _EVAL)
 
 
 _MIX = {"0.70-0.80": 37.0, "0.80-0.90": 33.0, "0.90-0.95": 30.0}

@@ -237,3 +237,17 @@ def test_padding_to_the_longest_of_a_batch(spark):
         rows = [r for r in got if r.batch == b]
         assert len({len(r.input_ids) for r in rows}) == 1 and max(sum(r.attention_mask) for r in rows) == len(rows[0].input_ids)
         assert all(len(r.labels) == len(r.input_ids) == len(r.attention_mask) and r.labels[sum(r.attention_mask):] == [-100] * (len(r.labels) - sum(r.attention_mask)) for r in rows)
+
+
+def test_quantiles_equal_those_of_the_whole_group(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([None, 0.5, rnd.random()]), float(i % 5)) for i in range(400)] + [("empty", None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double, y double").repartition(4)
+    got = {r.g: r for r in distributed.quantiles(df, ["g"], {"x": (0.1, 0.5, 0.9), "y": (0.5,)}).collect()}
+    assert set(got) == {"a", "b", None, "empty"} and got["empty"].x == [None] * 3 and list(got["empty"].y) == [1.0]
+    for g in ("a", "b", None):
+        for c, i in (("x", 1), ("y", 2)):
+            own = [r[i] for r in rows if r[0] == g and r[i] is not None]
+            assert np.allclose(got[g][c], np.quantile(own, (0.1, 0.5, 0.9) if c == "x" else (0.5,)))
+    assert np.allclose(distributed.quantiles(df, [], {"y": (0.25,)}).first().y, np.quantile([r[2] for r in rows], 0.25))
+    assert distributed.quantiles(df.limit(0), ["g"], {"y": (0.5,)}).count() == 0
