@@ -203,22 +203,45 @@ def label_dash(c: Column) -> Column:
     return F.replace(F.lower(strip(c)), lit("_"), lit("-"))
 
 
-def guide(category: Column) -> Column:
-    out = lit(GUIDES["general"])
-    for name, text in GUIDES.items():
+def guide(category: Column, guides: dict[str, str] | None = None, default: str = "general") -> Column:
+    """The instruction of a category; ``guides`` gives the caller's own, ``default`` names the one of other categories."""
+    guides = guides or GUIDES
+    out = lit(guides[default])
+    for name, text in guides.items():
         out = F.when(category == name, text).otherwise(out)
     return out
 
 
-def messages(text: Column, category: Column, target: Column) -> Column:
-    user = F.concat(guide(category), lit(" Aim for about "), target.cast("string"), lit(" words.\n\n"), text)
+#: The user's part of a message; {style}, {target}, {task} and {text} are filled in.
+USER_TEMPLATE = "{task} Aim for about {target} words.\n\n{text}"
+REGENERATION_TEMPLATE = "Write between {low} and {high} words. {task}\n\n{text}"
+
+
+def filled(template: str, **parts: Column) -> Column:
+    """A template with its {names} replaced; what replaces one is not looked into again."""
+    out: list[Column] = []
+    rest = template
+    while rest:
+        at = min(((rest.find("{" + n + "}"), n) for n in parts if "{" + n + "}" in rest), default=None)
+        if at is None:
+            out.append(lit(rest))
+            break
+        out += [lit(rest[: at[0]])] * (at[0] > 0) + [parts[at[1]].cast("string")]
+        rest = rest[at[0] + len(at[1]) + 2 :]
+    return F.concat(*out)
+
+
+def messages(text: Column, category: Column, target: Column, system: str = SYSTEM_PROMPT, template: str = USER_TEMPLATE, guides: dict[str, str] | None = None, default: str = "general") -> Column:
+    """System and user message of a training example; prompts are the caller's, the defaults are short ones."""
+    user = filled(template, style=category, target=target, task=guide(category, guides, default), text=text)
     part = lambda role, content: F.struct(lit(role).alias("role"), content.alias("content"))
-    return F.array(part("system", lit(SYSTEM_PROMPT)), part("user", user))
+    return F.array(part("system", lit(system)), part("user", user))
 
 
-def regeneration_prompt(text: Column, category: Column, count: Column) -> Column:
-    low, high = F.floor(count * 9 / 10).cast("string"), F.floor(count * 11 / 10).cast("string")
-    return F.concat(lit("Write between "), low, lit(" and "), high, lit(" words. "), guide(category), lit("\n\n"), text)
+def regeneration_prompt(text: Column, category: Column, count: Column, template: str = REGENERATION_TEMPLATE, guides: dict[str, str] | None = None, default: str = "general") -> Column:
+    """A prompt that asks for nine to eleven tenths of ``count`` words."""
+    low, high = F.floor(count * 9 / 10), F.floor(count * 11 / 10)
+    return filled(template, low=low, high=high, count=count, task=guide(category, guides, default), text=text)
 
 
 def snippet(c: Column, n: int) -> Column:

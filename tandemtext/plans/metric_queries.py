@@ -34,7 +34,7 @@ def m02_m03_letter_runs(spark, d):
     return table(spark, d, "documents").select("doc_id", run.alias("longest_run")).withColumn("elongation", M.elongation(F.col("longest_run")))
 
 
-@R.add()
+@R.add("WITH z AS (SELECT 1)" + _RUNS.split(", m AS (SELECT doc_id, max(run)")[0].replace("SELECT doc_id, count(*) AS run FROM g", "SELECT doc_id, ch, count(*) AS run FROM g") + ", k AS (SELECT doc_id, count(*) AS runs FROM n WHERE run >= 3 AND regexp_full_match(ch, '[A-Za-z]') GROUP BY doc_id) SELECT d.doc_id, coalesce(runs, 0)::INTEGER AS runs FROM documents d LEFT JOIN k USING (doc_id)")
 def m04_repeated_letters(spark, d):
     """How many runs of three or more equal letters each text has (needs back-references)."""
     return table(spark, d, "documents").select("doc_id", F.coalesce(F.regexp_count("text", F.lit(r"([A-Za-z])\1{2,}")), F.lit(0)).alias("runs"))

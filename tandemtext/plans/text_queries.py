@@ -184,8 +184,7 @@ def t22_regeneration_prompt(spark, d):
 
 @R.add(f"{P} SELECT pair_id, replace({_GUIDE} || ' {{text}}', '{{text}}', coalesce(hu, '')) AS prompt FROM p".replace("{{", "{").replace("}}", "}"))
 def t23_template_prompt(spark, d):
-    template = F.concat(T.guide(F.col("category")), F.lit(" {text}"))
-    return derived(spark, d, "pair_id", F.replace(template, F.lit("{text}"), F.coalesce("hu", F.lit(""))).alias("prompt"))
+    return derived(spark, d, "pair_id", T.filled("{task} {text}", task=T.guide(F.col("category")), text=F.coalesce("hu", F.lit(""))).alias("prompt"))
 
 
 @R.add(f"{P} SELECT pair_id, 'ratio ' || printf('%.2f', round(ai_human_word_ratio::DECIMAL(18, 6), 2)::DOUBLE) AS reason FROM p WHERE ai_human_word_ratio IS NOT NULL")

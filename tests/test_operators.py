@@ -251,3 +251,9 @@ def test_quantiles_equal_those_of_the_whole_group(spark):
             assert np.allclose(got[g][c], np.quantile(own, (0.1, 0.5, 0.9) if c == "x" else (0.5,)))
     assert np.allclose(distributed.quantiles(df, [], {"y": (0.25,)}).first().y, np.quantile([r[2] for r in rows], 0.25))
     assert distributed.quantiles(df.limit(0), ["g"], {"y": (0.5,)}).count() == 0
+
+
+def test_prompts_are_the_callers(spark):
+    got = one(spark, T.messages(F.col("t"), F.col("c"), F.lit(20), system="S", template="{style}/{target}/{task}/{text}", guides={"email": "E", "auto": "A"}, default="auto"), t="a {task}", c="email")
+    assert [(m.role, m.content) for m in got] == [("system", "S"), ("user", "email/20/E/a {task}")]
+    assert one(spark, T.regeneration_prompt(F.col("t"), F.col("c"), F.lit(15), template="{low}-{high} {task}: {text}", guides={"auto": "A"}, default="auto"), t="x", c="essay") == "13-16 A: x"
