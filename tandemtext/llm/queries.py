@@ -121,6 +121,21 @@ _WORDS = r"list_filter(string_split(regexp_replace(regexp_replace(regexp_replace
 SQL: dict[str, str] = {
     **corpus_queries.SQL,
     "p8_roundtrip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p4_measures": f"""
+WITH t AS (SELECT 'regenerated_cache' AS table_name, cache_id AS row_id, coalesce(any_value("New Human Text"), '') AS text FROM regenerated_cache GROUP BY cache_id
+  UNION ALL SELECT 'train_normalized', pair_id, coalesce(any_value("Human Text"), '') FROM train_normalized GROUP BY pair_id),
+w AS (SELECT *, {_WORDS} AS w, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM t),
+g AS (SELECT table_name, row_id, w, unnest(range(1, greatest(len(w) - 3, 0) + 1)) AS p FROM w),
+k AS (SELECT table_name, row_id, p, row_number() OVER (PARTITION BY table_name, row_id, w[p:p + 3] ORDER BY p) AS k FROM g),
+a AS (SELECT *, lead(p) OVER (PARTITION BY table_name, row_id ORDER BY p) AS later FROM k WHERE k > 1),
+r AS (SELECT table_name, row_id, sum(least(4, coalesce(later - p, 4))) AS repeated FROM a GROUP BY table_name, row_id),
+m AS (SELECT table_name, row_id, len(w) AS words, coalesce(repeated, 0)::INTEGER AS repeated_words, coalesce(repeated, 0) / greatest(len(w), 1) AS share,
+  coalesce(len(regexp_extract_all(text, '[#{{}}\\[\\]|<>~\\\\^*_=]|…|\\.{{3}}')), 0) / greatest(len(w), 1) AS symbols,
+  len(list_filter(w, lambda x: x IN ('the','of','and','to','in','is','a','that','for','it','on','with','as','was','at','by','be','this','from','are','der','die','das','und','ist','von','zu','mit','auf','für','im','den','nicht',
+    'le','la','les','des','et','est','une','un','que','dans','pour','du','en','pas','el','los','las','y','es','por','con','para','se','del','una'))) / greatest(len(w), 1) AS stops,
+  1 - len(list_distinct(l)) / greatest(len(l), 1) AS lines FROM w LEFT JOIN r USING (table_name, row_id))
+SELECT table_name, row_id, words, repeated_words, round(share, 6) AS repeated_share, round(symbols, 6) AS symbol_ratio, round(stops, 6) AS stop_ratio, round(lines, 6) AS repeated_line_ratio,
+  share > 0.3 AS repeated, words < 4 AS too_short, words > 100000 AS too_long, symbols > 0.1 AS symbols, stops < 0.05 AS few_stop_words, lines > 0.3 AS repeated_lines FROM m""",
     "p4_found": f"""
 WITH t AS (SELECT 'regenerated_cache' AS table_name, cache_id AS row_id, any_value("New Human Text") AS text FROM regenerated_cache GROUP BY cache_id
   UNION ALL SELECT 'train_normalized', pair_id, any_value("Human Text") FROM train_normalized GROUP BY pair_id),
