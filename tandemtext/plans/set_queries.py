@@ -177,7 +177,8 @@ def w01_source_cap(spark, d):
     from tandemtext.operators.distributed import ranked_in
     from tandemtext.operators.rules import regenerated
 
-    t = once(table(spark, d, "train_filtered").select("pair_id", label("category").alias("category"), regenerated().alias("regen"), number("quality_score").alias("q")), "pair_id").where("category IS NOT NULL")
+    t = table(spark, d, "train_filtered").select("pair_id", label("category").alias("category"), label("human_source").alias("human_source"), number("quality_score").alias("q"))
+    t = once(t.withColumn("regen", regenerated()), "pair_id").where("category IS NOT NULL")
     # One row per category.
     most = t.groupBy("category").agg(F.floor(F.lit(0.15 / 0.85) * F.count_if(~F.col("regen"))).alias("most"))
     ranked = ranked_in(t.where("regen"), "rank", ["category"], "pair_id", F.col("q").desc_nulls_last(), F.col("pair_id"))
