@@ -23,11 +23,12 @@ from tandemtext.session import written
 
 #: Texts below so many words don't count; texts differing in this share of their words or more are not the same.
 LEAST_WORDS, DIFFERING = 20, 0.2
-#: Mean words in a chunk, for texts up to LONG words and for longer ones; texts near LONG are cut both ways.
-SHORT_CHUNK, LONG_CHUNK, LONG = 4, 6, 80
+#: Mean words in a chunk for texts above so many words and up to so many; texts near a limit are cut both ways, so that two
+#: texts that count are always cut alike.
+SIZES = (("tiny", 2, 0, 60), ("short", 4, 60, 80), ("long", 6, 80, float("inf")))
 #: A chunk is frequent from so many pairs of representatives on.  Texts that share this part of their chunks meet in a chunk
-#: that neither leaves out; with a fifth of the words changed at random a third is still shared on average.
-FREQUENT, KEPT = 100, 1 / 6
+#: that neither leaves out; with a fifth of the words changed at random a quarter and more is still shared on average.
+FREQUENT, KEPT = 100, 1 / 10
 #: Texts of either side in one block of a chunk's join, and pairs of bitmaps compared at once.
 SIDE, TILE = 20_000, 1 << 18
 #: Bits in a bitmap of words (a power of 2 that 64 divides).
@@ -40,6 +41,7 @@ BROADCAST_CHUNKS = 2_000_000
 BROADCAST_DOCS = 1_000_000
 
 _TYPOGRAPHY = str.maketrans({"’": "'", "‘": "'", "“": '"', "”": '"', "–": "-", "—": "-", " ": " ", "­": None, "​": None, "﻿": None, "…": " "})
+_LISTS = tuple(name for name, *_ in SIZES)
 _WORD = re.compile(r"\w+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -114,7 +116,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odd = np.bincount(owner[order] * BITS + bit, minlength=len(keep) * BITS) % 2
         bits = np.packbits(odd.astype(bool)).reshape(len(keep), -1)
         lists = []
-        for mean, wanted in ((SHORT_CHUNK, n <= LONG / (1 - DIFFERING)), (LONG_CHUNK, n > LONG)):
+        for _, mean, above, upto in SIZES:
+            wanted = (n > above) & (n <= upto / (1 - DIFFERING))
             first, digest = _chunks(h, rolled, starts, mean, mean)
             owner = np.searchsorted(starts, first, side="right") - 1
             use = wanted[owner]
@@ -126,17 +129,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=len(keep)))]), pa.int32())
             lists.append(pa.ListArray.from_arrays(offsets, pa.array(digest[new])))
         columns = [side, key, field, pa.array(doc.astype(np.int64)), pa.array(n.astype(np.int32)), *lists, pa.array([b.tobytes() for b in bits], pa.binary()), pa.array([" ".join(w) for w in texts])]
-        yield pa.RecordBatch.from_arrays(columns, ["side", "key", "field", "doc", "n", "short", "long", "bits", "words"])
+        yield pa.RecordBatch.from_arrays(columns, ["side", "key", "field", "doc", "n", *_LISTS, "bits", "words"])
 
 
 def cut(rows: DataFrame) -> DataFrame:
-    """(side, key, field, text) to (side, key, field, doc, n, short, long, bits, words) of the texts with enough words.
+    """(side, key, field, text) to (side, key, field, doc, n, tiny, short, long, bits, words) of the texts with enough words.
 
-    ``short`` and ``long`` have the digests of the chunks of either size, ``bits`` for each hash of a word and
+    ``tiny``, ``short`` and ``long`` have the digests of the chunks of that size, ``bits`` for each hash of a word and
     its number among equal ones whether the text holds an odd number of such, ``words`` the normalised text.
     """
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.mapInArrow(_cut, f"side int, key {kind}, field int, doc long, n int, short array<long>, long array<long>, bits binary, words string")
+    return rows.mapInArrow(_cut, f"side int, key {kind}, field int, doc long, n int, {', '.join(f'{c} array<long>' for c in _LISTS)}, bits binary, words string")
 
 
 def same_words(a: list[str], b: list[str]) -> int:
@@ -192,7 +195,7 @@ def _units(shared):
         known, pairs = shared.value
         for batch in batches:
             out = []
-            for name in ("short", "long"):
+            for name in _LISTS:
                 lists = batch.column(name)
                 m = np.diff(lists.offsets.to_numpy()).astype(np.int64)
                 owner, digest = np.repeat(np.arange(len(m)), m), lists.flatten().to_numpy()
@@ -292,7 +295,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shared_units(reps: DataFrame) -> DataFrame:
     """(d, doc, n, on_a, on_b, bits, over_a, over_b): the chunks by which representatives are joined, and parts of either side."""
     spark = reps.sparkSession
-    either = lambda r: r.select(F.explode(F.concat("short", "long")).alias("d"), "on_a", "on_b")
+    either = lambda r: r.select(F.explode(F.concat(*_LISTS)).alias("d"), "on_a", "on_b")
     often = either(reps).groupBy("d").agg(F.sum(F.col("on_a").cast("long")).alias("as"), F.sum(F.col("on_b").cast("long")).alias("bs")).where("as > 0 AND bs > 0")
     shared = written(often, "shared")
     parts = shared.select("d", F.ceil(F.col("as") / SIDE).alias("over_a"), F.ceil(F.col("bs") / SIDE).alias("over_b"))
@@ -303,7 +306,7 @@ def _shared_units(reps: DataFrame) -> DataFrame:
         split = F.broadcast(parts.where("over_a > 1 OR over_b > 1"))
         one = F.lit(1).cast("long")
         return units.join(split, "d", "left").withColumn("over_a", F.coalesce("over_a", one)).withColumn("over_b", F.coalesce("over_b", one))
-    lists = F.array(*[F.struct(F.lit(c).alias("scheme"), F.col(c).alias("c")) for c in ("short", "long")])
+    lists = F.array(*[F.struct(F.lit(c).alias("scheme"), F.col(c).alias("c")) for c in _LISTS])
     units = reps.select("doc", "n", "on_a", "on_b", "bits", F.inline(lists)).withColumn("m", F.size("c")).withColumn("d", F.explode("c")).drop("c")
     units = units.join(shared.withColumn("pairs", F.col("as") * F.col("bs")).drop("as", "bs"), "d")
     nth = F.row_number().over(Window.partitionBy("doc", "scheme").orderBy(F.col("pairs").desc(), "d"))
@@ -315,7 +318,7 @@ def _shared_units(reps: DataFrame) -> DataFrame:
 def candidates(reps: DataFrame) -> DataFrame:
     """(doc_a, doc_b): representatives of either side with a chunk in common whose bitmaps let them count.
 
-    ``reps`` has (doc, n, short, long, bits, on_a, on_b).
+    ``reps`` has (doc, n, tiny, short, long, bits, on_a, on_b).
     """
     units = _shared_units(reps)
     # A block has a part of the texts of either side; each text goes to the blocks with every part of the other side.
@@ -342,7 +345,7 @@ def overlaps(side_a: DataFrame, side_b: DataFrame, key: str, fields: list[str])
 
     docs = written(cut(rows(side_a, 0).unionByName(rows(side_b, 1))), "docs")
     members = docs.select("side", "key", "field", "doc").distinct()
-    reps = docs.groupBy("doc").agg(F.max("n").alias("n"), F.bool_or(F.col("side") == 0).alias("on_a"), F.bool_or(F.col("side") == 1).alias("on_b"), F.max_by(F.struct("short", "long", "bits"), "n").alias("c"))
+    reps = docs.groupBy("doc").agg(F.max("n").alias("n"), F.bool_or(F.col("side") == 0).alias("on_a"), F.bool_or(F.col("side") == 1).alias("on_b"), F.max_by(F.struct(*_LISTS, "bits"), "n").alias("c"))
     reps = written(reps.select("doc", "n", "on_a", "on_b", "c.*"), "reps")
     met = written(candidates(reps), "candidates")
     # The words of the candidates, one record for each.

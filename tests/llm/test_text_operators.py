@@ -465,3 +465,22 @@ def test_leaks_by_text_of_the_item_and_with_any_key(spark):
     d = spark.createDataFrame([("x", f"{question} and then {answer}"), ("y", answer), ("z", "short")], "doc string, text string")
     got = {(r.doc, r["item"]): list(r.fields) for r in leaks.leaks(d, "doc", "text", h, "item", ["q", "a"]).collect()}
     assert got == {("x", "one"): ["a", "q"], ("x", "two"): ["q"], ("y", "one"): ["a"], ("y", "two"): ["q"]}
+
+
+@pytest.mark.parametrize("words", [22, 30, 60, 100, 180])
+def test_heavily_edited_texts_meet_even_if_all_their_shared_chunks_are_frequent(spark, words):
+    """Groups of versions of one text, each with nearly a tenth of its words changed, so that two differ in under a fifth."""
+    rnd = random.Random(words)
+    text = prose(rnd, words).split()
+
+    def version(k):
+        w = list(text)
+        for i in rnd.sample(range(words), (words - 1) // 10):
+            w[i] = f"new{k}x{i}"
+        return k, " ".join(w)
+
+    train, asked = [version(k) for k in range(60)], [version(9000 + k) for k in range(60)]
+    df = lambda rows: spark.createDataFrame(rows, "id long, a string")
+    got = {(r.key_a, r.key_b) for r in overlap.overlaps(df(asked), df(train), "id", ["a"]).collect()}
+    want = {(a, b) for a, x in asked for b, y in train if 5 * (words - lcs(x.split(), y.split())) < words}
+    assert got <= want and len(got) >= 0.995 * len(want) and len(want) > 3000
