@@ -183,12 +183,12 @@ def _most_odd(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     return n_a + n_b - 2 * (1 - DIFFERING) * np.maximum(n_a, n_b) + 1e-6
 
 
-def _left_out(m: np.ndarray) -> np.ndarray:
+def _left_out(m: np.ndarray, kept: float) -> np.ndarray:
     """Chunks that a text of m chunks may leave out."""
-    return np.maximum(np.ceil(m * KEPT - 1e-9) - 1, 0).astype(np.int64)
+    return np.maximum(np.ceil(m * kept - 1e-9) - 1, 0).astype(np.int64)
 
 
-def _units(shared):
+def _units(shared, frequent: int, kept: float):
     """Rows of the blocks from representatives: their chunks that both sides have, less the most frequent ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +207,7 @@ def _units(shared):
                 order = np.lexsort((digest, -times, owner))
                 owner, digest, times = owner[order], digest[order], times[order]
                 place = np.arange(len(owner)) - np.searchsorted(owner, owner)
-                use = (place >= _left_out(m)[owner]) | (times <= FREQUENT)
+                use = (place >= _left_out(m, kept)[owner]) | (times <= frequent)
                 out.append((owner[use], digest[use]))
             if out:
                 owner, digest = (np.concatenate(c) for c in zip(*out))
@@ -302,7 +302,7 @@ def _shared_units(reps: DataFrame) -> DataFrame:
     if shared.count() <= BROADCAST_CHUNKS:
         got = shared.select("d", (F.col("as") * F.col("bs")).alias("pairs")).orderBy("d").toArrow()
         known = spark.sparkContext.broadcast((got.column("d").to_numpy(), got.column("pairs").to_numpy()))
-        units = reps.mapInArrow(_units(known), "d long, doc long, n int, on_a boolean, on_b boolean, bits binary")
+        units = reps.mapInArrow(_units(known, FREQUENT, KEPT), "d long, doc long, n int, on_a boolean, on_b boolean, bits binary")
         split = F.broadcast(parts.where("over_a > 1 OR over_b > 1"))
         one = F.lit(1).cast("long")
         return units.join(split, "d", "left").withColumn("over_a", F.coalesce("over_a", one)).withColumn("over_b", F.coalesce("over_b", one))
