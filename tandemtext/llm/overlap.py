@@ -33,6 +33,8 @@ FREQUENT, KEPT = 100, 1 / 10
 SIDE, TILE = 20_000, 1 << 18
 #: Bits in a bitmap of words (a power of 2 that 64 divides).
 BITS = 512
+#: Mean words in a chunk whose lengths are summed up.
+FRACTION_CHUNK = 6
 #: Texts that are cut at once.
 ROWS = 1000
 #: Shared chunks (16 bytes each) up to which they are broadcast; beyond it they are joined by a shuffle.
@@ -142,6 +144,30 @@ def cut(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(_cut, f"side int, key {kind}, field int, doc long, n int, {', '.join(f'{c} array<long>' for c in _LISTS)}, bits binary, words string")
 
 
+def _cut_lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cache: dict[str, int] = {}
+    for batch in (b.slice(low, ROWS) for b in batches for low in range(0, b.num_rows, ROWS)):
+        if len(cache) > 200_000:
+            cache.clear()
+        got = [words_of(t) for t in batch.column("text").to_pylist()]
+        keep = [i for i, w in enumerate(got) if len(w) >= LEAST_WORDS]
+        if not keep:
+            continue
+        n = np.array([len(got[i]) for i in keep])
+        starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+        h = _hashes([got[i] for i in keep], cache)
+        first, digest = _chunks(h, _rolled(h), starts, FRACTION_CHUNK, FRACTION_CHUNK)
+        owner = np.searchsorted(starts, first, side="right") - 1
+        # A chunk that a text has several times is one row, with the words of all.
+        order = np.lexsort((digest, owner))
+        owner, digest, size = owner[order], digest[order], np.diff(np.append(first, len(h)))[order]
+        new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (digest[1:] != digest[:-1])]))
+        owner, digest, size = owner[new], digest[new], np.add.reduceat(size, new).astype(np.int32)
+        key, field = (batch.column(c).take(pa.array(np.array(keep)[owner])) for c in ("key", "field"))
+        apart = _mix(field.to_numpy().astype(np.uint64) * _MIX)
+        yield pa.RecordBatch.from_arrays([key, field, pa.array(n[owner].astype(np.int32)), pa.array(_mix(digest + apart).astype(np.int64)), pa.array(size)], ["key", "field", "n", "d", "size"])
+
+
 def same_words(a: list[str], b: list[str]) -> int:
     """Length of the longest common subsequence, exact while it can reach the words that must agree; else -1."""
     most = max(len(a), len(b))
@@ -331,6 +357,31 @@ def candidates(reps: DataFrame) -> DataFrame:
     return rows.mapInArrow(_blocks, "doc_a long, doc_b long").distinct()
 
 
+def _rows(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    texts = F.array(*[F.struct(F.lit(i).alias("field"), F.col(f"`{f}`").alias("text")) for i, f in enumerate(fields)])
+    return df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.inline(texts)).where("text IS NOT NULL")
+
+
+def fractions(side_a: DataFrame, side_b: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, field, words, shared, fraction) of the texts of side a: words in chunks that stand in some text of side b too.
+
+    Null texts and texts under LEAST_WORDS words are left out; a key met twice with the same texts counts once.  An empty
+    side a gives an empty result, an empty side b fractions of 0.
+    """
+
+    def chunks(df: DataFrame) -> DataFrame:
+        rows = _rows(df, key, fields)
+        return rows.mapInArrow(_cut_lengths, f"key {rows.schema['key'].dataType.simpleString()}, field int, n int, d long, size int")
+
+    # One row per digest on side b, so that the join gives no more rows than side a has chunks.
+    known = chunks(side_b).select("d").distinct().withColumn("met", F.lit(True))
+    own = chunks(side_a).groupBy("key", "field", "n", "d").agg(F.max("size").alias("size"))
+    met = own.join(known, "d", "left").groupBy("key", "field").agg(F.max("n").alias("words"), F.sum(F.when(F.col("met"), F.col("size")).otherwise(0)).alias("shared"))
+    shared = F.least("shared", "words").cast("int")
+    names = F.element_at(F.array(*[F.lit(f) for f in fields]), F.col("field") + 1)
+    return met.select(F.col("key").alias(key), names.alias("field"), "words", shared.alias("shared"), F.round(shared / F.col("words"), 6).alias("fraction"))
+
+
 def overlaps(side_a: DataFrame, side_b: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(key_a, key_b, field, same): records of side a and of side b whose texts in a field are the same or nearly so.
 
@@ -339,10 +390,7 @@ def overlaps(side_a: DataFrame, side_b: DataFrame, key: str, fields: list[str])
     paired with itself.  Every overlapping pair comes out, copies of a copy included.  Empty sides give an empty result.
     """
 
-    def rows(df: DataFrame, side: int) -> DataFrame:
-        texts = F.array(*[F.struct(F.lit(i).alias("field"), F.col(f"`{f}`").alias("text")) for i, f in enumerate(fields)])
-        return df.where(F.col(key).isNotNull()).select(F.lit(side).alias("side"), F.col(key).alias("key"), F.inline(texts)).where("text IS NOT NULL")
-
+    rows = lambda df, side: _rows(df, key, fields).withColumn("side", F.lit(side))
     docs = written(cut(rows(side_a, 0).unionByName(rows(side_b, 1))), "docs")
     members = docs.select("side", "key", "field", "doc").distinct()
     reps = docs.groupBy("doc").agg(F.max("n").alias("n"), F.bool_or(F.col("side") == 0).alias("on_a"), F.bool_or(F.col("side") == 1).alias("on_b"), F.max_by(F.struct(*_LISTS, "bits"), "n").alias("c"))

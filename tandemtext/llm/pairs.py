@@ -123,8 +123,6 @@ def is_refusal(answer: str, words: list[str]) -> bool:
     low = re.sub(r"^\W*(?:note|hello|hi|hallo|bonjour|hola)\b\W*", "", answer.lower().replace("’", "'"))
     opening = [x for x in re.split(r"(?<=[.!?。！？])\s*|\n+", low, maxsplit=OPENING + 1) if x.strip()][:OPENING]
     for sentence in opening:
-        if len(sentence) > 600:
-            continue
         if _REFUSAL.search(sentence) and (len(words) <= BRIEF or _OF_THING.search(sentence)):
             return True
         if len(words) <= BRIEF and (regret := _REGRET.match(sentence)) and (not sentence[: regret.end()].isascii() and script(sentence) != "latin" or _DENIAL.search(sentence)) and (_OF_THING.search(sentence) or len(words) <= BRIEF // 2):

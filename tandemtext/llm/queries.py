@@ -13,10 +13,14 @@ def _texts(spark: SparkSession, d: str, name: str, key: str, *texts: str) -> Dat
     return table(spark, d, name).select(key, *texts)
 
 
-def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, str, list[str]]:
     fields = ["AI Text", "Human Text"]
     held = table(spark, d, "audit_scores").where(split_label("split").isin("validation", "test")).select("pair_id", *fields)
-    return overlap.overlaps(held, _texts(spark, d, "train_normalized", "pair_id", *fields), "pair_id", fields)
+    return held, _texts(spark, d, "train_normalized", "pair_id", *fields), "pair_id", fields
+
+
+def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlaps(*_sides(spark, d))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -31,6 +35,11 @@ def p2_by_source(spark: SparkSession, d: str) -> DataFrame:
     return joined.groupBy("split", "human_source", "field").agg(F.count("*").alias("records"), F.sum("links").alias("links"), F.count_if(F.col("same") == 1).alias("exact"))
 
 
+def p2_fractions(spark: SparkSession, d: str) -> DataFrame:
+    """For each evaluation text the share of its words in chunks that stand in the training split."""
+    return overlap.fractions(*_sides(spark, d))
+
+
 def p4_measures(spark: SparkSession, d: str) -> DataFrame:
     a = once(_texts(spark, d, "regenerated_cache", "cache_id", "New Human Text").toDF("row_id", "text"), "row_id").withColumn("table_name", F.lit("regenerated_cache"))
     b = once(_texts(spark, d, "train_normalized", "pair_id", "Human Text").toDF("row_id", "text"), "row_id").withColumn("table_name", F.lit("train_normalized"))
@@ -61,6 +70,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return _cut(spark, d).where("cut").select("key.pair_id", "key.field").distinct()
 
 
+def p3_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Texts by what their end looks like and what shows the cut."""
+    return _cut(spark, d).groupBy("key").agg(F.max_by(F.struct("state", "rule"), "state").alias("r")).groupBy("r.state", "r.rule").agg(F.count("*").alias("texts"))
+
+
 def p3_sources(spark: SparkSession, d: str) -> DataFrame:
     """Share of cut records per model, source and field."""
     labels = once(table(spark, d, "final_scored").select("pair_id", label("source_model").alias("source_model"), label("human_source").alias("human_source")), "pair_id")
@@ -116,7 +130,7 @@ def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
     return personal.redacted(_texts(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES = {**corpus_queries.QUERIES, "p2_found": p2_found, "p2_by_source": p2_by_source, "p3_found": p3_found, "p3_sources": p3_sources, "p4_found": p4_found, "p4_measures": p4_measures, "p5_found": p5_found, "p5_by_source": p5_by_source, "p8_ids": p8_ids, "p8_stitched": p8_stitched, "p8_roundtrip": p8_roundtrip, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_redacted": p10_redacted}
+QUERIES = {**corpus_queries.QUERIES, "p2_found": p2_found, "p2_by_source": p2_by_source, "p2_fractions": p2_fractions, "p3_found": p3_found, "p3_rules": p3_rules, "p3_sources": p3_sources, "p4_found": p4_found, "p4_measures": p4_measures, "p5_found": p5_found, "p5_by_source": p5_by_source, "p8_ids": p8_ids, "p8_stitched": p8_stitched, "p8_roundtrip": p8_roundtrip, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_redacted": p10_redacted}
 _WORDS = r"list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[''’]', '', 'g'), '\p{Nd}', '0', 'g'), '[^\p{L}\p{M}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '')"
 SQL: dict[str, str] = {
     **corpus_queries.SQL,

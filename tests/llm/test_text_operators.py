@@ -484,3 +484,18 @@ def test_heavily_edited_texts_meet_even_if_all_their_shared_chunks_are_frequent(
     got = {(r.key_a, r.key_b) for r in overlap.overlaps(df(asked), df(train), "id", ["a"]).collect()}
     want = {(a, b) for a, x in asked for b, y in train if 5 * (words - lcs(x.split(), y.split())) < words}
     assert got <= want and len(got) >= 0.995 * len(want) and len(want) > 3000
+
+
+def test_overlap_fractions(spark):
+    rnd = random.Random(13)
+    a, b = [f"v{rnd.randrange(3000)}" for _ in range(120)], [f"u{rnd.randrange(3000)}" for _ in range(120)]
+    schema = "id long, a string, b string"
+    held = spark.createDataFrame([(1, " ".join(a), None), (2, " ".join(a[:60] + b[:60]), "short"), (3, " ".join(b), ""), (None, " ".join(a), None)], schema)
+    held = held.union(held.where("id = 2"))
+    train = spark.createDataFrame([(9, " ".join(a).upper() + ".", " ".join(b))], schema)
+    got = {(r.id, r.field): (r.words, r.fraction) for r in overlap.fractions(held, train, "id", ["a", "b"]).collect()}
+    assert set(got) == {(1, "a"), (2, "a"), (3, "a")}
+    assert got[(1, "a")] == (120, 1.0) and got[(3, "a")] == (120, 0.0)  # another field's text is no match
+    assert 0.35 < got[(2, "a")][1] <= 0.5
+    assert overlap.fractions(held.limit(0), train, "id", ["a"]).count() == 0
+    assert {r.fraction for r in overlap.fractions(held, train.limit(0), "id", ["a"]).collect()} == {0.0}
