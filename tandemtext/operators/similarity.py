@@ -81,9 +81,15 @@ def coverage(sim: DataFrame) -> DataFrame:
     return best.groupBy("pair_id").agg(F.round(F.min("best"), 4).alias("min_cov"), F.round(F.avg("best"), 4).alias("mean_cov"), F.round(copied, 4).alias("copy_rate"))
 
 
+def counterparts(sim: DataFrame) -> DataFrame:
+    """(pair_id, j, i, sim): the best machine sentence of every human one, the lowest number in a tie."""
+    best = F.max(F.struct(F.round("sim", 9).alias("r"), (-F.col("i")).alias("m"), F.col("sim"))).alias("t")
+    return sim.groupBy("pair_id", "j").agg(best).select("pair_id", "j", (-F.col("t.m")).alias("i"), "t.sim")
+
+
 def structure_change(sim: DataFrame) -> DataFrame:
     """Share of human sentences whose best machine sentence (lowest number in a tie) is another's too, or is far from it."""
-    top = sim.groupBy("pair_id", "j").agg(F.max(F.struct(F.round("sim", 9).alias("r"), (-F.col("i")).alias("m"), F.col("sim"))).alias("t")).select("pair_id", "j", (-F.col("t.m")).alias("i"), "t.sim")
+    top = counterparts(sim)
     shared = F.count("*").over(W.partitionBy("pair_id", "i"))
     moved = F.when((F.col("shared") > 1) | (F.col("sim") < 0.6), 1.0).otherwise(0.0)
     return top.withColumn("shared", shared).groupBy("pair_id").agg(F.round(F.avg(moved), 4).alias("struct_change"))

@@ -121,6 +121,13 @@ def m15_structure_change(spark, d):
     return similarity.structure_change(similarity.sentence_similarity(ai, hu))
 
 
+@R.add(_VEC + " SELECT pair_id, j, i FROM (SELECT *, row_number() OVER (PARTITION BY pair_id, j ORDER BY round(sim, 9) DESC, i) AS r FROM sim) WHERE r = 1")
+def w05_j04_best_counterpart(spark, d):
+    """For every human sentence the machine sentence nearest to it, the first one in a tie."""
+    ai, hu = similarity.sentence_vectors(table(spark, d, "embeddings"))
+    return similarity.counterparts(similarity.sentence_similarity(ai, hu)).select("pair_id", "j", "i")
+
+
 @R.add(_VEC + ", f AS (SELECT pair_id, min(j) AS j FROM sim GROUP BY pair_id) SELECT pair_id, round(max(sim), 4) AS opening FROM sim JOIN f USING (pair_id, j) GROUP BY pair_id")
 def m16_opening_cosine(spark, d):
     ai, hu = similarity.sentence_vectors(table(spark, d, "embeddings"))

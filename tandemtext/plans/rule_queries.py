@@ -270,3 +270,24 @@ def f24_a04_bins(spark, d):
 @R.add(f"{P} SELECT pair_id, coalesce(contains(human_source, 'llm_regenerated'), false) AS regenerated, coalesce(contains(human_source, 'hf_dataset_import'), false) AS collected FROM p")
 def f25_source_test(spark, d):
     return derived(spark, d, "pair_id", U.regenerated().alias("regenerated"), U.is_true(F.contains("human_source", F.lit("hf_dataset_import"))).alias("collected"))
+
+
+@R.add(
+    f"""{P} SELECT pair_id, CASE WHEN category IN ('essay', 'academic') THEN 0.60 ELSE 0.75 END::DOUBLE AS copy_limit, coalesce(category NOT IN ('email', 'document'), true) AS coverage_rule,
+  CASE category WHEN 'essay' THEN 5 WHEN 'academic' THEN 3 WHEN 'document' THEN 4 ELSE 0 END AS excluded_phrases FROM p"""
+)
+def j10_category_rules(spark, d):
+    """The rules that hold for each pair's category, looked up in literal maps."""
+    strict, relaxed = U.is_true(F.col("category").isin(*U.STRICT)), U.is_true(F.col("category").isin(*U.RELAXED))
+    phrases = F.lit(0)
+    for name, terms in U.EXCLUDED.items():
+        phrases = F.when(F.col("category") == name, len(terms)).otherwise(phrases)
+    return derived(spark, d, "pair_id", F.when(strict, U.FIRST.copy_strict).otherwise(U.FIRST.copy_loose).alias("copy_limit"), (~relaxed).alias("coverage_rule"), phrases.alias("excluded_phrases"))
+
+
+@R.add(f'SELECT DISTINCT t.pair_id, coalesce(length(t."AI Text"), 0) AS own, coalesce(length(a."AI Text"), 0) AS audited FROM train_normalized t JOIN audit_scores a USING (pair_id) WHERE t.pair_id IS NOT NULL')
+def j12_alignment(spark, d):
+    """Rows of two tables that belong together, by key instead of by place."""
+    own = table(spark, d, "train_normalized").select("pair_id", F.coalesce(F.char_length("AI Text"), F.lit(0)).alias("own")).distinct()
+    other = table(spark, d, "audit_scores").select("pair_id", F.coalesce(F.char_length("AI Text"), F.lit(0)).alias("audited")).distinct()
+    return own.join(other, "pair_id")
