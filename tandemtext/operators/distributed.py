@@ -15,6 +15,8 @@ from tandemtext.session import checkpointed
 
 #: Rows of a smaller side up to which it is broadcast; beyond it the join shuffles, with its keys spread over SALTS parts.
 BROADCAST_ROWS, SALTS = 200_000, 32
+#: Counts of distinct values up to which a window sums them up.
+WINDOW_ROWS = 2_000_000
 PARTITION, PLACE = "__partition", "__place"
 
 
@@ -72,27 +74,34 @@ def ranked_in(df: DataFrame, name: str, groups: list[str], key: str, *order: Col
 def quantiles(df: DataFrame, groups: list[str], points: dict[str, tuple[float, ...]]) -> DataFrame:
     """(groups, one array per metric): exact quantiles, interpolated between neighbours, of the values of each group.
 
-    Equal values are counted first; the counts are sorted over many tasks and summed up, so neither a group nor its distinct
-    values meet in one task.  Null values don't count; a group without values has null for the metric.
+    Equal values are counted first.  Up to WINDOW_ROWS counts are summed up group by group; beyond it they are sorted over many
+    tasks, so that neither a group nor its distinct values meet in one.  Null values don't count; a group without values has null for the metric.
     """
     metrics = list(points)
     values = F.array(*[F.struct(F.lit(i).alias("__m"), F.col(m).cast("double").alias("__v")) for i, m in enumerate(metrics)])
     counted = df.select(*groups, F.inline(values)).where("__v IS NOT NULL").groupBy(*groups, "__m", "__v").agg(F.count("*").alias("__n"))
     keys = [*groups, "__m"]
-    summed = checkpointed(running_sum(counted, "__before", F.col("__n"), *[F.col(k) for k in keys], F.col("__v")))
-    # One row per group and metric.
-    totals = summed.groupBy(*keys).agg(F.min("__before").alias("__first"), F.sum("__n").alias("__of"))
-    totals = totals.toDF(*[f"__k{i}" for i in range(len(keys))], "__first", "__of")
-    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
-    placed = summed.join(F.broadcast(totals), same).withColumn("__upto", F.col("__before") - F.col("__first") + F.col("__n"))
-
-    def at(i: int, p: float) -> Column:
+    counted = checkpointed(counted)
+    if counted.count() <= WINDOW_ROWS:
+        group = Window.partitionBy(*keys)
+        placed = counted.withColumn("__upto", F.sum("__n").over(group.orderBy("__v"))).withColumn("__of", F.sum("__n").over(group))
+    else:
+        summed = checkpointed(running_sum(counted, "__before", F.col("__n"), *[F.col(k) for k in keys], F.col("__v")))
+        # One row per group and metric.
+        totals = summed.groupBy(*keys).agg(F.min("__before").alias("__first"), F.sum("__n").alias("__of"))
+        totals = totals.toDF(*[f"__k{i}" for i in range(len(keys))], "__first", "__of")
+        same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+        placed = summed.join(F.broadcast(totals), same).withColumn("__upto", F.col("__before") - F.col("__first") + F.col("__n"))
+
+    def at(p: float) -> Column:
         place = (F.col("__of") - 1) * F.lit(p)
-        value = lambda rank: F.min(F.when((F.col("__m") == i) & (F.col("__upto") > rank), F.col("__v")))
-        low, high, part = value(F.floor(place)), value(F.ceil(place)), F.max(F.when(F.col("__m") == i, place - F.floor(place)))
+        value = lambda rank: F.min(F.when(F.col("__upto") > rank, F.col("__v")))
+        low, high, part = value(F.floor(place)), value(F.ceil(place)), F.max(place - F.floor(place))
         return low + (high - low) * part
 
-    found = placed.groupBy(*groups).agg(*[F.array(*[at(i, p) for p in points[m]]).alias(m) for i, m in enumerate(metrics)])
+    every_point = sorted({p for ps in points.values() for p in ps})
+    each = placed.groupBy(*keys).agg(*[at(p).alias(f"__p{i}") for i, p in enumerate(every_point)])
+    found = each.groupBy(*groups).agg(*[F.array(*[F.max(F.when(F.col("__m") == i, F.col(f"__p{every_point.index(p)}"))) for p in points[m]]).alias(m) for i, m in enumerate(metrics)])
     if not groups:
         return found
     every = df.select(*[F.col(g).alias(f"__k{i}") for i, g in enumerate(groups)]).distinct()

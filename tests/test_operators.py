@@ -239,7 +239,9 @@ def test_padding_to_the_longest_of_a_batch(spark):
         assert all(len(r.labels) == len(r.input_ids) == len(r.attention_mask) and r.labels[sum(r.attention_mask):] == [-100] * (len(r.labels) - sum(r.attention_mask)) for r in rows)
 
 
-def test_quantiles_equal_those_of_the_whole_group(spark):
+@pytest.mark.parametrize("window", [0, 10**6])
+def test_quantiles_equal_those_of_the_whole_group(spark, monkeypatch, window):
+    monkeypatch.setattr(distributed, "WINDOW_ROWS", window)
     rnd = random.Random(4)
     rows = [(rnd.choice(["a", "b", None]), rnd.choice([None, 0.5, rnd.random()]), float(i % 5)) for i in range(400)] + [("empty", None, 1.0)]
     df = spark.createDataFrame(rows, "g string, x double, y double").repartition(4)
