@@ -29,8 +29,15 @@ CLICHE_STEMS = (
     "holist", "unprecedent", "paradigm", "catalyst", "transform", "seamless", "vibrant", "ecosystem", "synerg",
     "steadfast", "cornerston", "ultimat",
 )
-CLICHE_PATTERN = rf"(?i)\b(?:{'|'.join(CLICHES)})\b"
-CLICHE_STEM_PATTERN = rf"(?i)\b(?:{'|'.join(w if ' ' in w else w + '[A-Za-z0-9_]*' for w in CLICHE_STEMS)})\b"
+
+
+def _any_of(terms: tuple[str, ...], rest: str = "") -> str:
+    """One of the terms as a whole word or phrase; a look at the first letter passes over most words."""
+    first = "".join(sorted({t[0] for t in terms}))
+    return rf"(?i)\b(?=[{first}])(?:{'|'.join(t if ' ' in t else t + rest for t in terms)})\b"
+
+
+CLICHE_PATTERN, CLICHE_STEM_PATTERN = _any_of(CLICHES), _any_of(CLICHE_STEMS, "[A-Za-z0-9_]*")
 CONTRACTION = r"(?i)\b[a-z]+'(?:re|ve|d|ll|t|s)\b"
 PUNCTUATION_RUN = r"[!?.,;:]{3,}"
 # What a collected answer must not begin with.
