@@ -81,7 +81,12 @@ def f06_tier_by_style(spark, d):
     return w.select("pair_id", tier.alias("tier"))
 
 
-@R.add()
+@R.add(
+    f"""{P}, c AS (SELECT pair_id, unnest(string_split(hu, '')) AS ch, generate_subscripts(string_split(hu, ''), 1) AS i FROM p WHERE length(hu) > 0), g AS (SELECT pair_id, ch, i - row_number() OVER (PARTITION BY pair_id, ch ORDER BY i) AS g FROM c),
+n AS (SELECT pair_id, count(*) AS run FROM g GROUP BY pair_id, ch, g), m AS (SELECT pair_id, max(run) AS run FROM n GROUP BY pair_id),
+w AS (SELECT p.pair_id, coalesce(run, 0) AS run, {_PUNCT_SQL} AS punct, {_in('hu', INFORMAL_SQL)} AS informal, {_in('hu', SLANG_SQL)} AS slang, {_in('hu', PROFANITY_SQL)} AS profanity, ai_human_word_ratio AS r FROM p LEFT JOIN m USING (pair_id))
+SELECT pair_id, run::INTEGER AS run, CASE WHEN run >= 4 OR punct >= 2 OR profanity >= 2 THEN 'C' WHEN slang >= 3 OR informal >= 3 OR coalesce(r < 0.4 OR r > 1.6, false) THEN 'B' ELSE 'A' END AS tier FROM w"""
+)
 def f06_tier_with_runs(spark, d):
     w = derived(spark, d, "pair_id", "hu", T.words(F.col("hu")).alias("w"), M.letter_run(F.col("hu")).alias("run"), "ai_human_word_ratio")
     tier = U.tier_by_style(M.elongation(F.col("run")), F.col("run"), F.coalesce(F.regexp_count("hu", F.lit(M.PUNCTUATION_RUN)), F.lit(0)), M.lexicon(F.col("w"), M.PROFANITY), M.lexicon(F.col("w"), M.SLANG), M.lexicon(F.col("w"), M.INFORMAL), F.col("ai_human_word_ratio"))

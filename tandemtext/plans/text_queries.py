@@ -127,7 +127,14 @@ def t15_chunks(spark, d):
     return rows.select("doc_id", "chunk", F.slice("w", F.col("chunk") * 120 + 1, F.lit(120)).alias("p")).where(F.size("p") >= 50).select("doc_id", "chunk", F.array_join("p", " ").alias("body"))
 
 
-@R.add()
+@R.add(
+    rf"""WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\n[ \t]*\n'), lambda x: {strip('x')}), lambda x: x <> '') AS ps FROM documents),
+f(doc_id, ps, i, done, cur, w) AS (SELECT doc_id, ps, 0, []::VARCHAR[], '', 0::BIGINT FROM p UNION ALL
+  SELECT doc_id, ps, i + 1, CASE WHEN w + n > 300 AND w >= 150 THEN list_append(done, cur) ELSE done END, CASE WHEN cur = '' OR (w + n > 300 AND w >= 150) THEN x ELSE cur || chr(10) || chr(10) || x END, CASE WHEN w + n > 300 AND w >= 150 THEN n ELSE w + n END
+  FROM (SELECT f.*, ps[i + 1] AS x, {space_words('ps[i + 1]')} AS n FROM f WHERE i < len(ps))),
+e AS (SELECT doc_id, CASE WHEN cur <> '' THEN list_append(done, cur) ELSE done END AS l FROM f WHERE i = len(ps))
+SELECT doc_id, unnest(range(0, len(l)))::INTEGER AS chunk, unnest(l) AS body FROM e"""
+)
 def t16_paragraph_chunks(spark, d):
     return texts(spark, d).select("doc_id", F.posexplode(T.paragraph_chunks(F.col("text"))).alias("chunk", "body"))
 
