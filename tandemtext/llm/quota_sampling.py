@@ -84,7 +84,7 @@ def quota_sample(df: DataFrame, key: str, dims: dict[str, Column], targets: list
     crossed = F.floor(F.col("before") + F.col("p") + start) > F.floor(F.col("before") + start)
     marked = checkpointed(summed.withColumn("taken", crossed))
     taken = {tuple(r[:-1]): r[-1] for r in marked.where("taken").groupBy(*d_cols).count().collect()}
-    extra = []
+    extra, by_floor = [], False
     floors = [t for t in targets if t.floor > 0]
     picked = marked.where("taken").select("k", *d_cols, "p", F.lit("systematic").alias("selected_by"))
     for t in floors:
@@ -98,6 +98,7 @@ def quota_sample(df: DataFrame, key: str, dims: dict[str, Column], targets: list
             more = checkpointed(more.orderBy("drawn", "k").limit(lack).select("k", *d_cols, "p", F.lit("floor").alias("selected_by")))
             extra.append(more)
             for r in more.groupBy(*d_cols).count().collect():
+                by_floor = True
                 taken[tuple(r[:-1])] = taken.get(tuple(r[:-1]), 0) + r[-1]
     sample = reduce(DataFrame.unionByName, extra, picked)
     sample = sample.select(F.col("k").alias(key), *[F.col(c).alias(d) for c, d in zip(d_cols, names)], F.col("p").alias("inclusion_probability"), "selected_by")
@@ -108,7 +109,7 @@ def quota_sample(df: DataFrame, key: str, dims: dict[str, Column], targets: list
         got = sum(m for c, m in taken.items() if c[i] == t.bucket)
         share = got / whole if whole else 0.0
         floor_met, share_met = got >= t.floor, whole > 0 and abs(share - t.share) <= max(TOLERANCE, 1.0 / max(whole, 1))
-        why = None if floor_met and share_met else "no rows" if not there else "too few rows for the floor" if not floor_met else "all rows taken" if got == there else "floors take more" if share > t.share else "limited by other targets"
+        why = None if floor_met and share_met else "no rows" if not there else "too few rows for the floor" if not floor_met else "all rows taken" if got == there else "limited by other targets" if share < t.share else "floors take more" if by_floor else "other targets lack rows"
         lines.append((t.dimension, t.bucket, float(t.share), int(t.floor), int(there), int(got), round(share, 6), bool(floor_met), bool(share_met), why))
     schema = "dimension string, bucket string, target_share double, min_rows int, available long, sampled long, achieved_share double, floor_met boolean, share_met boolean, reason string"
     return sample, spark.createDataFrame(lines, schema)
