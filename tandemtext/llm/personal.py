@@ -52,7 +52,9 @@ ROLES = frozenset(
 )
 TITLES = frozenset("dr prof mr mrs ms sr sra mme mlle st".split())
 # Words that begin or end capitalised phrases which are no names.
-NO_NAMES = frozenset("the this that these those it we you they he she i a an in on at for with from of and or my our your their his her if when please kind best many der die das le la les el los las un une una ein eine".split())
+NO_NAMES = frozenset("""the this that these those it we you they he she i a an in on at for with from of and or my our your their his her if when please kind best many der die das le la les el los las un une una ein eine
+    desk front team staff crew department hiring training programme program support sales committee steering help customer human resources
+    project report policy plan system data abteilung vorstand verein büro équipe service équipes equipo oficina""".split())
 LEADING = frozenset(("thanks to", "again to", "thank you", "we met", "i met", "can reach", "may reach", "forms to", "papers to", "letter to", "letters to", "speak to", "talk to", "write to", "sich an", "merci à", "gracias a", "danke an", "dank an", "contactar con", "hablar con", "pouvez joindre", "contacter avec", "rückfragen nimmt", "nummer von", "number of", "ausweisnummer von", "identité de", "identidad de", "identity of"))
 # What follows the name of a person.
 AFTER_PERSON = re.compile(r"\s*,?\s*(?:\(ID\b|(?:gave|said|says|wrote|writes|lives|asked|signed|collected|told|agreed|thanked|joined|phoned|rang|explained|replied|who|whose|wohnt|schrieb|schreibt|sagte|unter|entgegen|vive|dijo|escribió|par|por|pour)\b|can be reached|est joignable|(?:\r?\n)+\s*(?:tel|phone|mail|e-mail|mobile)\b)", re.I)
@@ -275,7 +277,7 @@ def _unlisted(text: str, start: int) -> tuple[float, int, int, str] | None:
     if not m:
         return None
     words = [w.lower() for w in _LETTERS.findall(m.group())]
-    if any(w in PLACES or w in NO_NAMES for w in words) or _PLACE_NEXT.match(text, m.end()):
+    if any(w in PLACES or w in NO_NAMES or w in ROLES for w in words) or _PLACE_NEXT.match(text, m.end()):
         return None
     # Between capitals, capitals are no sign of a name.
     if m.group().isupper() and bare[-12:].isupper():

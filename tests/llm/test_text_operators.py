@@ -397,6 +397,10 @@ def test_queries_run(spark):
         ("Contact: von Brelow, Aiko", {("name", "vonbrelowaiko")}),
         ("Meet me at Mensah Bridge with Tanaka Council.", set()),
         ("The applicant Saltby Library gave it.", set()),
+        ("Contact: Front Desk\nbefore noon.", set()),
+        ("Dear Hiring Manager, the teacher Training Programme begins.", set()),
+        ("Signed: Zainab Al-Hassan", {("name", "zainabalhassan")}),
+        ("Herr Özgür Yıldız wohnt hier.", {("name", "özgüryıldız")}),
         ("THE TENANT SURVEYS ROSE AND THE TENANT WENT", set()),
         ("İİİ. My name is Hiroshi Tanaka.", {("name", "hiroshitanaka")}),
     ],
