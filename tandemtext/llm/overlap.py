@@ -174,6 +174,11 @@ def same_words(a: list[str], b: list[str]) -> int:
     allowed = int(np.ceil(DIFFERING * most - 1e-9)) - 1  # words of the longer text that may lack a partner
     if min(len(a), len(b)) < most - allowed or sum((Counter(a) & Counter(b)).values()) < most - allowed:
         return -1
+    # Words at either end that agree are part of a longest subsequence.
+    short = min(len(a), len(b))
+    lead = next((i for i in range(short) if a[i] != b[i]), short)
+    tail = next((i for i in range(short - lead) if a[-1 - i] != b[-1 - i]), short - lead)
+    a, b = a[lead : len(a) - tail], b[lead : len(b) - tail]
     # Bit-parallel: a bit of ``open_`` per word of a that ends no longer common subsequence yet.
     where: dict[str, int] = {}
     for i, w in enumerate(a):
@@ -183,7 +188,7 @@ def same_words(a: list[str], b: list[str]) -> int:
         if (at := where.get(w)) is not None:
             met = open_ & at
             open_ = (open_ + met | open_ - met) & every
-    same = len(a) - open_.bit_count()
+    same = lead + tail + len(a) - open_.bit_count()
     return same if same >= most - allowed else -1
 
 
