@@ -5,10 +5,12 @@ Everything is keyed by pair: terms are joined on (pair, term) and sentences on p
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,6 +21,8 @@ from tandemtext.operators import models
 
 #: Cosine from which a sentence counts as copied, and below which it has no counterpart (fixed values).
 COPIED, WEAK = 0.9, 0.6
+#: Sentences that the encoder is given at once, whose pairs are worked on together, and whose vectors a task keeps for its next pairs.
+ENCODED, HELD, KEPT = 1_024, 8_192, 32_768
 
 
 def _letters() -> tuple[str, str]:
@@ -100,35 +104,47 @@ def opening(sim: DataFrame) -> DataFrame:
     return first.select("pair_id", F.round("best", 4).alias("opening"))
 
 
-def _audit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _audit(make: models.Encoder, encoded: int, held: int, kept: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     names = ["pair_id", "min_cov", "mean_cov", "copy_rate", "sent_count_ratio", "struct_change", "opening"]
-    for batch in batches:
-        out = []
-        for sentences in batch.column("s").to_pylist():
-            ai, hu = (np.array([x["vector"] for x in sentences if x["side"] == side], dtype=np.float64) for side in (0, 1))
-            if not len(ai) or not len(hu):
-                out.append((0.0, 0.0, 0.0, 0.0, 0.0, None))
-                continue
-            sim = ai @ hu.T
-            best, scores, at = sim.max(axis=1), sim.max(axis=0), sim.argmax(axis=0)
-            moved = (np.bincount(at, minlength=len(ai))[at] > 1) | (scores < WEAK)
-            out.append((round(float(best.min()), 4), round(float(best.mean()), 4), round(float((best > COPIED).mean()), 4), round(len(hu) / len(ai), 3), round(float(moved.mean()), 4), float(scores[0])))
-        yield pa.RecordBatch.from_arrays([batch.column("pair_id"), *(pa.array(list(c), pa.float64()) for c in (zip(*out) if out else [[]] * 6))], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, vectors = make(), {}
+        for batch in batches:
+            n = pc.add(pc.list_value_length(batch.column("ai")), pc.list_value_length(batch.column("hu"))).to_numpy(zero_copy_only=False)
+            # Pairs whose sentences begin in the same stretch of ``held`` sentences are taken together.
+            cuts = [0, *(np.flatnonzero(np.diff((np.cumsum(n) - n) // held)) + 1).tolist(), batch.num_rows]
+            out = []
+            for begin, end in zip(cuts, cuts[1:]):
+                part = batch.slice(begin, end - begin)
+                pairs = list(zip(part.column("ai").to_pylist(), part.column("hu").to_pylist()))
+                new = [s for s in dict.fromkeys(s for ai, hu in pairs if ai and hu for s in (*ai, *hu)) if s not in vectors]
+                for at in range(0, len(new), encoded):
+                    some = new[at : at + encoded]
+                    vectors.update(zip(some, np.array(model(some), dtype=np.float32)))
+                out += [_audited(*(np.array([vectors[s] for s in side], dtype=np.float64) for side in p)) if all(p) else (0.0, 0.0, 0.0, 0.0, 0.0, None) for p in pairs]
+                for s in list(islice(vectors, max(0, len(vectors) - kept))):
+                    del vectors[s]
+            yield pa.RecordBatch.from_arrays([batch.column("pair_id"), *(pa.array(list(c), pa.float64()) for c in (zip(*out) if out else [[]] * 6))], names)
+
+    return run
+
+
+def _audited(ai: np.ndarray, hu: np.ndarray) -> tuple[float, ...]:
+    sim = ai @ hu.T
+    best, scores, at = sim.max(axis=1), sim.max(axis=0), sim.argmax(axis=0)
+    moved = (np.bincount(at, minlength=len(ai))[at] > 1) | (scores < WEAK)
+    return round(float(best.min()), 4), round(float(best.mean()), 4), round(float((best > COPIED).mean()), 4), round(len(hu) / len(ai), 3), round(float(moved.mean()), 4), float(scores[0])
 
 
 def audited_sentences(df: DataFrame, encoder: models.Encoder | None = None) -> DataFrame:
     """(pair_id, ai, hu) to how well the machine's sentences are covered by the human ones, and the other way round.
 
-    Each distinct sentence is encoded once and its vector joined back; sentences meet within their pair only.  ``min_cov``,
-    ``mean_cov`` and ``copy_rate`` are of the machine sentences' best cosines, ``struct_change`` is the share of human
-    sentences that share their best counterpart or have none, ``opening`` the best cosine of the first human sentence.  Where
-    a side has no sentence they are 0 and ``opening`` is null.  Keys should be unique.
+    Sentences are encoded where their pair is, so no vector is shuffled or broadcast; a task encodes a sentence again only after
+    ``KEPT`` others.  Sentences meet within their pair only.  ``min_cov``, ``mean_cov`` and ``copy_rate`` are of the machine
+    sentences' best cosines, ``struct_change`` is the share of human sentences that share their best counterpart or have none,
+    ``opening`` the best cosine of the first human sentence.  Where a side has no sentence they are 0 and ``opening`` is null.
     """
-    sides = F.array(F.struct(F.lit(0).alias("side"), T.sentences(F.col("ai")).alias("t")), F.struct(F.lit(1).alias("side"), T.sentences(F.col("hu")).alias("t")))
-    sentences = df.select("pair_id", F.inline(sides)).select("pair_id", "side", F.posexplode("t").alias("at", "sentence"))
-    vectors = models.encode(sentences.select("sentence").distinct(), "sentence", encoder)
-    met = sentences.join(vectors, "sentence").groupBy("pair_id").agg(F.sort_array(F.collect_list(F.struct("side", "at", "vector"))).alias("s"))
     kind = df.schema["pair_id"].dataType.simpleString()
-    names = ("min_cov", "mean_cov", "copy_rate", "sent_count_ratio", "struct_change")
-    done = met.mapInArrow(_audit, f"pair_id {kind}, " + ", ".join(f"{n} double" for n in (*names, "opening")))
-    return df.select("pair_id").join(done, "pair_id", "left").select("pair_id", *[F.coalesce(n, F.lit(0.0)).alias(n) for n in names], "opening")
+    names = ("min_cov", "mean_cov", "copy_rate", "sent_count_ratio", "struct_change", "opening")
+    run = _audit(encoder or models.hashed_encoder(), ENCODED, HELD, KEPT)
+    return df.select("pair_id", T.sentences(F.col("ai")).alias("ai"), T.sentences(F.col("hu")).alias("hu")).mapInArrow(run, f"pair_id {kind}, " + ", ".join(f"{n} double" for n in names))

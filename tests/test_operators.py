@@ -217,6 +217,48 @@ def test_audit_of_sentences(spark):
     assert got[1][2:5] == (0.5, 1.5, 1.0) and got[1][5] == pytest.approx(1.0)
 
 
+def test_audit_moves_no_vectors(spark):
+    df = spark.createDataFrame([(1, "Cats sleep.", "Cats sleep.")], "pair_id long, ai string, hu string")
+    plan = similarity.audited_sentences(df)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("encoded, held, kept", [(1, 1, 0), (2, 5, 3), (1024, 8192, 32768)])
+def test_audit_in_parts(spark, monkeypatch, encoded, held, kept):
+    from tandemtext.operators import models
+
+    for name, value in (("ENCODED", encoded), ("HELD", held), ("KEPT", kept)):
+        monkeypatch.setattr(similarity, name, value)
+    texts = [" ".join(f"Word{(i * k) % 11} says {'so ' * (k % 3)}much." for k in range(i % 6)) for i in range(40)]
+    df = spark.createDataFrame([(i if i else None, t, texts[i * 7 % 40] if i % 9 else None) for i, t in enumerate(texts)], "pair_id long, ai string, hu string").coalesce(1)
+    split = {r.pair_id: (r.a, r.h) for r in df.select("pair_id", T.sentences(F.col("ai")).alias("a"), T.sentences(F.col("hu")).alias("h")).collect()}
+    got = {r.pair_id: r for r in similarity.audited_sentences(df).collect()}
+    assert got.keys() == split.keys()
+    model = models.hashed_encoder()()
+    for key, (a, h) in split.items():
+        if not a or not h:
+            assert tuple(got[key])[1:] == (0.0, 0.0, 0.0, 0.0, 0.0, None)
+            continue
+        sim = [[sum(x * y for x, y in zip(u, v)) for v in model(h)] for u in model(a)]
+        best = [max(row) for row in sim]
+        assert got[key].min_cov == pytest.approx(min(best), abs=1e-4) and got[key].mean_cov == pytest.approx(sum(best) / len(best), abs=1e-4)
+        assert got[key].sent_count_ratio == round(len(h) / len(a), 3) and got[key].opening == pytest.approx(max(row[0] for row in sim), abs=1e-6)
+
+
+def test_audit_encodes_a_sentence_once_in_a_task():
+    import pyarrow as pa
+
+    seen = []
+
+    def make():
+        return lambda texts: seen.append(list(texts)) or [[1.0, float(len(t))] for t in texts]
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([["a", "b"], ["b"], ["z"]]), pa.array([["a"], ["c", "a"], []], pa.list_(pa.string()))], ["pair_id", "ai", "hu"])
+    out = list(similarity._audit(make, 2, 3, 100)(iter([batch, batch, batch.slice(0, 0)])))
+    assert [o.num_rows for o in out] == [3, 3, 0] and out[0].equals(out[1])
+    assert seen == [["a", "b"], ["c"]]
+
+
 @pytest.mark.parametrize("broadcast", [0, 10**6])
 def test_ranks_in_groups(spark, monkeypatch, broadcast):
     monkeypatch.setattr(distributed, "BROADCAST_ROWS", broadcast)
